@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import packing, quality
+from quillframe.llm import langid, packing, quality
 
 #: The vocabulary of op8 and of the pipeline's last stage, and the id that ends a document.
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,6 +19,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by a network that learned from three quarters of them."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = langid.held_out(F.col("doc_id"))
+    model = langid.train(docs.where(~out))
+    got = docs.select("doc_id", out.alias("held_out"), langid.predicted(model, F.col("text")).alias("p"))
+    return got.select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's base measurements and the verdict of policy v1."""
     book = quality.judged(quality.ledger(_table(spark, sf_dir, "documents")))
@@ -32,6 +41,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_language_id": op5_language_id,
     "op6_quality_rules": op6_quality_rules,
     "op8_packing": op8_packing,
 }
