@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import langid, packing, quality
+from quillframe.llm import fingerprints, langid, packing, quality
 
 #: The vocabulary of op8 and of the pipeline's last stage, and the id that ends a document.
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -40,8 +40,34 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of every document and of its edited text, and their likeness."""
+    f = fingerprints
+    rows = f.with_next(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    texts = rows.select("doc_id", "text", "next_text", f.edited(F.col("text"), F.col("next_text")).alias("edited"))
+    hashed = texts.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        f.hashed_words(F.col("text")).alias("h"),
+        f.hashed_words(F.col("edited")).alias("he"),
+        f.hashed_words(F.col("next_text")).alias("hn"),
+    )
+    sketched = hashed.select("doc_id", "n_chars", "edited_sha256", *[f.sketch(h).alias(s) for h, s in (("h", "a"), ("he", "e"), ("hn", "b"))])
+    return sketched.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        f.text_of(F.col("a")).alias("fingerprint"),
+        f.text_of(F.col("e")).alias("edited_fingerprint"),
+        f.resemblance(F.col("a"), F.col("e")).alias("near_edited"),
+        f.resemblance(F.col("a"), F.col("b")).alias("near_next"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_quality_rules": op6_quality_rules,
     "op8_packing": op8_packing,
+    "op10_document_fingerprints": op10_document_fingerprints,
 }
