@@ -25,6 +25,18 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^ \x09-\x0D]+")).cast("long")
 
 
+def bisected(key: Column, bounds: list) -> Column:
+    """How many of the ascending bounds are at most the key (0 for null), found in two levels."""
+    if not bounds:
+        return F.lit(0)
+    wide = max(1, round(len(bounds) ** 0.5))
+    rows = [bounds[i : i + wide] for i in range(0, len(bounds), wide)]
+    coarse = F.size(F.filter(F.array(*[F.lit(r[0]) for r in rows]), lambda b: b <= key))
+    fine = F.array(*[F.array(*map(F.lit, r)) for r in rows])
+    within = F.size(F.filter(F.element_at(fine, F.greatest(coarse, F.lit(1))), lambda b: b <= key))
+    return F.when(key.isNull() | (coarse == 0), 0).otherwise((coarse - 1) * wide + within)
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that df does not have yet."""
     taken = {c.lower() for c in df.columns}

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import words
+from quillframe.llm.common import bisected, words
 
 K = 128
 SHINGLE = 5
@@ -89,7 +89,7 @@ def with_next(docs: DataFrame, key: str, text: str, rows_per_part: int = 2_000,
     if parts > 1:
         cuts = [i / parts for i in range(1, parts)]
         bounds = sorted(set(docs.agg(F.percentile_approx("k", cuts, 10 * parts)).first()[0] or []))
-    placed = docs.withColumn("p", _part(F.col("k"), bounds))
+    placed = docs.withColumn("p", bisected(F.col("k"), bounds))
     firsts = sorted(placed.groupBy("p").agg(F.min("k").alias("k"), F.count(F.when(F.col("k").isNull(), 1)).alias("nulls")).collect())
     if not firsts:
         return docs.select(F.col("k").alias(key), F.col("t").alias(text), F.lit("").alias("next_text"))
@@ -103,18 +103,6 @@ def with_next(docs: DataFrame, key: str, text: str, rows_per_part: int = 2_000,
     return rows.withColumn("t2", F.lead("t").over(order)).where(~F.col("guard")).select(F.col("k").alias(key), F.col("t").alias(text), F.col("t2").alias("next_text"))
 
 
-def _part(key: Column, bounds: list) -> Column:
-    """How many of the ascending bounds are at most the key (0 for null), found in two levels."""
-    if not bounds:
-        return F.lit(0)
-    wide = max(1, round(len(bounds) ** 0.5))
-    rows = [bounds[i : i + wide] for i in range(0, len(bounds), wide)]
-    coarse = F.size(F.filter(F.array(*[F.lit(r[0]) for r in rows]), lambda b: b <= key))
-    fine = F.array(*[F.array(*map(F.lit, r)) for r in rows])
-    within = F.size(F.filter(F.element_at(fine, F.greatest(coarse, F.lit(1))), lambda b: b <= key))
-    return F.when(key.isNull() | (coarse == 0), 0).otherwise((coarse - 1) * wide + within)
-
-
 def edited(text: Column, other: Column) -> Column:
     """text with its last half of code points replaced by as many first ones of other, or all it has."""
     n = F.length(text)
