@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import fingerprints, html_text, langid, mixing, packing, quality, simhash
+from quillframe.llm import fingerprints, html_text, langid, mixing, packing, passages, quality, simhash
 
 #: The vocabulary of op8 and of the pipeline's last stage, and the id that ends a document.
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -51,6 +51,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every paragraph of every document that repeats, its class, and whether it is removed."""
+    return passages.classes(_table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces in sequences of 2048 tokens, with a checksum of their ids."""
     pieces = packing.packed(_table(spark, sf_dir, "documents"), BPE, END_ID)
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_language_id": op5_language_id,
     "op6_quality_rules": op6_quality_rules,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_packing": op8_packing,
     "op10_document_fingerprints": op10_document_fingerprints,
 }
