@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import written
+from quillframe.llm.common import free_name, written
 from quillframe.llm.components import components
 
 BITS = 64
@@ -46,15 +46,17 @@ def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprinted(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and fp, the fingerprint as a signed long."""
+def fingerprinted(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, the columns to carry, and fp, the fingerprint as a signed long."""
+    kept = [key, *carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], names=[key, "fp"])
+            prints = np.array([fingerprint(t, shingle) for t in batch.column(len(kept)).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(kept))), pa.array(prints, pa.int64())], names=[*kept, "fp"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, fp long")
+    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in kept)
+    return docs.select(*kept, F.col(text)).mapInArrow(run, schema + "fp long")
 
 
 def variants(fp: Column, radius: int) -> Column:
@@ -81,19 +83,32 @@ def links(prints: DataFrame, distance: int = 2) -> DataFrame:
     return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance)
 
 
-def clustered(docs: DataFrame, shingle: int = 3, distance: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, fp and component_id, the smallest key reachable over links."""
-    prints = written(fingerprinted(docs, shingle, key, text), "fingerprints")
+def grouped(prints: DataFrame, key: str, distance: int) -> DataFrame:
+    """fp and component_id, the smallest key of those whose fingerprints are linked to fp's."""
     least = prints.groupBy("fp").agg(F.min(key).alias("least"))
     groups = components(links(least.select("fp"), distance))
     # components of fingerprints, then the smallest key of each
     placed = least.join(groups, least["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     first = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = placed.join(first, "component").select("fp", "component_id")
-    return prints.join(named, "fp").select(key, "fp", "component_id")
+    return placed.join(first, "component").select("fp", "component_id", "component")
+
+
+def clustered(docs: DataFrame, shingle: int = 3, distance: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, fp and component_id, the smallest key reachable over links."""
+    prints = written(fingerprinted(docs, shingle, key, text), "fingerprints")
+    return prints.join(grouped(prints, key, distance), "fp").select(key, "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, distance: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each group: that of the smallest key (of equal keys, one row)."""
-    keep = clustered(docs, shingle, distance, key, text).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_k")).distinct()
-    return docs.dropDuplicates([key]).join(keep, F.col(key).eqNullSafe(F.col("_k")), "left_semi")
+    """docs with one row of each group: the smallest key's (null last; of equal keys, the least hash of key and text).
+
+    Rows are named by two hashes of key and text, so the texts are shuffled once, and
+    repeated rows of the one that stays are one.
+    """
+    r, h = free_name(docs, "row_"), free_name(docs, "row2_")
+    named = docs.withColumn(r, F.xxhash64(key, text)).withColumn(h, F.xxhash64(F.lit("row"), F.col(text), F.col(key)))
+    prints = written(fingerprinted(named, shingle, key, text, (r, h)), "fingerprints")
+    placed = prints.join(grouped(prints, key, distance).select("fp", "component"), "fp")
+    first = placed.groupBy("component").agg(F.min(F.struct(F.col(key).isNull().alias("n"), key, r, h)).alias("f"))
+    keep = first.select(F.col(f"f.{r}").alias(r), F.col(f"f.{h}").alias(h))
+    return named.join(keep, [r, h], "left_semi").dropDuplicates([r, h]).select(*docs.columns)
