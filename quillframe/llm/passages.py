@@ -4,9 +4,8 @@ Paragraphs are lines of at least ``least`` words.  Equal ones are one row from t
 Each distinct paragraph has MinHash values over five-word shingles in bands, tuned so that
 a pair at the threshold meets in some band with the wished recall.  In a bucket every
 paragraph is compared with the one that meets most others and with the one before it in
-that order (two pairs a member, never all pairs); pairs are verified by exact Jaccard
-similarity, and verified links make components.  Buckets that still hold several components
-are compared with the centre of the next component, until a round links nothing new.
+that order (two pairs a member, never all pairs; see linking.py); pairs are verified by
+exact Jaccard similarity, and verified links make components.
 The first place of a component (by key, then line) stays, the others are removed.
 
 Defined cases: null and empty texts, and shorter lines, have no paragraphs and stay as they
@@ -21,11 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.llm.common import free_name, written
-from quillframe.llm.components import components
+from quillframe.llm.linking import linked, shared_buckets, similar
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -44,16 +43,16 @@ def normal(line: str) -> list[bytes]:
     return line.encode("utf-8", "replace").lower().split()
 
 
-def shingles(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of the five-word shingles, in order (a shorter list is one shingle)."""
+def shingles(words: list[bytes], n: int = SHINGLE) -> np.ndarray:
+    """64-bit hashes of the n-word shingles, in order (a shorter list is one shingle)."""
     from xxhash import xxh64_intdigest
 
     each = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
-    if len(each) < SHINGLE:
+    if len(each) < n:
         return np.array([xxh64_intdigest(b" ".join(words))], np.uint64)
-    total = np.zeros(len(each) - SHINGLE + 1, np.uint64)
-    for k in range(SHINGLE):
-        total = (total ^ each[k : len(each) - SHINGLE + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+    total = np.zeros(len(each) - n + 1, np.uint64)
+    for k in range(n):
+        total = (total ^ each[k : len(each) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
         total ^= total >> np.uint64(31)
     return total
 
@@ -132,13 +131,6 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> Dat
     return found.mapInArrow(run, "pid long, sh array<long>").dropDuplicates(["pid"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (u, v) whose shingle sets have at least the threshold's exact Jaccard similarity."""
-    a, b = sets.select(F.col("pid").alias("u"), F.col("sh").alias("a")), sets.select(F.col("pid").alias("v"), F.col("sh").alias("b"))
-    both = pairs.join(a, "u").join(b, "v").withColumn("shared", F.size(F.array_intersect("a", "b")).cast("double"))
-    return both.where(F.col("shared") >= threshold * (F.size("a") + F.size("b") - F.col("shared"))).select("u", "v")
-
-
 def classes(
     docs: DataFrame, least: int = 20, threshold: float = THRESHOLD, recall: float = 0.999, rows: int = 3, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -151,35 +143,9 @@ def classes(
     where = written(paragraphs(docs, least, bands, rows, key, text), "paragraphs")
     single = where.dropDuplicates(["pid"])
     met = single.select("pid", "k", "pos", F.explode("bands").alias("bucket"))
-    size = F.count("*").over(Window.partitionBy("bucket"))
-    met = written(met.withColumn("size", size).where("size > 1"), "buckets")
-    degree = met.groupBy("pid").agg(F.sum("size").alias("degree"))
-    ranked = written(met.select("bucket", "pid").join(degree, "pid"), "ranked")
+    met = written(shared_buckets(met), "buckets")
     sets = written(shingle_sets(docs, met.select("pid", "k", "pos").dropDuplicates(["pid"]), key, text), "shingles")
-
-    def ordered(u: str, v: str) -> list:
-        return [F.least(u, v).alias("u"), F.greatest(u, v).alias("v")]
-
-    order = Window.partitionBy("bucket").orderBy(F.desc("degree"), "pid")
-    near = ranked.select("pid", F.array(F.first("pid").over(order), F.lag("pid").over(order)).alias("others"))
-    near = near.select("pid", F.explode("others").alias("other"))
-    tried = written(near.where("pid <> other").select(*ordered("pid", "other")).distinct(), "pairs")
-    links = written(verified(tried, sets, threshold), "links")
-    found = written(components(links), "components")
-    place = 2
-    while True:
-        # buckets of several components: their members meet the centre of the next one
-        named = ranked.join(found.withColumnRenamed("node", "pid"), "pid", "left").withColumn("c", F.coalesce("component", "pid"))
-        centre = named.groupBy("bucket", "c").agg(F.max(F.struct("degree", "pid")).alias("m"))
-        centre = centre.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("m"))))
-        others = centre.where(F.col("r") == place).select("bucket", F.col("c").alias("oc"), F.col("m.pid").alias("other"))
-        fresh = named.join(others, "bucket").where("c <> oc").select(*ordered("pid", "other")).distinct()
-        fresh = written(fresh.join(tried, ["u", "v"], "left_anti"), "pairs")
-        more = written(verified(fresh, sets, threshold), "links")
-        if more.isEmpty():
-            break
-        tried, links, place = tried.unionByName(fresh), links.unionByName(more), place + 1
-        found = written(components(links), "components")
+    found = linked(met, lambda pairs: similar(pairs, sets, threshold), chain=True)
     named = where.select("pid", "k", "pos", "n_words").join(found.withColumnRenamed("node", "pid"), "pid", "left")
     named = named.select("k", "pos", "n_words", F.coalesce("component", "pid").alias("class_id")).distinct()
     first = named.groupBy("class_id").agg(F.min(F.struct(F.col("k").isNotNull().alias("s"), "k", "pos")).alias("f"), F.count("*").alias("n")).where("n > 1")
