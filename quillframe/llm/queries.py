@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import fingerprints, html_text, langid, mixing, packing, passages, quality, simhash
+from quillframe.llm import fingerprints, html_text, langid, lm, mixing, packing, passages, quality, simhash
 
 #: The vocabulary of op8 and of the pipeline's last stage, and the id that ends a document.
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,6 +19,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability under a model of six sevenths of them."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    counts, model = lm.trained(docs.where(~lm.held_out(F.col("doc_id"))))
+    got = lm.scored(docs, counts, model)
+    n = F.lit(model.total).cast("long").alias("train_tokens")
+    return got.select("doc_id", lm.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", n, "base_score", "score", "spelled_score")
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document the mix of all sources takes."""
     return mixing.taken(_table(spark, sf_dir, "documents"))
@@ -95,6 +104,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_source_mixing": op2_source_mixing,
     "op3_html_extraction": op3_html_extraction,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
