@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import fingerprints, html_text, langid, lm, mixing, packing, passages, quality, simhash
+from quillframe.llm import chat, fingerprints, html_text, langid, lm, mixing, packing, passages, quality, simhash
 
 #: The vocabulary of op8 and of the pipeline's last stage, and the id that ends a document.
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -71,6 +71,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of every conversation with its repaired role and rendering."""
+    return chat.formatted(_table(spark, sf_dir, "conversations"))
+
+
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of every document and of its edited text, and their likeness."""
     f = fingerprints
@@ -112,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_packing": op8_packing,
+    "op9_chat_formatting": op9_chat_formatting,
     "op10_document_fingerprints": op10_document_fingerprints,
     "pipeline": pipeline,
 }
