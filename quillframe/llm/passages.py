@@ -9,8 +9,8 @@ exact Jaccard similarity, and verified links make components.
 The first place of a component (by key, then line) stays, the others are removed.
 
 Defined cases: null and empty texts, and shorter lines, have no paragraphs and stay as they
-are; repeated rows of one key are one document; a null key is a document of its own, the
-first; very long lines are paragraphs like others; an empty table gives an empty one;
+are; repeated rows (key and text) are one document, texts of one key are told apart; a null
+key comes first; very long lines are paragraphs like others; an empty table gives an empty one;
 further columns stay, whatever their names.  Paragraphs are told apart by 64-bit hashes.
 """
 
@@ -74,30 +74,31 @@ def signatures(sets: list[np.ndarray], bands: int, rows: int, seed: int = 5) ->
 
 
 def paragraphs(docs: DataFrame, least: int, bands: int, rows: int, key: str, text: str) -> DataFrame:
-    """pid, k (the document), pos (the line), n_words and the band keys of every paragraph."""
+    """pid, (k, th) (the document: key and hash of the text), pos (the line), n_words and the band keys of every paragraph."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         for batch in batches:
-            ks, poss, pids, ns, sets = [], [], [], [], []
+            ks, ths, poss, pids, ns, sets = [], [], [], [], [], []
 
             def out() -> pa.RecordBatch:
                 keys = signatures(sets, bands, rows).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.ravel()))
-                columns = [pa.array(np.array(pids, np.uint64).view(np.int64)), pa.array(ks, key_type), pa.array(poss, pa.int32()), pa.array(ns, pa.int32()), lists]
-                for x in (ks, poss, pids, ns, sets):
+                columns = [pa.array(np.array(pids, np.uint64).view(np.int64)), pa.array(ks, key_type), pa.array(ths, pa.int64()), pa.array(poss, pa.int32()), pa.array(ns, pa.int32()), lists]
+                for x in (ks, ths, poss, pids, ns, sets):
                     x.clear()
-                return pa.RecordBatch.from_arrays(columns, names=["pid", "k", "pos", "n_words", "bands"])
+                return pa.RecordBatch.from_arrays(columns, names=["pid", "k", "th", "pos", "n_words", "bands"])
 
             key_type = batch.schema.field(0).type
             held = 0
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for k, t, th in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for pos, line in enumerate((t or "").split("\n")):
                     words = normal(line)
                     if len(words) >= least:
                         ks.append(k)
+                        ths.append(th)
                         poss.append(pos)
                         pids.append(xxh64_intdigest(b" ".join(words), 1))
                         ns.append(len(words))
@@ -109,13 +110,14 @@ def paragraphs(docs: DataFrame, least: int, bands: int, rows: int, key: str, tex
             if pids:
                 yield out()
 
-    return docs.select(key, text).mapInArrow(run, f"pid long, k {kind}, pos int, n_words int, bands array<long>")
+    return docs.select(key, text, F.xxhash64(text)).mapInArrow(run, f"pid long, k {kind}, th long, pos int, n_words int, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """pid and the sorted distinct shingle hashes of the paragraphs at the wanted places (pid, k, pos)."""
-    places = wanted.groupBy(F.col("k").alias("k_")).agg(F.collect_list(F.struct("pos", "pid")).alias("at"))  # lines of one document
-    found = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(places, F.col("k").eqNullSafe(F.col("k_"))).select("t", "at")
+    """pid and the sorted distinct shingle hashes of the paragraphs at the wanted places (pid, k, th, pos)."""
+    places = wanted.groupBy(F.col("k").alias("k_"), F.col("th").alias("th_")).agg(F.collect_list(F.struct("pos", "pid")).alias("at"))  # lines of one document
+    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("th"))
+    found = texts.join(places, F.col("k").eqNullSafe(F.col("k_")) & (F.col("th") == F.col("th_"))).select("t", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,31 +136,32 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> Dat
 def classes(
     docs: DataFrame, least: int = 20, threshold: float = THRESHOLD, recall: float = 0.999, rows: int = 3, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """Every place of every paragraph that repeats: k, pos, n_words, class_id, removed.
+    """Every place of every paragraph that repeats: key, text_hash, pos, n_words, class_id, removed.
 
-    class_id is the component's smallest paragraph hash; one place of each class, the
-    first by (k, pos), is not removed.
+    text_hash tells texts of one key apart.  class_id is the component's smallest paragraph
+    hash; one place of each class, the first by key (null first), line and text_hash, is
+    not removed.
     """
     bands = tuned(threshold, recall, rows)
     where = written(paragraphs(docs, least, bands, rows, key, text), "paragraphs")
     single = where.dropDuplicates(["pid"])
-    met = single.select("pid", "k", "pos", F.explode("bands").alias("bucket"))
+    met = single.select("pid", "k", "th", "pos", F.explode("bands").alias("bucket"))
     met = written(shared_buckets(met), "buckets")
-    sets = written(shingle_sets(docs, met.select("pid", "k", "pos").dropDuplicates(["pid"]), key, text), "shingles")
+    sets = written(shingle_sets(docs, met.select("pid", "k", "th", "pos").dropDuplicates(["pid"]), key, text), "shingles")
     found = linked(met, lambda pairs: similar(pairs, sets, threshold), chain=True)
-    named = where.select("pid", "k", "pos", "n_words").join(found.withColumnRenamed("node", "pid"), "pid", "left")
-    named = named.select("k", "pos", "n_words", F.coalesce("component", "pid").alias("class_id")).distinct()
-    first = named.groupBy("class_id").agg(F.min(F.struct(F.col("k").isNotNull().alias("s"), "k", "pos")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    named = where.select("pid", "k", "th", "pos", "n_words").join(found.withColumnRenamed("node", "pid"), "pid", "left")
+    named = named.select("k", "th", "pos", "n_words", F.coalesce("component", "pid").alias("class_id")).distinct()
+    first = named.groupBy("class_id").agg(F.min(F.struct(F.col("k").isNotNull().alias("s"), "k", "pos", "th")).alias("f"), F.count("*").alias("n")).where("n > 1")
     out = named.join(first, "class_id")
-    same = F.col("k").eqNullSafe(F.col("f.k")) & (F.col("pos") == F.col("f.pos"))
-    return out.select(F.col("k").alias(key), "pos", "n_words", "class_id", (~same).alias("removed"))
+    same = F.col("k").eqNullSafe(F.col("f.k")) & (F.col("pos") == F.col("f.pos")) & (F.col("th") == F.col("f.th"))
+    return out.select(F.col("k").alias(key), F.col("th").alias("text_hash"), "pos", "n_words", "class_id", (~same).alias("removed"))
 
 
 def deduplicated(docs: DataFrame, least: int = 20, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the removed paragraphs' lines left out of the text; every row and other column stays."""
     gone = classes(docs, least, threshold, key=key, text=text).where("removed")
-    k, lines = free_name(docs, "k_"), free_name(docs, "gone_")
-    lists = gone.groupBy(F.col(key).alias(k)).agg(F.collect_set("pos").alias(lines))  # lines of one document
-    both = docs.join(lists, F.col(key).eqNullSafe(F.col(k)), "left")
+    k, th, lines = free_name(docs, "k_"), free_name(docs, "th_"), free_name(docs, "gone_")
+    lists = gone.groupBy(F.col(key).alias(k), F.col("text_hash").alias(th)).agg(F.collect_set("pos").alias(lines))  # lines of one document
+    both = docs.join(lists, F.col(key).eqNullSafe(F.col(k)) & (F.xxhash64(text) == F.col(th)), "left")
     left = F.expr(f"array_join(filter(split(`{text}`, '\\n'), (x, i) -> NOT array_contains(`{lines}`, i)), '\\n')")
     return both.withColumn(text, F.when(F.col(lines).isNull(), F.col(text)).otherwise(left)).select(*docs.columns)

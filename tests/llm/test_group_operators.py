@@ -102,7 +102,7 @@ def test_passages_by_brute_force(spark):
         return " ".join(w)
 
     texts = ["\n".join(noisy(rng.choice(pool)) if rng.random() < 0.6 else "short line" for _ in range(4)) for _ in range(60)]
-    data = [(i, t, "en", "s", len(t), 0, "", "") for i, t in enumerate(texts)] + rows()[:4]
+    data = [(i, t, "en", "s", len(t), 0, "", "") for i, t in enumerate(texts)] + rows()[:4] + [(5, "another text", "en", "s", 1, 0, "", "")]
     got = passages.classes(documents(spark, data)).collect()
     places = [(i, k, line.split()) for i, t in enumerate(texts) for k, line in enumerate(t.split("\n")) if len(line.split()) >= 20]
     s = [set(zip(*(w[k:] for k in range(5)), strict=False)) for _, _, w in places]
@@ -116,7 +116,9 @@ def test_passages_by_brute_force(spark):
     assert sorted(map(sorted, found.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
     stay = {min(v) for v in found.values()}
     assert {(r.doc_id, r.pos) for r in got if not r.removed} == stay
-    clean = {r.doc_id: r.text for r in passages.deduplicated(documents(spark, data)).collect() if r.doc_id > 3}
+    after = passages.deduplicated(documents(spark, data)).collect()
+    assert len(after) == len(data) and any(r.text == "another text" for r in after)
+    clean = {r.doc_id: r.text for r in after if r.doc_id > 3 and r.text != "another text"}
     gone = {(r.doc_id, r.pos) for r in got if r.removed}
     for i, t in enumerate(texts):
         if i > 3:
