@@ -2,8 +2,9 @@
 
 In each bucket every member is compared with the bucket's centre, the member that meets
 most others.  Verified links make components; where a bucket still holds several of them,
-its members are compared with the centre of the next component, round after round, until a
-round links nothing new.  A bucket of any size costs one pair a member and round.
+its members are compared with the centres of the next components (one, three, seven ...,
+doubling, so rounds stay few) until a round links nothing new.  A bucket of any size costs
+a pair a member and centre, and most buckets hold one component after the first round.
 """
 
 from __future__ import annotations
@@ -39,21 +40,31 @@ def linked(met: DataFrame, verify: Callable[[DataFrame], DataFrame], chain: bool
 
     near = ranked.select("pid", F.array(*others).alias("o")).select("pid", F.explode("o").alias("other"))
     tried = written(pairs(near), "pairs")
-    links = written(verify(tried), "links")
-    found = written(components(links), "components")
-    place = 2
+    found = written(components(written(verify(tried), "links")), "components")
+    places = 2
     while True:
         named = ranked.join(found.withColumnRenamed("node", "pid"), "pid", "left").withColumn("c", F.coalesce("component", "pid"))
         centre = named.groupBy("bucket", "c").agg(F.max(F.struct("degree", "pid")).alias("m"))
         centre = centre.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("m"))))
-        next_ = centre.where(F.col("r") == place).select("bucket", F.col("c").alias("oc"), F.col("m.pid").alias("other"))
+        next_ = centre.where(F.col("r").between(2, places)).select("bucket", F.col("c").alias("oc"), F.col("m.pid").alias("other"))
         fresh = pairs(named.join(next_, "bucket").where("c <> oc"))
         fresh = written(fresh.join(tried, ["u", "v"], "left_anti"), "pairs")
         more = written(verify(fresh), "links")
         if more.isEmpty():
             return found
-        tried, links, place = tried.unionByName(fresh), links.unionByName(more), place + 1
-        found = written(components(links), "components")
+        tried, places = tried.unionByName(fresh), 2 * places
+        found = written(joined(found, more), "components")
+
+
+def joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components found (node, component) after more links (u, v): only components are linked anew."""
+    of = found.select("node", "component")
+    ends = links.join(of.withColumnRenamed("node", "u").withColumnRenamed("component", "a"), "u", "left").join(of.withColumnRenamed("node", "v").withColumnRenamed("component", "b"), "v", "left")
+    between = written(ends.select("u", "v", F.coalesce("a", "u").alias("a"), F.coalesce("b", "v").alias("b")), "between")
+    moved = components(between.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    new = between.select(F.col("u").alias("node"), F.col("a").alias("component")).unionByName(between.select(F.col("v").alias("node"), F.col("b").alias("component")))
+    every = found.unionByName(new).distinct()
+    return every.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
 
 
 def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
