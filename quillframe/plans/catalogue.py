@@ -1,6 +1,6 @@
 """All driver queries of the engine and their DuckDB SQL."""
 
-from quillframe.plans import layout_queries
+from quillframe.plans import layout_queries, text_queries
 
-QUERIES = {**layout_queries.QUERIES}
-ORACLE = {**layout_queries.ORACLE}
+QUERIES = {**layout_queries.QUERIES, **text_queries.QUERIES}
+ORACLE = {**layout_queries.ORACLE, **text_queries.ORACLE}
