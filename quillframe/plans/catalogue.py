@@ -1,6 +1,7 @@
 """All driver queries of the engine and their DuckDB SQL."""
 
-from quillframe.plans import layout_queries, text_queries
+from quillframe.plans import layout_queries, page_queries, style_queries, text_queries
 
-QUERIES = {**layout_queries.QUERIES, **text_queries.QUERIES}
-ORACLE = {**layout_queries.ORACLE, **text_queries.ORACLE}
+_MODULES = (layout_queries, style_queries, text_queries, page_queries)
+QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLE = {k: s for m in _MODULES for k, s in m.ORACLE.items()}
