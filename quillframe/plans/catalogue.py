@@ -1,7 +1,7 @@
 """All driver queries of the engine and their DuckDB SQL."""
 
-from quillframe.plans import layout_queries, page_queries, style_queries, text_queries
+from quillframe.plans import file_queries, fold_queries, layout_queries, page_queries, style_queries, text_queries
 
-_MODULES = (layout_queries, style_queries, text_queries, page_queries)
+_MODULES = (layout_queries, style_queries, text_queries, page_queries, fold_queries, file_queries)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in _MODULES for k, s in m.ORACLE.items()}
