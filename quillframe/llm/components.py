@@ -1,7 +1,7 @@
 """Connected components by alternating stars, wholly in DataFrames.
 
 Each round joins edges with the smallest neighbour of their ends; rounds end when nothing
-moves.  Every few steps the edges are written to the shared folder, which cuts the lineage
+moves.  Every round the edges are written to the shared folder, which cuts the lineage
 and survives lost executors.  A node of very many edges is pre-aggregated before each
 shuffle, and adaptive execution splits its side of the join.
 """
@@ -33,17 +33,20 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Null ends and loops do not link; repeated edges count once; no edges, no rows.
     """
-    now = written(
-        edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
-    )
+    def size(table: DataFrame) -> tuple:
+        """Order-free sums: a star forest stays as it is, so they repeat."""
+        return tuple(table.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    ends = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    now = written(ends, "edges")
+    before = size(now)
     for _ in range(rounds):
         after = written(_small_star(_large_star(now)), "edges")
-        # a star forest stays as it is: compare order-free sums of both tables
-        a, b = (t.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for t in (now, after))
         dropped(now)
-        now = after
-        if a == b:
+        now, found = after, size(after)
+        if found == before:
             break
+        before = found
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.select(F.col("v").alias("node")).distinct()

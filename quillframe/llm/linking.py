@@ -1,15 +1,17 @@
 """Links between the members of buckets, a linear number of comparisons a round.
 
 In each bucket every member is compared with the bucket's centre, the member that meets
-most others.  Verified links make components; where a bucket still holds several of them,
-its members are compared with the centres of the next components (one, three, seven ...,
-doubling, so rounds stay few) until a round links nothing new.  A bucket of any size costs
-a pair a member and centre, and most buckets hold one component after the first round.
+most others, and with the member before it in the bucket's order.  Verified links make
+components.  Where a bucket still holds several components, each is represented by the
+member of it that meets most others, and the representatives are compared in the same way,
+in another order each round, until a round links nothing new.  So a bucket of any size
+costs two pairs a member, then two a component and round, never all pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,12 +25,11 @@ def shared_buckets(met: DataFrame) -> DataFrame:
     return met.withColumn("size", F.count("*").over(Window.partitionBy("bucket"))).where("size > 1")
 
 
-def linked(met: DataFrame, verify: Callable[[DataFrame], DataFrame], chain: bool = False) -> DataFrame:
+def linked(met: DataFrame, verify: Callable[[DataFrame], DataFrame], chain: bool = True) -> DataFrame:
     """(node, component) of the pids that have links.
 
     met has (bucket, pid, size), no pair twice; verify keeps the pairs (u, v), u < v, that
-    are links.  With chain, the first round also compares each member with the one before
-    it in the bucket's order.
+    are links.  Without chain the first round compares with the centres only.
     """
     degree = met.groupBy("pid").agg(F.sum("size").alias("degree"))
     ranked = written(met.select("bucket", "pid").join(degree, "pid"), "ranked")
@@ -41,18 +42,18 @@ def linked(met: DataFrame, verify: Callable[[DataFrame], DataFrame], chain: bool
     near = ranked.select("pid", F.array(*others).alias("o")).select("pid", F.explode("o").alias("other"))
     tried = written(pairs(near), "pairs")
     found = written(components(written(verify(tried), "links")), "components")
-    places = 2
-    while True:
+    for turn in count(1):
         named = ranked.join(found.withColumnRenamed("node", "pid"), "pid", "left").withColumn("c", F.coalesce("component", "pid"))
-        centre = named.groupBy("bucket", "c").agg(F.max(F.struct("degree", "pid")).alias("m"))
-        centre = centre.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("m"))))
-        next_ = centre.where(F.col("r").between(2, places)).select("bucket", F.col("c").alias("oc"), F.col("m.pid").alias("other"))
-        fresh = pairs(named.join(next_, "bucket").where("c <> oc"))
+        heads = named.groupBy("bucket", "c").agg(F.max(F.struct("degree", "pid")).alias("m")).select("bucket", "m.degree", "m.pid")
+        centre = Window.partitionBy("bucket").orderBy(F.desc("degree"), "pid")
+        mixed = Window.partitionBy("bucket").orderBy(F.xxhash64(F.lit(turn), "pid"), "pid")
+        others = F.array(F.first("pid").over(centre), F.first("pid").over(mixed), F.lag("pid").over(mixed))
+        fresh = pairs(heads.select("pid", others.alias("o")).select("pid", F.explode("o").alias("other")))
         fresh = written(fresh.join(tried, ["u", "v"], "left_anti"), "pairs")
         more = written(verify(fresh), "links")
         if more.isEmpty():
             return found
-        tried, places = tried.unionByName(fresh), 2 * places
+        tried = tried.unionByName(fresh)
         found = written(joined(found, more), "components")
 
 

@@ -148,7 +148,7 @@ def classes(
     met = single.select("pid", "k", "th", "pos", F.explode("bands").alias("bucket"))
     met = written(shared_buckets(met), "buckets")
     sets = written(shingle_sets(docs, met.select("pid", "k", "th", "pos").dropDuplicates(["pid"]), key, text), "shingles")
-    found = linked(met, lambda pairs: similar(pairs, sets, threshold), chain=True)
+    found = linked(met, lambda pairs: similar(pairs, sets, threshold))
     named = where.select("pid", "k", "th", "pos", "n_words").join(found.withColumnRenamed("node", "pid"), "pid", "left")
     named = named.select("k", "th", "pos", "n_words", F.coalesce("component", "pid").alias("class_id")).distinct()
     first = named.groupBy("class_id").agg(F.min(F.struct(F.col("k").isNotNull().alias("s"), "k", "pos", "th")).alias("f"), F.count("*").alias("n")).where("n > 1")
