@@ -132,7 +132,7 @@ def q_usage_counters(spark, sf_dir):
 
 
 def q_memo(spark, sf_dir):
-    c = S.table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("role").alias("engine"), F.lit("{}").alias("params_json"), F.substring("text", 1, 6).alias("text"), F.upper(F.substring("text", 1, 12)).alias("translation"))
+    c = S.table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("role").alias("engine"), F.lit("{}").alias("params_json"), F.substring("text", 1, 6).alias("text"), F.concat(F.lit("t:"), F.substring("text", 1, 12)).alias("translation"))
     memo = X.memo_latest(c.where("turn < 2"))
     return X.memo_joined(c.drop("translation"), memo).select("id", "translation", "hit")
 
@@ -212,7 +212,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, f) AS r FRO
 UNION ALL SELECT doc_id, 7, lang[1:2] FROM documents WHERE doc_id % 3 = 1 UNION ALL SELECT doc_id, NULL, NULL FROM documents WHERE doc_id % 3 = 2""",
     "q_accept": f"WITH {PARAS}, {_PAIRS} SELECT doc_id, para_no, reason FROM z",
     "q_usage_counters": f"""WITH {PARAS}, {_PAIRS} SELECT page_no, count(*) AS total, count(*) FILTER (reason = 'ok') AS ok, count(*) FILTER (reason <> 'ok') AS fallback, sum(n_tokens)::BIGINT AS prompt_tokens, coalesce(sum(n_target), 0)::BIGINT AS completion_tokens FROM z GROUP BY 1""",
-    "q_memo": """WITH c AS (SELECT conv_id * 100 + turn AS id, turn, role AS engine, substr(text, 1, 6) AS text, upper(substr(text, 1, 12)) AS translation FROM conversations),
+    "q_memo": """WITH c AS (SELECT conv_id * 100 + turn AS id, turn, role AS engine, substr(text, 1, 6) AS text, 't:' || substr(text, 1, 12) AS translation FROM conversations),
 m AS (SELECT engine, text, arg_max(translation, id) AS translation FROM c WHERE turn < 2 GROUP BY ALL)
 SELECT c.id, m.translation, m.translation IS NOT NULL AS hit FROM c LEFT JOIN m ON m.engine = c.engine AND m.text = c.text""",
     "q_prompt": f"""WITH {PARAS}, t AS (SELECT doc_id, text AS title FROM paras WHERE label = 'title')
