@@ -3,9 +3,10 @@
 In each bucket every member is compared with the bucket's centre, the member that meets
 most others, and with the member before it in the bucket's order.  Verified links make
 components.  Where a bucket still holds several components, each is represented by the
-member of it that meets most others, and the representatives are compared in the same way,
-in another order each round, until a round links nothing new.  So a bucket of any size
-costs two pairs a member, then two a component and round, never all pairs.
+member of it that meets most others, and the representatives are compared with the first
+of them and with their neighbours in a few new orders each round, until a round links
+nothing new.  So a bucket of any size costs two pairs a member, then ORDERS + 1 a component
+and round, never all pairs.
 """
 
 from __future__ import annotations
@@ -19,35 +20,38 @@ from pyspark.sql import functions as F
 from quillframe.llm.common import written
 from quillframe.llm.components import components
 
-
 def shared_buckets(met: DataFrame) -> DataFrame:
     """The rows of met (bucket, pid, ...) whose bucket has another pid as well, with its size."""
     return met.withColumn("size", F.count("*").over(Window.partitionBy("bucket"))).where("size > 1")
 
 
-def linked(met: DataFrame, verify: Callable[[DataFrame], DataFrame], chain: bool = True) -> DataFrame:
+def linked(met: DataFrame, verify: Callable[[DataFrame], DataFrame], chain: bool = True, orders: int = 6) -> DataFrame:
     """(node, component) of the pids that have links.
 
     met has (bucket, pid, size), no pair twice; verify keeps the pairs (u, v), u < v, that
-    are links.  Without chain the first round compares with the centres only.
+    are links.  Without chain a member's first comparison is with the best of the centres of
+    all its buckets alone; what that leaves apart, the later rounds compare.
     """
     degree = met.groupBy("pid").agg(F.sum("size").alias("degree"))
     ranked = written(met.select("bucket", "pid").join(degree, "pid"), "ranked")
     order = Window.partitionBy("bucket").orderBy(F.desc("degree"), "pid")
-    others = [F.first("pid").over(order)] + [F.lag("pid").over(order)] * chain
-
     def pairs(rows: DataFrame) -> DataFrame:
         return rows.where("pid <> other").select(F.least("pid", "other").alias("u"), F.greatest("pid", "other").alias("v")).distinct()
 
-    near = ranked.select("pid", F.array(*others).alias("o")).select("pid", F.explode("o").alias("other"))
+    if chain:
+        others = F.array(F.first("pid").over(order), F.lag("pid").over(order))
+        near = ranked.select("pid", others.alias("o")).select("pid", F.explode("o").alias("other"))
+    else:
+        centres = ranked.select("pid", F.struct(F.first("degree").over(order).alias("d"), F.first("pid").over(order).alias("p")).alias("m"))
+        near = centres.groupBy("pid").agg(F.max("m").alias("m")).select("pid", F.col("m.p").alias("other"))
     tried = written(pairs(near), "pairs")
     found = written(components(written(verify(tried), "links")), "components")
     for turn in count(1):
         named = ranked.join(found.withColumnRenamed("node", "pid"), "pid", "left").withColumn("c", F.coalesce("component", "pid"))
         heads = named.groupBy("bucket", "c").agg(F.max(F.struct("degree", "pid")).alias("m")).select("bucket", "m.degree", "m.pid")
         centre = Window.partitionBy("bucket").orderBy(F.desc("degree"), "pid")
-        mixed = Window.partitionBy("bucket").orderBy(F.xxhash64(F.lit(turn), "pid"), "pid")
-        others = F.array(F.first("pid").over(centre), F.first("pid").over(mixed), F.lag("pid").over(mixed))
+        mixed = [Window.partitionBy("bucket").orderBy(F.xxhash64(F.lit(turn), F.lit(k), "pid"), "pid") for k in range(orders)]
+        others = F.array(F.first("pid").over(centre), *[F.lag("pid").over(w) for w in mixed])
         fresh = pairs(heads.select("pid", others.alias("o")).select("pid", F.explode("o").alias("other")))
         fresh = written(fresh.join(tried, ["u", "v"], "left_anti"), "pairs")
         more = written(verify(fresh), "links")

@@ -162,7 +162,7 @@ def near_texts(docs: DataFrame, threshold: float, count: int, bits: int, key: st
         apart = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         return similar(both.where(apart <= int(0.2 * count * bits)).select("u", "v"), sets, threshold)
 
-    found = linked(met, verify, chain=False)
+    found = linked(met, verify, chain=False, orders=1)  # a text is in hundreds of buckets
     return prints.join(found.withColumnRenamed("node", "pid"), "pid", "left").select(key, r, h, F.coalesce("component", "pid").alias("class_id"))
 
 
