@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from quillframe.llm.common import free_name, written
 from quillframe.llm.components import components
 from quillframe.llm.linking import linked, shared_buckets, similar
-from quillframe.llm.passages import normal, shingles
+from quillframe.llm.passages import normal, shingles, signatures, tuned
 
 BITS = 64
 
@@ -99,45 +99,38 @@ def clustered(docs: DataFrame, shingle: int = 3, distance: int = 2, key: str = "
     return prints.join(grouped(prints, key, distance), "fp").select(key, "fp", "component_id")
 
 
-def tables(text: str | None, count: int, bits: int, shingle: int = 2) -> tuple[int, list[int]]:
-    """A hash of the text's words, and count independent fingerprints of bits (at most 32) bits each."""
-    from xxhash import xxh64_intdigest
-
-    found = normal(text or "")
-    name = xxh64_intdigest(b" ".join(found), 2)
-    if not found:
-        return name, [0] * count
-    base = shingles(found, shingle)
-    out: list[int] = []
-    for g in range(-(-count // 2)):
-        with np.errstate(over="ignore"):
-            h = (base ^ np.uint64(0xA0761D6478BD642F * (g + 1) % 2**64)) * np.uint64(0xE7037ED1A0B428DB)
-            h ^= h >> np.uint64(32)
-            h *= np.uint64(0x8EBC6AF09C88C6E3)
-            h ^= h >> np.uint64(29)
-        counts = np.zeros(BITS, np.int64)
-        for at in range(0, len(h), 1 << 16):
-            part = h[at : at + (1 << 16)]
-            counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        for half in (counts[:32], counts[32:]):
-            out.append(int(sum(1 << b for b in np.flatnonzero(2 * half[:bits] > len(h)).tolist())))
-    return name, out[:count]
-
-
-def near_texts(docs: DataFrame, threshold: float, count: int, bits: int, key: str, text: str, names: tuple[str, str]) -> DataFrame:
+def near_texts(docs: DataFrame, threshold: float, recall: float, rows: int, key: str, text: str, names: tuple[str, str]) -> DataFrame:
     """key, the two name columns and class_id of each row.
 
-    Texts at the threshold differ in more bits than a ball may hold, so there are ``count``
-    short fingerprints of two-word shingles; each emits its ball of radius 1, texts that
-    meet in any are verified by exact Jaccard similarity of five-word shingles.
+    A contiguous edit (a part appended or cut) moves far more bits of a SimHash than scattered
+    ones of the same Jaccard similarity, so texts meet by MinHash bands of their five-word
+    shingles: the chance to meet depends on that similarity alone.  A pair at the threshold
+    meets with the recall, and texts that meet are verified by exact Jaccard similarity.
     """
     kind = docs.schema[key].dataType.simpleString()
+    bands = tuned(threshold, recall, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
         for batch in batches:
-            got = [tables(t, count, bits) for t in batch.column(3).to_pylist()]
-            pids = pa.array(np.array([p for p, _ in got], np.uint64).view(np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pids, pa.array([f for _, f in got], pa.list_(pa.int64()))], names=[key, *names, "pid", "fps"])
+            pids, keys, sets, held = [], [], [], 0
+            for t in batch.column(3).to_pylist():
+                found = normal(t or "")
+                pids.append(xxh64_intdigest(b" ".join(found), 2))
+                sets.append(shingles(found) if found else np.zeros(1, np.uint64))
+                held += len(found)
+                if held > 500_000:
+                    keys.append(signatures(sets, bands, rows))
+                    sets, held = [], 0
+            if sets:
+                keys.append(signatures(sets, bands, rows))
+            if not pids:
+                continue
+            flat = np.concatenate(keys).view(np.int64).ravel()
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, bands), pa.int32()), pa.array(flat))
+            columns = [*(batch.column(k) for k in range(3)), pa.array(np.array(pids, np.uint64).view(np.int64), pa.int64()), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, *names, "pid", "bands"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,29 +138,17 @@ def near_texts(docs: DataFrame, threshold: float, count: int, bits: int, key: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["pid", "sh"])
 
     r, h = names
-    prints = written(docs.select(key, r, h, text).mapInArrow(run, f"`{key}` {kind}, `{r}` long, `{h}` long, pid long, fps array<long>"), "tables")
-    single = written(prints.dropDuplicates(["pid"]), "texts")
-    masks = F.array(*map(F.lit, [0, *(1 << b for b in range(bits))]))
-    each = single.select("pid", F.posexplode("fps").alias("table", "fp"))
-    # the table's number above the bits of the variant names the bucket
-    ball = each.select("pid", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m) + F.col("table").cast("long") * F.lit(1 << 33))).alias("bucket"))
-    met = written(shared_buckets(ball), "buckets")
-    wanted = met.select("pid").distinct().join(single.select("pid", r, h), "pid")
+    prints = written(docs.select(key, r, h, text).mapInArrow(run, f"`{key}` {kind}, `{r}` long, `{h}` long, pid long, bands array<long>"), "signatures")
+    single = prints.dropDuplicates(["pid"])
+    met = written(shared_buckets(single.select("pid", r, h, F.explode("bands").alias("bucket"))), "buckets")
+    wanted = met.select("pid", r, h).dropDuplicates(["pid"])
     sets = written(docs.join(wanted, [r, h]).dropDuplicates([r, h]).select("pid", text).mapInArrow(read, "pid long, sh array<long>"), "shingles")
-    prints_of = single.select("pid", "fps")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        """Pairs that are near by all fingerprints together, then by their shingles."""
-        both = pairs.join(prints_of.select(F.col("pid").alias("u"), F.col("fps").alias("a")), "u").join(prints_of.select(F.col("pid").alias("v"), F.col("fps").alias("b")), "v")
-        apart = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        return similar(both.where(apart <= int(0.2 * count * bits)).select("u", "v"), sets, threshold)
-
-    found = linked(met, verify, chain=False, orders=1)  # a text is in hundreds of buckets
+    found = linked(met, lambda pairs: similar(pairs, sets, threshold), chain=False, orders=1)
     return prints.join(found.withColumnRenamed("node", "pid"), "pid", "left").select(key, r, h, F.coalesce("component", "pid").alias("class_id"))
 
 
 def deduplicated(
-    docs: DataFrame, threshold: float = 0.8, count: int = 8, bits: int = 32, key: str = "doc_id", text: str = "text"
+    docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, rows: int = 3, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """docs with one row of each group of near copies: the smallest key's (null last; of equal keys, the least hash of key and text).
 
@@ -176,7 +157,7 @@ def deduplicated(
     """
     r, h = free_name(docs, "row_"), free_name(docs, "row2_")
     named = docs.withColumn(r, F.xxhash64(key, text)).withColumn(h, F.xxhash64(F.lit("row"), F.col(text), F.col(key)))
-    placed = near_texts(named, threshold, count, bits, key, text, (r, h))
+    placed = near_texts(named, threshold, recall, rows, key, text, (r, h))
     first = placed.groupBy("class_id").agg(F.min(F.struct(F.col(key).isNull().alias("n"), key, r, h)).alias("f"))
     keep = first.select(F.col(f"f.{r}").alias(r), F.col(f"f.{h}").alias(h))
     return named.join(keep, [r, h], "left_semi").dropDuplicates([r, h]).select(*docs.columns)

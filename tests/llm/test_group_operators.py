@@ -91,6 +91,20 @@ def test_near_copies_leave_one(spark):
     assert simhash.deduplicated(documents(spark, [])).count() == 0
 
 
+def test_appended_and_cut_copies_leave_one(spark):
+    rng = random.Random(12)
+    texts = []
+    for k in range(200):
+        b = [f"w{rng.randrange(50000)}" for _ in range(rng.choice([100, 400]))]
+        new = [f"n{rng.randrange(50000)}" for _ in range(len(b))]
+        texts += [" ".join(b), " ".join(b + new[: len(b) // 4 - 2] if k % 2 else b[: -(len(b) // 10)] + new[: len(b) // 10])]
+    data = [(i, t, "en", "s", len(t), 0, "", "") for i, t in enumerate(texts)]
+    sets = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in texts]
+    assert all(0.8 <= len(a & b) / len(a | b) < 0.84 for a, b in zip(sets[::2], sets[1::2], strict=True))
+    got = {r.doc_id for r in simhash.deduplicated(documents(spark, data)).collect()}
+    assert got >= set(range(0, 400, 2)) and len(got) <= 202  # a recall of 0.99
+
+
 def test_passages_by_brute_force(spark):
     rng = random.Random(4)
     pool = [" ".join(f"v{rng.randrange(900)}" for _ in range(rng.choice([25, 60, 120]))) for _ in range(30)]
