@@ -1,64 +1,81 @@
-"""Links between the members of buckets, a linear number of comparisons a round.
-
-In each bucket every member is compared with the bucket's centre, the member that meets
-most others, and with the member before it in the bucket's order.  Verified links make
-components.  Where a bucket still holds several components, each is represented by the
-member of it that meets most others, and the representatives are compared with the first
-of them and with their neighbours in a few new orders each round, until a round links
-nothing new.  So a bucket of any size costs two pairs a member, then ORDERS + 1 a component
-and round, never all pairs.
+"""Links between the members of buckets: every pair that meets is decided.
+
+First each member is compared with its bucket's centre, the member that meets most others,
+and with the member before it in the bucket's order (two pairs a member); verified links
+make components, so a large group of near copies is one from then on.  Then every pair of
+members that share a bucket and are still in different components is verified.  In buckets
+of up to SMALL members these are all such pairs.  Members of larger ones meet again by
+prefixes, which lose no pair: with the elements of each set in one order, rare ones first,
+two sets of at least the threshold's Jaccard similarity share one of the first
+n - ceil(threshold * n) + 1, with enough elements left behind it in both.  Where many sets
+nearly at the threshold share their prefixes, the pairs are as many as there are; none are
+left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from itertools import count
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillframe.llm.common import written
 from quillframe.llm.components import components
 
+#: Buckets of more members are split by prefixes.
+SMALL = 32
+
+
 def shared_buckets(met: DataFrame) -> DataFrame:
     """The rows of met (bucket, pid, ...) whose bucket has another pid as well, with its size."""
     return met.withColumn("size", F.count("*").over(Window.partitionBy("bucket"))).where("size > 1")
 
 
-def linked(met: DataFrame, verify: Callable[[DataFrame], DataFrame], chain: bool = True, orders: int = 6) -> DataFrame:
+def linked(met: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """(node, component) of the pids that have links.
 
-    met has (bucket, pid, size), no pair twice; verify keeps the pairs (u, v), u < v, that
-    are links.  Without chain a member's first comparison is with the best of the centres of
-    all its buckets alone; what that leaves apart, the later rounds compare.
+    met has (bucket, pid, size), no pair twice; sets has (pid, sh) of all its pids.  Pids
+    that share a bucket and whose sets are similar by the threshold are linked.
     """
     degree = met.groupBy("pid").agg(F.sum("size").alias("degree"))
-    ranked = written(met.select("bucket", "pid").join(degree, "pid"), "ranked")
     order = Window.partitionBy("bucket").orderBy(F.desc("degree"), "pid")
-    def pairs(rows: DataFrame) -> DataFrame:
-        return rows.where("pid <> other").select(F.least("pid", "other").alias("u"), F.greatest("pid", "other").alias("v")).distinct()
-
-    if chain:
-        others = F.array(F.first("pid").over(order), F.lag("pid").over(order))
-        near = ranked.select("pid", others.alias("o")).select("pid", F.explode("o").alias("other"))
-    else:
-        centres = ranked.select("pid", F.struct(F.first("degree").over(order).alias("d"), F.first("pid").over(order).alias("p")).alias("m"))
-        near = centres.groupBy("pid").agg(F.max("m").alias("m")).select("pid", F.col("m.p").alias("other"))
-    tried = written(pairs(near), "pairs")
-    found = written(components(written(verify(tried), "links")), "components")
-    for turn in count(1):
-        named = ranked.join(found.withColumnRenamed("node", "pid"), "pid", "left").withColumn("c", F.coalesce("component", "pid"))
-        heads = named.groupBy("bucket", "c").agg(F.max(F.struct("degree", "pid")).alias("m")).select("bucket", "m.degree", "m.pid")
-        centre = Window.partitionBy("bucket").orderBy(F.desc("degree"), "pid")
-        mixed = [Window.partitionBy("bucket").orderBy(F.xxhash64(F.lit(turn), F.lit(k), "pid"), "pid") for k in range(orders)]
-        others = F.array(F.first("pid").over(centre), *[F.lag("pid").over(w) for w in mixed])
-        fresh = pairs(heads.select("pid", others.alias("o")).select("pid", F.explode("o").alias("other")))
-        fresh = written(fresh.join(tried, ["u", "v"], "left_anti"), "pairs")
-        more = written(verify(fresh), "links")
-        if more.isEmpty():
-            return found
-        tried = tried.unionByName(fresh)
-        found = written(joined(found, more), "components")
+    others = F.array(F.first("pid").over(order), F.lag("pid").over(order))
+    near = met.select("bucket", "pid").join(degree, "pid").select("pid", others.alias("o")).select("pid", F.explode("o").alias("other")).where("pid <> other")
+    tried = written(near.select(F.least("pid", "other").alias("u"), F.greatest("pid", "other").alias("v")).distinct(), "pairs")
+    found = written(components(written(similar(tried, sets, threshold), "links")), "components")
+    # in a bucket of three all pairs were tried
+    named = met.where("size > 3").select("bucket", "pid", "size").join(found.withColumnRenamed("node", "pid"), "pid", "left").withColumn("c", F.coalesce("component", "pid"))
+    apart = written(_apart(named.select("bucket", "pid", "size", "c")), "apart")
+    hot = apart.where(F.col("size") > SMALL).select("pid", "c").distinct()
+    pairs = _pairs(apart.where(F.col("size") <= SMALL)).unionByName(_pairs(_apart(_prefixes(hot, sets, threshold)), threshold))
+    fresh = written(pairs.distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
+    more = written(similar(fresh, sets, threshold), "links")
+    return found if more.isEmpty() else written(joined(found, more), "components")
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """The rows (bucket, pid, c, ...) of buckets that hold several components c."""
+    whole = Window.partitionBy("bucket")
+    return rows.withColumn("a_", F.min("c").over(whole)).withColumn("b_", F.max("c").over(whole)).where("a_ <> b_").drop("a_", "b_")
+
+
+def _pairs(rows: DataFrame, threshold: float | None = None) -> DataFrame:
+    """All (u, v), u < v, in a bucket and in different components; with a threshold, those that their places in sets of n elements allow."""
+    a, b = rows.alias("a"), rows.alias("b")
+    meet = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.pid") < F.col("b.pid")) & (F.col("a.c") != F.col("b.c"))
+    if threshold is not None:
+        # from the first shared element on, enough must be left of both sets; the pair's first one passes if the pair is similar
+        left = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) + 1
+        meet &= left >= threshold / (1 + threshold) * (F.col("a.n") + F.col("b.n")) - 1e-6
+    return a.join(b, meet).select(F.col("a.pid").alias("u"), F.col("b.pid").alias("v"))
+
+
+def _prefixes(hot: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(bucket, pid, c, n, place): each element of the prefix of each set as a bucket, its place there and the set's size."""
+    each = written(hot.join(sets, "pid").select("pid", "c", F.size("sh").alias("n"), F.explode("sh").alias("bucket")), "elements")
+    often = each.groupBy("bucket").agg(F.count("*").alias("often")).where("often > 1")
+    place = F.row_number().over(Window.partitionBy("pid").orderBy(F.coalesce("often", F.lit(1)), "bucket"))
+    # a little under the threshold, so that rounding cannot shorten a prefix
+    first = each.join(often, "bucket", "left").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil((threshold - 1e-9) * F.col("n")) + 1)
+    return first.where("often > 1").select("bucket", "pid", "c", "n", "place")
 
 
 def joined(found: DataFrame, links: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@
 
 Paragraphs are lines of at least ``least`` words.  Equal ones are one row from the start.
 Each distinct paragraph has MinHash values over five-word shingles in bands, tuned so that
-a pair at the threshold meets in some band with the wished recall.  In a bucket every
-paragraph is compared with the one that meets most others and with the one before it in
-that order (two pairs a member, never all pairs; see linking.py); pairs are verified by
-exact Jaccard similarity, and verified links make components.
+a pair at the threshold meets in some band with the wished recall.  Every pair
+that meets is verified by exact Jaccard similarity, unless links have put both into one
+component before, and large buckets are split without loss first (see linking.py);
+verified links make components.
 The first place of a component (by key, then line) stays, the others are removed.
 
 Defined cases: null and empty texts, and shorter lines, have no paragraphs and stay as they
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.llm.common import free_name, written
-from quillframe.llm.linking import linked, shared_buckets, similar
+from quillframe.llm.linking import linked, shared_buckets
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -148,7 +148,7 @@ def classes(
     met = single.select("pid", "k", "th", "pos", F.explode("bands").alias("bucket"))
     met = written(shared_buckets(met), "buckets")
     sets = written(shingle_sets(docs, met.select("pid", "k", "th", "pos").dropDuplicates(["pid"]), key, text), "shingles")
-    found = linked(met, lambda pairs: similar(pairs, sets, threshold))
+    found = linked(met, sets, threshold)
     named = where.select("pid", "k", "th", "pos", "n_words").join(found.withColumnRenamed("node", "pid"), "pid", "left")
     named = named.select("k", "th", "pos", "n_words", F.coalesce("component", "pid").alias("class_id")).distinct()
     first = named.groupBy("class_id").agg(F.min(F.struct(F.col("k").isNotNull().alias("s"), "k", "pos", "th")).alias("f"), F.count("*").alias("n")).where("n > 1")

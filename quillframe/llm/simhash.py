@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quillframe.llm.common import free_name, written
 from quillframe.llm.components import components
-from quillframe.llm.linking import linked, shared_buckets, similar
+from quillframe.llm.linking import linked, shared_buckets
 from quillframe.llm.passages import normal, shingles, signatures, tuned
 
 BITS = 64
@@ -143,7 +143,7 @@ def near_texts(docs: DataFrame, threshold: float, recall: float, rows: int, key:
     met = written(shared_buckets(single.select("pid", r, h, F.explode("bands").alias("bucket"))), "buckets")
     wanted = met.select("pid", r, h).dropDuplicates(["pid"])
     sets = written(docs.join(wanted, [r, h]).dropDuplicates([r, h]).select("pid", text).mapInArrow(read, "pid long, sh array<long>"), "shingles")
-    found = linked(met, lambda pairs: similar(pairs, sets, threshold), chain=False, orders=1)
+    found = linked(met, sets, threshold)
     return prints.join(found.withColumnRenamed("node", "pid"), "pid", "left").select(key, r, h, F.coalesce("component", "pid").alias("class_id"))
 
 

@@ -139,6 +139,41 @@ def test_passages_by_brute_force(spark):
             assert clean[i] == "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone)
 
 
+def family(rng, members, pairs):
+    """Members that share most of a template (Jaccard 0.6 to 0.7), and copies of the first ones with a few words more changed."""
+    template = [f"t{i}" for i in range(120)]
+    texts = [[*template, *(f"u{rng.randrange(10**9)}" for _ in range(28))] for _ in range(members)]
+    for t in texts[:pairs]:
+        texts.append([*t[:-12], *(f"u{rng.randrange(10**9)}" for _ in range(12))])
+    rng.shuffle(texts)
+    return [" ".join(t) for t in texts]
+
+
+def families(texts):
+    """The class of each text by brute force: the least index that its links reach."""
+    s = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in texts]
+    often = [g for g, n in Counter(g for x in s for g in x).items() if n > 1]
+    held = np.array([[g in x for g in often] for x in s], np.float32)
+    size = np.array([len(x) for x in s])
+    shared = held @ held.T
+    near = shared >= 0.8 * (size[:, None] + size - shared)
+    return merged(len(s), np.argwhere(np.tril(near, -1)).tolist())
+
+
+def test_passages_of_one_template_pair_up(spark):
+    texts = family(random.Random(21), 1200, 60)
+    tops = families(texts)
+    assert len(texts) - len(set(tops)) == 60
+    data = [(i, t, "en", "s", len(t), 0, "", "") for i, t in enumerate(texts)]
+    found = defaultdict(set)
+    for r in passages.classes(documents(spark, data)).collect():
+        found[r.class_id].add(r.doc_id)
+    want = defaultdict(set)
+    for i, top in enumerate(tops):
+        want[top].add(i)
+    assert sorted(map(sorted, found.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+
+
 def test_passages_keep_hard_rows(spark):
     out = passages.deduplicated(documents(spark))
     assert out.columns == documents(spark).columns and out.count() == len(rows())
