@@ -174,6 +174,13 @@ def test_passages_of_one_template_pair_up(spark):
     assert sorted(map(sorted, found.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
 
 
+def test_texts_of_one_template_leave_one_of_each_pair(spark):
+    texts = family(random.Random(22), 1200, 60)
+    data = [(i, t, "en", "s", len(t), 0, "", "") for i, t in enumerate(texts)]
+    got = sorted(r.doc_id for r in simhash.deduplicated(documents(spark, data)).collect())
+    assert got == sorted(set(families(texts)))
+
+
 def test_passages_keep_hard_rows(spark):
     out = passages.deduplicated(documents(spark))
     assert out.columns == documents(spark).columns and out.count() == len(rows())
