@@ -2,14 +2,13 @@
 
 First each member is compared with its bucket's centre, the member that meets most others,
 and with the member before it in the bucket's order (two pairs a member); verified links
-make components, so a large group of near copies is one from then on.  Then every pair of
-members that share a bucket and are still in different components is verified.  In buckets
-of up to SMALL members these are all such pairs.  Members of larger ones meet again by
-prefixes, which lose no pair: with the elements of each set in one order, rare ones first,
-two sets of at least the threshold's Jaccard similarity share one of the first
-n - ceil(threshold * n) + 1, with enough elements left behind it in both.  Where many sets
-nearly at the threshold share their prefixes, the pairs are as many as there are; none are
-left out.
+make components, so a large group of near copies is one from then on.  Members of buckets
+that still hold several components then meet by prefixes, which lose no pair: with the
+elements of each set in one order, rare ones first, two sets of at least the threshold's
+Jaccard similarity share one of the first n - ceil(threshold * n) + 1, with enough elements
+left behind it in both.  Each pair is verified once, however many buckets it shares.  Where
+many sets nearly at the threshold share their prefixes, the pairs are as many as there are;
+none are left out.
 """
 
 from __future__ import annotations
@@ -17,16 +16,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import written
+from quillframe.llm.common import dropped, written
 from quillframe.llm.components import components
 
-#: Buckets of more members are split by prefixes.
-SMALL = 32
-
 
 def shared_buckets(met: DataFrame) -> DataFrame:
-    """The rows of met (bucket, pid, ...) whose bucket has another pid as well, with its size."""
-    return met.withColumn("size", F.count("*").over(Window.partitionBy("bucket"))).where("size > 1")
+    """(bucket, pid, size) of the rows of met (bucket, pid) whose bucket has another pid as well; repeated rows are one."""
+    whole = Window.partitionBy("bucket")
+    again = F.lag("pid").over(whole.orderBy("pid"))
+    once = met.select("bucket", "pid").withColumn("again", again).where("again IS NULL OR again <> pid")
+    return once.withColumn("size", F.count("*").over(whole)).where("size > 1").select("bucket", "pid", "size")
 
 
 def linked(met: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -40,15 +39,17 @@ def linked(met: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     others = F.array(F.first("pid").over(order), F.lag("pid").over(order))
     near = met.select("bucket", "pid").join(degree, "pid").select("pid", others.alias("o")).select("pid", F.explode("o").alias("other")).where("pid <> other")
     tried = written(near.select(F.least("pid", "other").alias("u"), F.greatest("pid", "other").alias("v")).distinct(), "pairs")
-    found = written(components(written(similar(tried, sets, threshold), "links")), "components")
+    links = written(similar(tried, sets, threshold), "links")
+    found = written(components(links), "components")
     # in a bucket of three all pairs were tried
-    named = met.where("size > 3").select("bucket", "pid", "size").join(found.withColumnRenamed("node", "pid"), "pid", "left").withColumn("c", F.coalesce("component", "pid"))
-    apart = written(_apart(named.select("bucket", "pid", "size", "c")), "apart")
-    hot = apart.where(F.col("size") > SMALL).select("pid", "c").distinct()
-    pairs = _pairs(apart.where(F.col("size") <= SMALL)).unionByName(_pairs(_apart(_prefixes(hot, sets, threshold)), threshold))
-    fresh = written(pairs.distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
+    named = met.where("size > 3").select("bucket", "pid").join(found.withColumnRenamed("node", "pid"), "pid", "left").withColumn("c", F.coalesce("component", "pid"))
+    rest = written(_apart(named.select("bucket", "pid", "c")).select("pid", "c").distinct(), "apart")
+    fresh = written(_pairs(_apart(_prefixes(rest, sets, threshold)), threshold).distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
     more = written(similar(fresh, sets, threshold), "links")
-    return found if more.isEmpty() else written(joined(found, more), "components")
+    out = found if more.isEmpty() else written(joined(found, more), "components")
+    for table in (tried, links, rest, fresh):
+        dropped(table)
+    return out
 
 
 def _apart(rows: DataFrame) -> DataFrame:
@@ -57,14 +58,13 @@ def _apart(rows: DataFrame) -> DataFrame:
     return rows.withColumn("a_", F.min("c").over(whole)).withColumn("b_", F.max("c").over(whole)).where("a_ <> b_").drop("a_", "b_")
 
 
-def _pairs(rows: DataFrame, threshold: float | None = None) -> DataFrame:
-    """All (u, v), u < v, in a bucket and in different components; with a threshold, those that their places in sets of n elements allow."""
+def _pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """All (u, v), u < v, in a bucket and in different components that their places in sets of n elements allow."""
     a, b = rows.alias("a"), rows.alias("b")
     meet = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.pid") < F.col("b.pid")) & (F.col("a.c") != F.col("b.c"))
-    if threshold is not None:
-        # from the first shared element on, enough must be left of both sets; the pair's first one passes if the pair is similar
-        left = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) + 1
-        meet &= left >= threshold / (1 + threshold) * (F.col("a.n") + F.col("b.n")) - 1e-6
+    # from the first shared element on, enough must be left of both sets; the pair's first one passes if the pair is similar
+    left = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) + 1
+    meet &= left >= threshold / (1 + threshold) * (F.col("a.n") + F.col("b.n")) - 1e-6
     return a.join(b, meet).select(F.col("a.pid").alias("u"), F.col("b.pid").alias("v"))
 
 

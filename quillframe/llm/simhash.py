@@ -110,21 +110,24 @@ def near_texts(docs: DataFrame, threshold: float, recall: float, rows: int, key:
     kind = docs.schema[key].dataType.simpleString()
     bands = tuned(threshold, recall, rows)
 
+    def signed(sets: list[np.ndarray]) -> np.ndarray:
+        return signatures(np.concatenate(sets), np.cumsum([0, *map(len, sets)])[:-1], bands, rows)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         for batch in batches:
             pids, keys, sets, held = [], [], [], 0
-            for t in batch.column(3).to_pylist():
-                found = normal(t or "")
+            for t in batch.column(3):
+                found = normal(t.as_py() or "")
                 pids.append(xxh64_intdigest(b" ".join(found), 2))
                 sets.append(shingles(found) if found else np.zeros(1, np.uint64))
                 held += len(found)
                 if held > 500_000:
-                    keys.append(signatures(sets, bands, rows))
+                    keys.append(signed(sets))
                     sets, held = [], 0
             if sets:
-                keys.append(signatures(sets, bands, rows))
+                keys.append(signed(sets))
             if not pids:
                 continue
             flat = np.concatenate(keys).view(np.int64).ravel()
@@ -139,9 +142,10 @@ def near_texts(docs: DataFrame, threshold: float, recall: float, rows: int, key:
 
     r, h = names
     prints = written(docs.select(key, r, h, text).mapInArrow(run, f"`{key}` {kind}, `{r}` long, `{h}` long, pid long, bands array<long>"), "signatures")
-    single = prints.dropDuplicates(["pid"])
-    met = written(shared_buckets(single.select("pid", r, h, F.explode("bands").alias("bucket"))), "buckets")
-    wanted = met.select("pid", r, h).dropDuplicates(["pid"])
+    single = prints.select("pid", "bands").dropDuplicates(["pid"])
+    met = written(shared_buckets(single.select("pid", F.explode("bands").alias("bucket"))), "buckets")
+    some = prints.select("pid", r, h).join(met.select("pid").distinct(), "pid", "left_semi")
+    wanted = written(some.groupBy("pid").agg(F.min(F.struct(r, h)).alias("f")).select("pid", f"f.{r}", f"f.{h}"), "wanted")
     sets = written(docs.join(wanted, [r, h]).dropDuplicates([r, h]).select("pid", text).mapInArrow(read, "pid long, sh array<long>"), "shingles")
     found = linked(met, sets, threshold)
     return prints.join(found.withColumnRenamed("node", "pid"), "pid", "left").select(key, r, h, F.coalesce("component", "pid").alias("class_id"))

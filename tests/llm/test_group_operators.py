@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from quillframe.llm import chat, html_text, mixing, passages, simhash
+from quillframe.llm import chat, html_text, mixing, simhash
 from quillframe.llm.components import components
 from tests.llm.fixtures import documents, rows
 
@@ -105,40 +105,6 @@ def test_appended_and_cut_copies_leave_one(spark):
     assert got >= set(range(0, 400, 2)) and len(got) <= 202  # a recall of 0.99
 
 
-def test_passages_by_brute_force(spark):
-    rng = random.Random(4)
-    pool = [" ".join(f"v{rng.randrange(900)}" for _ in range(rng.choice([25, 60, 120]))) for _ in range(30)]
-
-    def noisy(p):
-        w = p.split()
-        if rng.random() < 0.5:
-            w[rng.randrange(len(w))] = "edit"
-        return " ".join(w)
-
-    texts = ["\n".join(noisy(rng.choice(pool)) if rng.random() < 0.6 else "short line" for _ in range(4)) for _ in range(60)]
-    data = [(i, t, "en", "s", len(t), 0, "", "") for i, t in enumerate(texts)] + rows()[:4] + [(5, "another text", "en", "s", 1, 0, "", "")]
-    got = passages.classes(documents(spark, data)).collect()
-    places = [(i, k, line.split()) for i, t in enumerate(texts) for k, line in enumerate(t.split("\n")) if len(line.split()) >= 20]
-    s = [set(zip(*(w[k:] for k in range(5)), strict=False)) for _, _, w in places]
-    roots = merged(len(s), [(i, j) for i in range(len(s)) for j in range(i) if len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j])])
-    want = defaultdict(set)
-    for (i, k, _), r in zip(places, roots, strict=True):
-        want[r].add((i, k))
-    found = defaultdict(set)
-    for r in got:
-        found[r.class_id].add((r.doc_id, r.pos))
-    assert sorted(map(sorted, found.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
-    stay = {min(v) for v in found.values()}
-    assert {(r.doc_id, r.pos) for r in got if not r.removed} == stay
-    after = passages.deduplicated(documents(spark, data)).collect()
-    assert len(after) == len(data) and any(r.text == "another text" for r in after)
-    clean = {r.doc_id: r.text for r in after if r.doc_id > 3 and r.text != "another text"}
-    gone = {(r.doc_id, r.pos) for r in got if r.removed}
-    for i, t in enumerate(texts):
-        if i > 3:
-            assert clean[i] == "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone)
-
-
 def family(rng, members, pairs):
     """Members that share most of a template (Jaccard 0.6 to 0.7), and copies of the first ones with a few words more changed."""
     template = [f"t{i}" for i in range(120)]
@@ -160,20 +126,6 @@ def families(texts):
     return merged(len(s), np.argwhere(np.tril(near, -1)).tolist())
 
 
-def test_passages_of_one_template_pair_up(spark):
-    texts = family(random.Random(21), 1200, 60)
-    tops = families(texts)
-    assert len(texts) - len(set(tops)) == 60
-    data = [(i, t, "en", "s", len(t), 0, "", "") for i, t in enumerate(texts)]
-    found = defaultdict(set)
-    for r in passages.classes(documents(spark, data)).collect():
-        found[r.class_id].add(r.doc_id)
-    want = defaultdict(set)
-    for i, top in enumerate(tops):
-        want[top].add(i)
-    assert sorted(map(sorted, found.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
-
-
 def test_texts_of_one_template_leave_one_of_each_pair(spark):
     texts = family(random.Random(22), 1200, 60)
     data = [(i, t, "en", "s", len(t), 0, "", "") for i, t in enumerate(texts)]
@@ -181,13 +133,6 @@ def test_texts_of_one_template_leave_one_of_each_pair(spark):
     assert got == sorted(set(families(texts)))
 
 
-def test_passages_keep_hard_rows(spark):
-    out = passages.deduplicated(documents(spark))
-    assert out.columns == documents(spark).columns and out.count() == len(rows())
-    assert passages.deduplicated(documents(spark, [])).count() == 0
-    assert 1 - (1 - 0.8**3) ** passages.tuned() >= 0.999
-
-
 def test_targets_fill_and_stop():
     assert mixing.targets([100, 100, 100], [5, 2, 1]) == pytest.approx([200, 500 / 3, 250 / 3])
     assert mixing.targets([10, 1000], [5, 2]) == pytest.approx([20, 1495])
