@@ -6,7 +6,7 @@ of the whole, and two sketches estimate resemblance, containment and distinct sh
 
 Defined cases: null counts as the empty text, whose sketch is empty; two empty sketches
 resemble each other fully, an empty and another one not at all; equal texts have equal
-sketches; repeated rows are sketched each; null keys order first; an empty table gives an
+sketches; repeated rows are sketched each; keys are of any type that has an order, null first; an empty table gives an
 empty table; further columns are not carried.
 """
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from quillframe.llm.common import bisected, words
 
@@ -78,17 +79,23 @@ def merged(parts: DataFrame, key: str, column: str = "sketch", k: int = K) -> Da
 def with_next(docs: DataFrame, key: str, text: str, rows_per_part: int = 2_000, most_parts: int = 16_384) -> DataFrame:
     """Each row with the text of the next row in ascending (key, text) order; after the last, the first.
 
-    Rows go by ranges of the numeric key into parts (bounds are quantiles of the keys, at
-    most most_parts of them), in one shuffle of the texts; the first row of each part is
-    repeated at the end of the part before it, so the neighbour is always in the same part.
+    Rows go by ranges of the key into parts (bounds are quantiles of the keys, of a sample by
+    hash where they are no numbers; at most most_parts of them), in one shuffle of the texts;
+    the first row of each part is repeated at the end of the part before it, so the neighbour
+    is always in the same part.  Rows of one key are in one part.
     The driver holds the bounds and each part's first key, nothing else.
     """
     docs = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     parts = max(1, min(most_parts, docs.count() // rows_per_part))
     bounds: list = []
     if parts > 1:
-        cuts = [i / parts for i in range(1, parts)]
-        bounds = sorted(set(docs.agg(F.percentile_approx("k", cuts, 10 * parts)).first()[0] or []))
+        if isinstance(docs.schema["k"].dataType, NumericType):
+            cuts = [i / parts for i in range(1, parts)]
+            bounds = sorted(set(docs.agg(F.percentile_approx("k", cuts, 10 * parts)).first()[0] or []))
+        else:
+            drawn = docs.where("k IS NOT NULL").select("k").distinct().orderBy(F.xxhash64("k")).limit(10 * parts)
+            keys = [r[0] for r in drawn.orderBy("k").collect()]
+            bounds = keys[len(keys) // parts :: max(1, len(keys) // parts)]
     placed = docs.withColumn("p", bisected(F.col("k"), bounds))
     firsts = sorted(placed.groupBy("p").agg(F.min("k").alias("k"), F.count(F.when(F.col("k").isNull(), 1)).alias("nulls")).collect())
     if not firsts:

@@ -7,7 +7,8 @@ of one table row per byte, so a window costs table look-ups and additions.
 
 Learning takes a bounded sample: about ``per_language`` labelled texts of each language
 (chosen by a hash of the key, so the choice is the same wherever the rows lie), and of each
-text at most ``per_text`` windows.  Prediction reads whole texts and nothing but them.
+text at most ``per_text`` windows.  Prediction reads whole texts and nothing but them.  A
+letter is a character of which str.isalpha is true.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; rows without
 a label, a text or a letter teach nothing; equal texts get equal answers; with no teaching
@@ -30,7 +31,7 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBEDDING = 8
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -44,6 +45,11 @@ class Model:
     out_bias: np.ndarray
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter; superscripts, fractions and number letters are none."""
+    return any(m[0].isalpha() for m in _WORDLIKE.finditer(text))
+
+
 def windows(text: str) -> np.ndarray:
     """All bytes of the lower-cased text in rows of WINDOW, the last one filled with 0."""
     data = np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8)
@@ -75,16 +81,20 @@ def probabilities(model: Model, rows: np.ndarray, block: int = 64) -> np.ndarray
     return out
 
 
-def fit(texts: list[str], labels: list[str], per_text: int = 4, epochs: int = 8, batch: int = 64, rate: float = 0.01, seed: int = 7) -> Model:
-    """Train on at most per_text windows of each text, evenly spread over it (Adam, cross entropy)."""
+def picked(text: str, per_text: int = 4) -> np.ndarray:
+    """At most per_text windows of a text, evenly spread over it."""
+    rows = windows(text)
+    return rows[np.unique(np.linspace(0, len(rows) - 1, min(per_text, len(rows))).astype(int))] if len(rows) else rows
+
+
+def fit(texts: list[np.ndarray], labels: list[str], epochs: int = 8, batch: int = 64, rate: float = 0.01, seed: int = 7) -> Model:
+    """Train on the windows of labelled texts (Adam, cross entropy)."""
     languages = sorted(set(labels))
     rng = np.random.default_rng(seed)
     x, y = [], []
-    for text, label in zip(texts, labels, strict=True):
-        rows = windows(text)
-        picks = np.unique(np.linspace(0, len(rows) - 1, min(per_text, len(rows))).astype(int)) if len(rows) else []
-        x += [rows[p] for p in picks]
-        y += [languages.index(label)] * len(picks)
+    for rows, label in zip(texts, labels, strict=True):
+        x += list(rows)
+        y += [languages.index(label)] * len(rows)
     x, y = np.array(x, np.uint8).reshape(-1, WINDOW), np.array(y, int)
     n = FILTERS * len(WIDTHS)
     weights = {"emb": rng.normal(0, 0.5, (256, EMBEDDING)), "b": np.zeros(n), "u": rng.normal(0, 0.1, (n, len(languages))), "c": np.zeros(len(languages))}
@@ -145,11 +155,12 @@ def fit(texts: list[str], labels: list[str], per_text: int = 4, epochs: int = 8,
     return model()
 
 
-def sample(docs: DataFrame, per_language: int = 300, key: str = "doc_id", text: str = "text", label: str = "lang") -> list[tuple[str, str]]:
-    """About per_language (text, label) of each label, the same ones on every run.
+def sample(docs: DataFrame, per_language: int = 300, per_text: int = 4, key: str = "doc_id", text: str = "text", label: str = "lang") -> list[tuple[np.ndarray, str]]:
+    """About per_language (windows of the text, label) of each label, the same ones on every run.
 
     One narrow pass counts the labels; a hash of the key then keeps each row with the
-    fraction that makes per_language of them.
+    fraction that makes per_language of them.  Windows are cut where the texts are, so the
+    driver gets per_text * WINDOW bytes of a text, however long it is.
     """
     known = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull())
     counts = {r[0]: r[1] for r in known.groupBy(label).count().collect()}
@@ -157,20 +168,24 @@ def sample(docs: DataFrame, per_language: int = 300, key: str = "doc_id", text:
         return []
     draw = F.pmod(F.xxhash64(F.lit("langid"), F.col(key)), F.lit(1 << 30))
     limit = F.create_map(*[F.lit(v) for k, n in sorted(counts.items()) for v in (k, min(1 << 30, (per_language << 30) // n))])
-    rows = known.where(draw < limit[F.col(label)]).select(label, text, key).collect()
-    rows.sort(key=lambda r: (r[0], str(r[2]), r[1]))
-    return [(r[1], r[0]) for r in rows if _LETTER.search(r[1])]
+
+    @F.pandas_udf("binary")
+    def cut(texts: pd.Series) -> pd.Series:
+        return pd.Series([picked(t, per_text).tobytes() if has_letter(t) else b"" for t in texts], dtype=object)
+
+    rows = known.where(draw < limit[F.col(label)]).select(label, F.col(key).cast("string"), cut(F.col(text))).collect()
+    return [(np.frombuffer(data, np.uint8).reshape(-1, WINDOW), lang) for lang, _, data in sorted(rows, key=lambda r: (r[0], str(r[1]), r[2])) if data]
 
 
 def train(docs: DataFrame, per_language: int = 300, **names: str) -> Model | None:
     """A model from the labelled rows of docs; None if there are none."""
     rows = sample(docs, per_language, **names)
-    return fit([t for t, _ in rows], [label for _, label in rows]) if rows else None
+    return fit([w for w, _ in rows], [label for _, label in rows]) if rows else None
 
 
 def answer(model: Model | None, text: str | None) -> tuple[str, float]:
     """The language of one whole text and its mean probability."""
-    if text is None or model is None or not _LETTER.search(text):
+    if text is None or model is None or not has_letter(text):
         return UNKNOWN, 0.0
     rows = windows(text)
     p = probabilities(model, rows)
@@ -199,7 +214,7 @@ def answers(model: Model | None, texts: list[str | None]) -> list[tuple[str, flo
 
     held = 0
     for k, text in enumerate(texts):
-        if text is None or model is None or not _LETTER.search(text):
+        if text is None or model is None or not has_letter(text):
             continue
         todo.append(k)
         rows.append(windows(text))

@@ -1,229 +1,55 @@
 """Scoring by a weighted backoff automaton.
 
-States are contexts of smoothed n-grams.  A frequent word is a state of its own, whose arcs
-are the frequent words seen after it; its failure arc, with the backoff weight, leads to
-the state without context, where every word seen in training has an arc (discounts by
-count, as in modified Kneser-Ney smoothing) and the freed mass is the arc of the one
-unknown type.  A text is walked once, left to right, and the state and the sum of log10
-probabilities are carried along: ``score``, over the training types and the unknown one.
-
-Behind the unknown arc the word may be spelled, byte by byte, through states of up to four
-bytes (Witten-Bell) and failure arcs down to the uniform distribution; ``spelled_score``
-adds this, and is a distribution over all texts.
-
-Every training word is counted, however rare.  Counts stay distributed: texts are dealt
-into batches, each batch gets the counts of its own distinct words by a join, and builds
-its part of the automaton from them.  What every task holds is bounded by its definition:
-words of at least ``head`` of all tokens (1000 at most, so at most a million arcs) and
-byte n-grams of at least ``rare`` of all (a million at most).
-
-Defined cases: a null or empty text is the end token alone; without training texts the
-bytes are uniform; null keys and repeated rows are scored each; very long words are walked
-byte by byte; an empty table gives an empty one; further columns are not carried.
+States are the words of the training texts (the end token stands before each text).  From
+state u an arc leads by each word v seen after it; its weight is the smoothed bigram
+probability (c(uv) + k(u) P(v)) / (c(u) + k(u)).  All other words take the failure arc of
+u, weight k(u) / (c(u) + k(u)), to the state without context, where every word has an arc
+of weight P(v) = (c(v) + 1) / (N + V + 1), c being 0 for the one unknown type.  So each
+state's weights add up to one.  k(u) = c(u) ** power stands for the number of types after
+u; the power is fitted so that these numbers add up to the distinct bigrams there are.
+A text is walked once, left to right: the state after a token is that token, and the sum
+of log10 weights is carried along.
+
+All bigrams of the corpus count, and nothing of the model is held whole anywhere.  Texts
+are packed into batches of about PACK bytes, kept as a table.  Each batch sends the hashed
+unigrams and bigrams it holds, with its own training counts, to ranges of hashes, as one
+row of bytes for each range; a range adds up the counts of all batches and sends the totals
+back in the order of the batch's keys.  The number of ranges grows with the input, so a
+range stays as large as RANGE bytes of text make it.  A key has 40 bits within its range,
+so about two in a million share one with another, at any size.
+
+Defined cases: a null or empty text is the end token alone; without training texts every
+probability is 1; null keys and repeated rows are scored each; a very long text is a batch
+of its own; an empty table gives an empty one; further columns are not carried.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.llm.common import written
+from quillframe.llm.passages import hashed, normal
 
-#: The token after the last word of a text.  No word is empty.
-END = b""
-ORDER = 5
-_STOP, _START = 256, 257
-_BITS = 9
+#: Bytes of text in a batch, and behind one range of keys.
+PACK = 8 << 20
+RANGE = 16 << 20
+#: The hash of the end token: no word is empty.
+END = hashed([b""])[0]
+#: Tried powers of k(u).
+POWERS = tuple(p / 20 for p in range(21))
+_LOW = 40
 
 
 def tokens(text: str | None) -> list[bytes]:
     """A-Z lower-cased words, then the end token."""
-    return [*(text or "").encode("utf-8", "replace").lower().split(), END]
-
-
-def symbols(word: bytes) -> list[int]:
-    return [*word, _STOP]
-
-
-class Spelling:
-    """The byte states: P(word) = the product over its bytes and its end, each given up to ORDER - 1 before it."""
-
-    def __init__(self, grams: dict[int, int]):
-        # counts of (context, symbol) for every context length; a gram packs ORDER symbols
-        arcs: dict[tuple, dict[int, float]] = defaultdict(lambda: defaultdict(float))
-        mask = (1 << _BITS) - 1
-        for gram, n in grams.items():
-            parts = tuple(gram >> _BITS * (ORDER - 1 - k) & mask for k in range(ORDER))
-            for k in range(ORDER):
-                arcs[parts[k : ORDER - 1]][parts[-1]] += n
-        uniform = 1 / 257
-        self.arcs: dict[tuple, dict[int, float]] = {}
-        self.fail: dict[tuple, float] = {}
-        lower: dict[tuple, dict[int, float]] = {}
-        weight: dict[tuple, float] = {}
-        for context in sorted(arcs, key=len):
-            seen = arcs[context]
-            total, kinds = sum(seen.values()), len(seen)
-            weight[context] = kinds / (total + kinds)
-            lower[context] = {}
-            for s, n in seen.items():
-                lower[context][s] = n / (total + kinds) + weight[context] * self._below(lower, weight, context, s, uniform)
-        self.arcs = {c: {s: math.log10(p) for s, p in a.items()} for c, a in lower.items()}
-        self.fail = {c: math.log10(w) for c, w in weight.items()}
-        self.floor = math.log10(uniform)
-
-    @staticmethod
-    def _below(lower: dict, weight: dict, context: tuple, symbol: int, uniform: float) -> float:
-        """The probability of symbol in the longest shorter context, with the backoff weights on the way."""
-        factor = 1.0
-        while context:
-            context = context[1:]
-            if context in lower:
-                if symbol in lower[context]:
-                    return factor * lower[context][symbol]
-                factor *= weight[context]
-        return factor * uniform
-
-    def log10(self, word: bytes) -> float:
-        arcs, fail, total = self.arcs, self.fail, 0.0
-        state: tuple = (_START,) * (ORDER - 1)
-        for s in symbols(word):
-            at = state
-            while True:
-                out = arcs.get(at)
-                if out is not None:
-                    p = out.get(s)
-                    if p is not None:
-                        total += p
-                        break
-                    total += fail[at]
-                if not at:
-                    total += self.floor
-                    break
-                at = at[1:]
-            state = (*state[1:], s)
-        return total
-
-
-def grams_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed n-grams of ORDER symbols over the spelled words, and their counts."""
-    flat: list[int] = []
-    for w in words:
-        flat += [_START] * (ORDER - 1)
-        flat += symbols(w)
-    x = np.array(flat, np.int64)
-    packed = np.zeros(max(0, len(x) - ORDER + 1), np.int64)
-    for k in range(ORDER):
-        packed = packed << _BITS | x[k : k + len(packed)]
-    return np.unique(packed[x[ORDER - 1 :] != _START], return_counts=True)
-
-
-def _counted(docs: DataFrame, text: str) -> DataFrame:
-    """word (binary) and c over all texts; words are added up within each batch of rows first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: Counter = Counter()
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                got.update(tokens(t))
-                if len(got) > 400_000:
-                    yield out(got)
-        if got:
-            yield out(got)
-
-    def out(got: Counter) -> pa.RecordBatch:
-        made = pa.RecordBatch.from_arrays([pa.array(list(got), pa.binary()), pa.array(list(got.values()), pa.int64())], names=["word", "c"])
-        got.clear()
-        return made
-
-    return docs.select(text).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
-
-def _spellings(counts: DataFrame, rare: float) -> dict[int, int]:
-    """Counts of byte n-grams over the distinct words, those of at least rare of all."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            g, n = grams_of(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n.astype(np.int64))], names=["g", "n"])
-
-    grams = counts.select("word").mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    table = grams.where(F.col("n") >= F.lit(rare * total)).toArrow()
-    return dict(sorted(zip(table["g"].to_pylist(), table["n"].to_pylist(), strict=True)))
-
-
-def _pairs(docs: DataFrame, text: str, heads: list[bytes]) -> dict[tuple[int, int], int]:
-    """How often one frequent word follows another; the end token also stands before the first word."""
-    index, wide = {w: k for k, w in enumerate(heads)}, len(heads) + 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for t in batch.column(0).to_pylist():
-                ids = np.fromiter((index.get(w, wide - 1) for w in (END, *tokens(t))), np.int64)
-                found.append(ids[:-1] * wide + ids[1:])
-            if found:
-                p, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(n.astype(np.int64))], names=["p", "n"])
-
-    rows = docs.select(text).mapInArrow(run, "p long, n long").groupBy("p").agg(F.sum("n").alias("n")).toArrow()
-    both = {divmod(p, wide): n for p, n in zip(rows["p"].to_pylist(), rows["n"].to_pylist(), strict=True)}
-    return {k: n for k, n in sorted(both.items()) if max(k) < wide - 1}
-
-
-class Model:
-    """What every task holds: totals, the spelling states, and arcs and failure weights of the frequent words."""
-
-    def __init__(self, total: int, kinds: list[int], grams: dict[int, int], heads: dict[bytes, int], pairs: dict[tuple[int, int], int]):
-        """kinds: how many words occur once, twice, three times, four times, and in all."""
-        self.total, self.distinct = total, kinds[4]
-        n1, n2, n3, n4 = (max(1, n) for n in kinds[:4])
-        y = n1 / (n1 + 2 * n2)
-        # between bounds, so that tiny tables keep all probabilities above 0
-        raw = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3)
-        self.discounts = [min(max(d, 0.1), k + 0.8) for k, d in enumerate(raw)]
-        numbers = (kinds[0], kinds[1], kinds[4] - kinds[0] - kinds[1])
-        freed = sum(d * n for d, n in zip(self.discounts, numbers, strict=True))
-        self.spare = freed / total if total else 1.0
-        self.spelling = Spelling(grams)
-        names = list(heads)
-        after: dict[int, dict[int, int]] = defaultdict(dict)
-        for (u, v), n in pairs.items():
-            after[u][v] = n
-        self.arcs: dict[bytes, dict[bytes, float]] = {}
-        self.fail: dict[bytes, float] = {}
-        single = {w: 10 ** self.word(heads[w]) for w in names}
-        for u, seen in after.items():
-            c, off = heads[names[u]], 0.5
-            weight = (c - sum(seen.values()) + off * len(seen)) / c
-            self.fail[names[u]] = math.log10(weight)
-            self.arcs[names[u]] = {names[v]: math.log10((n - off) / c + weight * single[names[v]]) for v, n in seen.items()}
-
-    def word(self, c: int) -> float:
-        """log10 of a word's probability without context, from its count; 0 is the unknown type."""
-        if not c:
-            return math.log10(self.spare)
-        return math.log10((c - self.discounts[min(c, 3) - 1]) / self.total)
-
-    def score(self, words: list[bytes], single: dict[bytes, float]) -> float:
-        """The walk: single holds log10 of the words without context."""
-        arcs, fail, total, state = self.arcs, self.fail, 0.0, END
-        for w in words:
-            out = arcs.get(state)
-            if out is None:
-                total += single[w]
-            else:
-                p = out.get(w)
-                total += fail[state] + single[w] if p is None else p
-            state = w
-        return total
+    return [*normal(text or ""), b""]
 
 
 def held_out(key: Column, parts: int = 7, part: int = 2) -> Column:
@@ -231,53 +57,179 @@ def held_out(key: Column, parts: int = 7, part: int = 2) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % parts == part
 
 
-def trained(docs: DataFrame, head: float = 1e-3, rare: float = 1e-6, text: str = "text") -> tuple[DataFrame, Model]:
-    """The table of all words (word, c) of docs, and the model."""
-    counts = written(_counted(docs, text), "words")
-    few = [F.count(F.when(F.col("c") == k, 1)) for k in range(1, 5)]
-    total, *kinds = counts.agg(F.sum("c"), *few, F.count("*")).first()
-    total = total or 0
-    rows = counts.where(F.col("c") >= F.lit(max(1.0, head * total))).collect()
-    heads = {bytes(r[0]): r[1] for r in sorted(rows, key=lambda r: bytes(r[0]))}
-    return counts, Model(total, kinds, _spellings(counts, rare), heads, _pairs(docs, text, list(heads)))
+def packed(docs: DataFrame, learn: Column, pack: int, key: str, text: str) -> DataFrame:
+    """Batches of texts: batch, their keys (ks), which of them teach (learn), bytes (size) and the words (data: a line for each text)."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, number = TaskContext.get().partitionId(), 0
+        ks, learns, lines, size = [], [], [], 0
+        for part in parts:
+            for k, t, teaches in zip(*part.columns, strict=True):
+                line = b" ".join(normal(t.as_py() or ""))
+                ks.append(k)
+                learns.append(teaches.as_py())
+                lines.append(line)
+                size += len(line) + 1
+                if size > pack:
+                    yield out(at << 32 | number, part.schema.field(0).type, ks, learns, lines, size)
+                    number, ks, learns, lines, size = number + 1, [], [], [], 0
+        if ks:
+            yield out(at << 32 | number, part.schema.field(0).type, ks, learns, lines, size)
+
+    def out(batch: int, key_type: pa.DataType, ks: list, learns: list, lines: list, size: int) -> pa.RecordBatch:
+        data = pa.compress(b"\n".join(lines), "zstd", asbytes=True)
+        whole = pa.ListArray.from_arrays(pa.array([0, len(ks)], pa.int32()), pa.array([k.as_py() for k in ks], key_type))
+        flags = pa.ListArray.from_arrays(pa.array([0, len(ks)], pa.int32()), pa.array(learns, pa.bool_()))
+        return pa.RecordBatch.from_arrays([pa.array([batch], pa.int64()), whole, flags, pa.array([size], pa.int64()), pa.array([data], pa.binary())], names=["batch", "ks", "learn", "size", "data"])
+
+    rows = docs.select(F.col(key), F.col(text), F.coalesce(learn, F.lit(False)).alias("learn_"))
+    return rows.mapInArrow(run, f"batch long, ks array<{kind}>, learn array<boolean>, size long, data binary")
+
+
+def unpacked(data: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed tokens of a batch's texts, one after the other, and how many each text has."""
+    lines = [[*line.split(b" "), b""] if line else [b""] for line in pa.decompress(data, size - 1, "zstd", asbytes=True).split(b"\n")]
+    return hashed([w for line in lines for w in line]), np.fromiter(map(len, lines), np.int64, len(lines))
+
+
+def bigrams(each: np.ndarray) -> np.ndarray:
+    """A hash of each token and the one before it; the end token comes before a text's first."""
+    before = np.concatenate([[END], each[:-1]]).astype(np.uint64)
+    x = before * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    x = (x ^ each) * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    return x * np.uint64(0x94D049BB133111EB)
+
+
+def keyed(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The first ``bits`` bits of a hash, the range, and 40 further ones."""
+    return hashes >> np.uint64(64 - bits - _LOW)
+
+
+def _small(numbers: np.ndarray) -> np.ndarray:
+    """Whole numbers from 0 up in as few bytes as the largest needs."""
+    return numbers.astype(next(t for t in ("u1", "<u2", "<u4", "<u8") if numbers.max(initial=0) <= np.iinfo(t).max))
+
+
+def _numbers(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, {1: "u1", 2: "<u2", 4: "<u4", 8: "<u8"}[len(data) // n]).astype(np.int64)
+
+
+def asked(packs: DataFrame, bits: int) -> DataFrame:
+    """What each batch holds, by range (rng; unigrams, then bigrams): its keys in order, and its training counts of them."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for i in range(part.num_rows):
+                batch, learn, size, data = (part.column(c)[i].as_py() for c in range(4))
+                each, sizes = unpacked(data, size)
+                teaches = np.repeat(np.array(learn, bool), sizes)
+                for kind, hashes in enumerate((each, bigrams(each))):
+                    keys, nth = np.unique(keyed(hashes, bits), return_inverse=True)
+                    counts = np.bincount(nth[teaches], minlength=len(keys))
+                    ranges, first = np.unique(keys >> np.uint64(_LOW), return_index=True)
+                    edges = [*first.tolist(), len(keys)]
+                    low = np.ascontiguousarray(keys).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _LOW // 8]
+                    names = (ranges.astype(np.int64) | kind << 32).tolist()
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([batch] * len(names), pa.int64()),
+                            pa.array(names, pa.int64()),
+                            pa.array([low[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)], pa.binary()),
+                            pa.array([_small(counts[a:b]).tobytes() for a, b in zip(edges, edges[1:], strict=False)], pa.binary()),
+                        ],
+                        names=["batch", "rng", "keys", "counts"],
+                    )
+
+    return packs.select("batch", "learn", "size", "data").mapInArrow(run, "batch long, rng long, keys binary, counts binary")
+
+
+def answered(questions: DataFrame) -> DataFrame:
+    """The totals of each batch's keys (batch, rng, totals), and for each range a row without batch: its tokens, types and the sums of its counts' powers."""
+
+    def add(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        blobs = rows["keys"].to_pylist()
+        sizes = [len(b) * 8 // _LOW for b in blobs]
+        wide = np.zeros((sum(sizes), 8), np.uint8)
+        wide[:, : _LOW // 8] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, _LOW // 8)
+        keys, nth = np.unique(wide.view("<u8")[:, 0], return_inverse=True)
+        counts = np.concatenate([_numbers(c, n) for c, n in zip(rows["counts"].to_pylist(), sizes, strict=True)])
+        totals = np.zeros(len(keys), np.int64)
+        np.add.at(totals, nth, counts)
+        edges = np.cumsum([0, *sizes])
+        given = [_small(totals[nth[a:b]]).tobytes() for a, b in zip(edges, edges[1:], strict=False)]
+        seen = totals[totals > 0].astype(np.float64)
+        powers = [[]] * len(given) + [[float((seen**p).sum()) for p in POWERS]]
+        rng = rows["rng"][0].as_py()
+        return pa.table(
+            [
+                pa.array([*rows["batch"].to_pylist(), None], pa.int64()),
+                pa.array([rng] * (len(given) + 1), pa.int64()),
+                pa.array([*given, None], pa.binary()),
+                pa.array([None] * len(given) + [int(totals.sum())], pa.int64()),
+                pa.array([None] * len(given) + [len(seen)], pa.int64()),
+                pa.array(powers, pa.list_(pa.float64())),
+            ],
+            names=["batch", "rng", "totals", "tokens", "types", "powers"],
+        )
+
+    return questions.groupBy("rng").applyInArrow(add, "batch long, rng long, totals binary, tokens long, types long, powers array<double>")
+
+
+class Model:
+    """Training tokens, distinct ones, and the power of k(u)."""
+
+    def __init__(self, tokens: int, types: int, pairs: int, powers: list[float]):
+        """pairs: distinct bigrams; powers: the sums of all words' counts to each of POWERS."""
+        self.total, self.distinct = tokens, types
+        self.power = POWERS[min(range(len(POWERS)), key=lambda i: abs(powers[i] - pairs))] if tokens else 0.0
+
+    def plain(self, c: np.ndarray) -> np.ndarray:
+        """P(v) from the count of v."""
+        return (c + 1.0) / (self.total + self.distinct + 1.0)
+
+    def arc(self, both: np.ndarray, state: np.ndarray, plain: np.ndarray) -> np.ndarray:
+        """The weight from a state: its arc's, or over its failure arc where both is 0."""
+        k = np.maximum(state, 1.0) ** self.power
+        return (both + k * plain) / (state + k)
 
 
-def scored(docs: DataFrame, counts: DataFrame, model: Model, per_batch: int = 4000, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_tokens, n_known, base_score, score and spelled_score of every text."""
+def scored(docs: DataFrame, learn: Column, pack: int = PACK, span: int = RANGE, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_tokens, n_known, train_tokens, base_score and score of every text; the rows where learn is true teach the model."""
     kind = docs.schema[key].dataType.simpleString()
-    batches_ = max(1, docs.count() // per_batch)
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    dealt = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.pmod(F.xxhash64(key, text), F.lit(batches_)).cast("int").alias("batch")).repartition("batch")
-
-    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, set] = defaultdict(set)
-        for batch in batches:
-            for t, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[b].update(tokens(t))
-        for b, found in seen.items():
-            yield pa.RecordBatch.from_arrays([pa.array([b] * len(found), pa.int32()), pa.array(list(found), pa.binary())], names=["batch", "word"])
-
-    wanted = dealt.select("t", "batch").mapInArrow(needed, "batch int, word binary")
-    parts = wanted.join(counts, "word", "left").select("batch", "word", "c")
-
-    def walk(texts: pa.Table, words: pa.Table) -> pa.Table:
-        m = shared.value
-        norm = math.log10(m.total + m.distinct + 1)
-        single, base, seen, spelled = {}, {}, {}, {}
-        for w, c in zip(words["word"].to_pylist(), words["c"].to_pylist(), strict=True):
-            single[w] = m.word(c or 0)
-            base[w] = math.log10((c or 0) + 1) - norm
-            seen[w] = c is not None
-            spelled[w] = m.spelling.log10(w) if c is None else 0.0
-        cols: list[list] = [[], [], [], [], []]
-        for t in texts["t"].to_pylist():
-            found = tokens(t)
-            score = m.score(found, single)
-            for col, value in zip(cols, (len(found), sum(map(seen.__getitem__, found)), sum(map(base.__getitem__, found)), score, score + sum(map(spelled.__getitem__, found))), strict=True):
-                col.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-        return pa.table([texts["k"], *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=[key, "n_tokens", "n_known", "base_score", "score", "spelled_score"])
-
-    schema = f"`{key}` {kind}, n_tokens long, n_known long, base_score double, score double, spelled_score double"
-    return dealt.groupBy("batch").cogroup(parts.groupBy("batch")).applyInArrow(walk, schema)
+    packs = written(packed(docs, learn, pack, key, text), "texts")
+    size = packs.agg(F.sum("size")).first()[0] or 0
+    bits = min(64 - _LOW, max(0, math.ceil(math.log2(max(1, size / span)))))
+    answers = written(answered(asked(packs, bits)), "totals")
+    ends = answers.where("batch IS NULL").withColumn("kind", F.shiftright("rng", 32))
+    sums = {r.kind: r for r in ends.groupBy("kind").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types"), F.array(*[F.sum(F.col("powers")[i]) for i in range(len(POWERS))]).alias("powers")).collect()}
+    model = Model(sums[0].tokens, sums[0].types, sums[1].types, list(sums[0].powers)) if sums else Model(0, 0, 0, [])
+
+    def walk(texts: pa.Table, totals: pa.Table) -> pa.Table:
+        found: list[dict[int, bytes]] = [{}, {}]
+        for rng, blob in zip(totals["rng"].to_pylist(), totals["totals"].to_pylist(), strict=True):
+            found[rng >> 32][rng & 0xFFFFFFFF] = blob
+        parts = []
+        for i in range(texts.num_rows):
+            each, sizes = unpacked(texts["data"][i].as_py(), texts["size"][i].as_py())
+            counts = []
+            for blobs, hashes in zip(found, (each, bigrams(each)), strict=True):
+                keys, nth = np.unique(keyed(hashes, bits), return_inverse=True)
+                ranges, n = np.unique(keys >> np.uint64(_LOW), return_counts=True)
+                counts.append(np.concatenate([_numbers(blobs[int(r)], int(k)) for r, k in zip(ranges, n, strict=True)])[nth])
+            single, both = (c.astype(np.float64) for c in counts)
+            plain = model.plain(single)
+            # the state before each token is the token before it; the first one's is the end token, the last one of the batch
+            weights = model.arc(both, np.concatenate([single[-1:], single[:-1]]), plain)
+            begins = np.cumsum([0, *sizes[:-1]])
+            columns = [sizes, np.add.reduceat((single > 0).astype(np.int64), begins), np.full(len(sizes), model.total), np.add.reduceat(np.log10(plain), begins), np.add.reduceat(np.log10(weights), begins)]
+            parts.append(pa.table([texts["ks"].combine_chunks().slice(i, 1).flatten(), *map(pa.array, columns)], names=names))
+        return pa.concat_tables(parts)
+
+    names = [key, "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    schema = f"`{key}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    told = answers.where("batch IS NOT NULL").select("batch", "rng", "totals")
+    return packs.select("batch", "ks", "size", "data").groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(walk, schema)

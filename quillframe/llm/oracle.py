@@ -1,7 +1,6 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
-ORACLE: dict[str, str] = {
-    "op6_quality_rules": r"""
+_LEDGER = r"""
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS text FROM documents
 ), w AS (
@@ -24,12 +23,22 @@ WITH t AS (
     length(text) - length(replace(text, '!', '')) AS n_exclamations
   FROM w LEFT JOIN rep ON rep.doc_id = w.doc_id
 ), v AS (
-  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
+  SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT
+    + 8 * (10 * n_dup_lines > 3 * n_lines)::BIGINT + 16 * (word_chars < 2 * n_words)::BIGINT + 32 * (word_chars > 15 * n_words)::BIGINT
+    + 64 * (10 * n_upper > 3 * word_chars)::BIGINT + 128 * (5 * n_exclamations > n_words)::BIGINT AS failed FROM m
 )
-SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
-  n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-  NOT (base_failed OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines OR word_chars < 2 * n_words
-    OR word_chars > 15 * n_words OR 10 * n_upper > 3 * word_chars OR 5 * n_exclamations > n_words) AS kept
-FROM v
-""",
+"""
+
+ORACLE: dict[str, str] = {
+    "op6_quality_rules": _LEDGER
+    + """SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+  n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed, 'v1' AS policy FROM v""",
+    "quality_ablations": _LEDGER
+    + """SELECT policy, rule, count(*) FILTER (failed & bit <> 0) AS n_failed, count(*) FILTER (failed & mask = bit) AS n_only
+FROM v, (VALUES ('base', 3), ('v1', 255)) p(policy, mask),
+  (VALUES ('few_words', 1), ('repeated_windows', 2), ('many_symbols', 4), ('duplicate_lines', 8), ('short_words', 16), ('long_words', 32), ('upper_case', 64), ('exclamations', 128)) r(rule, bit)
+WHERE mask & bit <> 0 GROUP BY policy, rule""",
+    "edited_texts": """WITH o AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id, text), first_value(text) OVER (ORDER BY doc_id, text)) AS nxt FROM o)
+SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(substr(text, 1, (length(text) - length(text) // 2)::BIGINT) || substr(nxt, 1, (length(text) // 2)::BIGINT)) AS edited_sha256 FROM n""",
 }

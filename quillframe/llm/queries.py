@@ -22,10 +22,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's log10 probability under a model of six sevenths of them."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    counts, model = lm.trained(docs.where(~lm.held_out(F.col("doc_id"))))
-    got = lm.scored(docs, counts, model)
-    n = F.lit(model.total).cast("long").alias("train_tokens")
-    return got.select("doc_id", lm.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", n, "base_score", "score", "spelled_score")
+    got = lm.scored(docs, ~lm.held_out(F.col("doc_id")))
+    return got.select("doc_id", lm.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +55,14 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's base measurements and the verdict of policy v1."""
     book = quality.judged(quality.ledger(_table(spark, sf_dir, "documents")))
-    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed", F.lit(quality.V1.name).alias("policy"))
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents fail each rule, and how many fail it alone, under every version of the policy."""
+    book = quality.ledger(_table(spark, sf_dir, "documents"))
+    counted = [quality.ablations(book, p).withColumn("policy", F.lit(p.name)) for p in quality.POLICIES.values()]
+    return counted[0].unionByName(counted[1]).select("policy", "rule", "n_failed", "n_only")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,11 +81,19 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted(_table(spark, sf_dir, "conversations"))
 
 
+def _edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fingerprints.with_next(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return rows.select("doc_id", "text", "next_text", fingerprints.edited(F.col("text"), F.col("next_text")).alias("edited"))
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The length of every document and the hash of its edited text: the part of op10 that SQL has as well."""
+    return _edited(spark, sf_dir).select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+
+
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of every document and of its edited text, and their likeness."""
-    f = fingerprints
-    rows = f.with_next(_table(spark, sf_dir, "documents"), "doc_id", "text")
-    texts = rows.select("doc_id", "text", "next_text", f.edited(F.col("text"), F.col("next_text")).alias("edited"))
+    f, texts = fingerprints, _edited(spark, sf_dir)
     hashed = texts.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
@@ -120,4 +133,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_formatting": op9_chat_formatting,
     "op10_document_fingerprints": op10_document_fingerprints,
     "pipeline": pipeline,
+    "quality_ablations": quality_ablations,
+    "edited_texts": edited_texts,
 }

@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from quillframe.llm import fingerprints, langid, lm, packing, quality
 from quillframe.llm.tokens import Encoder
@@ -56,6 +57,10 @@ def test_next_and_edited_texts(spark):
     want = sorted((r[0], r[1] or "") for r in rows() if r[0] is not None)
     assert got == [(k, t, want[(i + 1) % len(want)][1]) for i, (k, t) in enumerate(want)]
     assert fingerprints.with_next(documents(spark, []), "doc_id", "text").count() == 0
+    named = docs.withColumn("name", F.concat(F.lit("é"), F.col("doc_id").cast("string")))
+    by_name = sorted((r.name.encode(), r.text, r.next_text) for r in fingerprints.with_next(named, "name", "text", rows_per_part=2).collect())
+    ring = sorted((f"é{r[0]}".encode(), r[1] or "") for r in rows() if r[0] is not None)
+    assert by_name == [(k, t, ring[(i + 1) % len(ring)][1]) for i, (k, t) in enumerate(ring)]
     row = spark.createDataFrame([("abcdé", "xyz")], "a string, b string").select(fingerprints.edited(F.col("a"), F.col("b"))).first()[0]
     assert row == "abcxy"
 
@@ -74,6 +79,38 @@ def test_sketches_estimate_and_merge(spark):
     assert whole == sorted(set(s[1]) | set(s[2]))[: f.K]
 
 
+def test_sketches_by_brute_force(spark):
+    """The query's fingerprint and likeness from shingles hashed one by one."""
+    f = fingerprints
+    texts = [r[1] or "" for r in rows() if len(r[1] or "") < 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = {r.k: r.s for r in df.select("k", f.hashed_words(F.col("t")).alias("h")).select("k", f.sketch("h").alias("s")).collect()}
+
+    def signed(x):
+        return x - 2**64 if x >= 2**63 else x
+
+    def slow(text):
+        w = [xxh64_intdigest(x.encode(), 42) for x in split(text)]
+        grams = [w[i : i + 5] for i in range(len(w) - 4)] or ([w] if w else [])
+        out = set()
+        for g in grams:
+            h = 42
+            for x in g:
+                h = xxh64_intdigest(x.to_bytes(8, "little"), h)
+            out.add(signed(h))
+        return out
+
+    sets = [slow(t) for t in texts]
+    for k, s in enumerate(sets):
+        assert got[k] == sorted(s)[: f.K]
+    pairs = [(i, j, got[i], got[j]) for i in range(len(texts)) for j in range(len(texts))]
+    near = spark.createDataFrame(pairs, "i int, j int, a array<long>, b array<long>").select("i", "j", f.resemblance(F.col("a"), F.col("b")).alias("n")).collect()
+    for r in near:
+        both = sorted(sets[r.i] | sets[r.j])[: f.K]
+        want = sum(h in sets[r.i] and h in sets[r.j] for h in both) / len(both) if both else 1.0
+        assert r.n == pytest.approx(want)
+
+
 def test_encoder_equals_the_tokenizer():
     e = Encoder(BPE)
     rng = np.random.default_rng(3)
@@ -126,57 +163,79 @@ def test_language_id_learns_and_answers(spark, sf):
         assert 0 <= r.p.score <= 1
         assert (r.p.lang_pred == "und") == (r.text is None or not any(c.isalpha() for c in r.text))
         assert langid.answer(model, r.text)[0] == r.p.lang_pred
+    for text in ("²", "½ ¾", "Ⅷ", "1 2 _ ?", "", None):
+        assert langid.answer(model, text) == ("und", 0.0) and langid.answers(model, [text]) == [("und", 0.0)]
+    assert langid.answer(model, "² a")[0] != "und"
     assert langid.train(documents(spark, [])) is None
     assert documents(spark).select(langid.predicted(None, F.col("text")).alias("p")).where("p.lang_pred <> 'und'").count() == 0
 
 
-def test_lm_counts_and_normalisation(spark):
-    docs = documents(spark)
-    counts, model = lm.trained(docs)
-    want = Counter(w for r in rows() for w in lm.tokens(r[1]))
-    assert {bytes(r.word): r.c for r in counts.collect()} == want
-    total, kinds = sum(want.values()), len(want)
-    for state in [None, *model.arcs]:
-        p = {w: 10 ** model.word(c) for w, c in want.items()} | {b"?": 10 ** model.word(0)}
-        if state is not None:
-            p = {w: 10 ** (model.arcs[state].get(w) or model.fail[state] + math.log10(q)) for w, q in p.items()}
-        assert abs(sum(p.values()) - 1) < 1e-9
-    got = lm.scored(docs, counts, model, per_batch=3).collect()
-    assert len(got) == len(rows())
-    by = {r.doc_id: r for r in got if r.doc_id is not None}
-    for row in rows():
-        if row[0] is None:
-            continue
-        t = lm.tokens(row[1])
-        base = sum(math.log10((want[w] + 1) / (total + kinds + 1)) for w in t)
-        assert by[row[0]].n_tokens == len(t) and abs(by[row[0]].base_score - base) < 1e-6 * len(t)
-        assert by[row[0]].spelled_score <= by[row[0]].score <= 0
-
-
-def test_spelling_is_a_distribution(spark):
-    g, n = lm.grams_of([b"ab", b"abc", b"b"])
-    s = lm.Spelling(dict(zip(g.tolist(), n.tolist(), strict=True)))
-    for context in s.arcs:
-        total, at, seen = 0.0, context, {}
-        factor = 0.0
-        while True:
-            for sym, p in s.arcs.get(at, {}).items():
-                seen.setdefault(sym, 10 ** (factor + p))
-            if at in s.fail:
-                factor += s.fail[at]
-            if not at:
-                break
-            at = at[1:]
-        total = sum(seen.values()) + (257 - len(seen)) * 10 ** (factor + s.floor)
-        assert abs(total - 1) < 1e-9
+def slow_scores(data, learns):
+    """Known words, base and score of each text from plain counts."""
+    texts = [lm.tokens(t) for t in data]
+    taught = [t for t, teaches in zip(texts, learns, strict=True) if teaches]
+    c, pairs = Counter(w for t in taught for w in t), Counter(p for t in taught for p in zip([b"", *t], t, strict=False))
+    n, v = sum(c.values()), len(c)
+    power = min(lm.POWERS, key=lambda p: abs(sum(x**p for x in c.values()) - len(pairs))) if c else 0
+    out = []
+    for t in texts:
+        score = 0.0
+        for u, w in zip([b"", *t], t, strict=False):
+            k, plain = max(1, c[u]) ** power, (c[w] + 1) / (n + v + 1)
+            score += math.log10((pairs[u, w] + k * plain) / (c[u] + k) if pairs[u, w] else k / (c[u] + k) * plain)
+        out.append((len(t), sum(c[w] > 0 for w in t), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), score))
+    return out
+
+
+@pytest.mark.parametrize("at_once", [400, 8 << 20])
+def test_lm_scores_by_brute_force(spark, at_once):
+    data = [r[1] for r in rows()] + [f"word{i % 7} word{i % 5} rare{i}\n word{i % 3}" for i in range(60)]
+    learns = [i % 3 != 1 for i in range(len(data))]
+    df = spark.createDataFrame(list(zip(range(len(data)), data, learns, strict=True)), "doc_id long, text string, t boolean")
+    got = {r.doc_id: r[1:] for r in lm.scored(df, F.col("t"), pack=at_once, span=at_once).collect()}  # small batches, several ranges
+    assert len(got) == len(data)
+    for i, want in enumerate(slow_scores(data, learns)):
+        assert got[i] == pytest.approx(want, rel=1e-9, abs=1e-9), data[i]
+
+
+def test_language_id_by_plain_convolution(spark, sf):
+    """probabilities() against loops over windows, filters and places."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.train(docs, per_language=20)
+    text = "Die Größe, the size. " * 40
+    rows = langid.windows(text)
+    assert b"".join(r.tobytes() for r in rows).rstrip(b"\0") == text.lower().encode()
+    mean = np.zeros(len(model.languages))
+    for row in rows:
+        pooled = []
+        for table in model.tables:
+            places = range(langid.WINDOW - len(table) + 1)
+            pooled += [max(sum(float(table[k][row[i + k]][f]) for k in range(len(table))) for i in places) for f in range(langid.FILTERS)]
+        z = np.maximum(np.array(pooled) + model.bias, 0) @ model.out + model.out_bias
+        mean += np.exp(z - z.max()) / np.exp(z - z.max()).sum() * (row != 0).sum()
+    mean /= (np.concatenate(rows) != 0).sum()
+    assert langid.answer(model, text) == (model.languages[int(mean.argmax())], pytest.approx(mean.max(), abs=1e-4))
+
+
+def test_lm_weights_of_a_state_add_up():
+    words, model = {"a": 5, "b": 2, "": 3}, lm.Model(10, 3, 6, [10 - p for p in range(21)])
+    plain = {w: model.plain(c) for w, c in words.items()} | {"unknown": model.plain(0)}
+    assert sum(plain.values()) == pytest.approx(1)
+    after = {"a": 1, "": 4}
+    assert sum(model.arc(after.get(w, 0), 5.0, p) for w, p in plain.items()) == pytest.approx(1)
+
+
+def test_lm_beats_single_words(spark, sf):
+    got = lm.scored(spark.read.parquet(f"{sf}/documents.parquet"), ~lm.held_out(F.col("doc_id"))).withColumn("h", lm.held_out(F.col("doc_id")))
+    sums = {r.h: r for r in got.groupBy("h").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).collect()}
+    assert sums[True].score > sums[True].base and sums[False].score > sums[False].base
 
 
 def test_lm_without_training(spark):
-    docs = documents(spark)
-    counts, model = lm.trained(docs.where("false"))
-    got = lm.scored(docs, counts, model).collect()
+    got = lm.scored(documents(spark), F.lit(None).cast("boolean")).collect()
     assert len(got) == len(rows()) and all(r.score <= 0 and r.n_known == 0 for r in got)
-    assert lm.scored(documents(spark, []), counts, model).count() == 0
+    assert lm.scored(documents(spark, []), F.lit(True)).count() == 0
+    assert [r.doc_id for r in lm.scored(documents(spark), F.lit(True)).collect()].count(4) == 2
 
 
 def test_held_out_is_crc32(spark):
