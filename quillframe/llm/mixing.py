@@ -2,28 +2,31 @@
 
 A source's words, in a fixed order of its documents, are cut into blocks of a fixed length.
 Every output shard draws how many of its slots each source gets (whole parts of the
-expectation, and a multinomial draw for the rest), slots are numbered through over shards,
-and slot s of a source reads the block that a pseudorandom permutation of its block numbers
-gives for s, around again after the last one.  Blocks meet documents by block number.
+expectation are certain, the rest is a multinomial draw, so that a small source meets its
+target as well), slots are numbered through over shards, and slot s of a source reads the
+block that a pseudorandom permutation of its block numbers gives for s, around again after
+the last one.  Blocks meet documents by block number.  Shards are drawn in groups, by tasks;
+the driver holds one entry for each source.
 
 Defined cases: a null or empty text has size 0 and is never taken; null is a source of its
 own, the last; repeated rows are documents each; equal keys are told apart by their place;
 a source without words gets nothing; an empty table gives an empty mix; a very long
-document spans many blocks; further columns are kept by ``mixed`` and clash with nothing.
+document spans many blocks; further columns are kept by ``mixed``, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import bisected, n_words, written
+from quillframe.llm.common import free_name, n_words, written
 
 #: Sources take these weights in turn, in code-point order, null last.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -32,13 +35,15 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 @dataclass
 class Plan:
-    """What the driver holds: one entry for each source."""
+    """What the driver holds: one entry for each source, and how many shards there are."""
 
     sources: list[str | None]
     sizes: list[int]
     targets: list[float]
     blocks: list[int]
-    slots: list[int]
+    want: list[float]  # slots, in the mean
+    limits: list[int]  # slots at most, so that no block is read more than ``most`` times
+    shards: int
     block: int
     seed: int
 
@@ -80,12 +85,9 @@ def plan(sizes: list[tuple[str | None, int]], block: int, seed: int, shard_slots
     goal = targets(amounts, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(order))], share, most)
     blocks = [-(-n // block) for n in amounts]
     # mean words of a slot: the last block of a source may be short
-    want = np.array([g / (n / b) if b else 0.0 for g, n, b in zip(goal, amounts, blocks, strict=True)])
-    shards = max(1, int(want.sum() // shard_slots))
-    slots = sum((shard_counts(want, s, shards, seed) for s in range(shards)), np.zeros(len(want), np.int64))
-    # no block is read more than ``most`` times
-    slots = np.minimum(slots, (np.array(blocks) * most).astype(np.int64)) if len(order) else slots
-    return Plan(sources, amounts, goal, blocks, [int(s) for s in slots], block, seed)
+    want = np.array([g / (n / b) if b else 0.0 for g, n, b in zip(goal, amounts, blocks, strict=True)], float)
+    limits = [int(b * most) for b in blocks]
+    return Plan(sources, amounts, goal, blocks, want.tolist(), limits, max(1, int(want.sum() // shard_slots)), block, seed)
 
 
 def permuted(place: np.ndarray, n: np.ndarray, seed: int, rounds: int = 4) -> np.ndarray:
@@ -113,7 +115,7 @@ def permuted(place: np.ndarray, n: np.ndarray, seed: int, rounds: int = 4) -> np
     return x.astype(np.int64)
 
 
-def placed(docs: DataFrame, key: str, text: str, source: str, buckets: int = 1024) -> DataFrame:
+def placed(docs: DataFrame, key: str, text: str, source: str, per_bucket: int = 20_000) -> DataFrame:
     """k, s, size, place (of the first word within the source) and (b, rn), which tell equal rows apart.
 
     Documents of a source stand in the order of a hash bucket, then the key, so a source
@@ -121,7 +123,9 @@ def placed(docs: DataFrame, key: str, text: str, source: str, buckets: int = 102
     (source, bucket) meet.  The table is written: plan and blocks both read it.
     """
     sized = docs.select(F.col(key).alias("k"), F.col(source).alias("s"), n_words(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("h"))
-    sized = written(sized.withColumn("b", F.pmod(F.xxhash64("k", "h"), F.lit(buckets)).cast("int")), "sizes")
+    sized = written(sized, "sizes")
+    buckets = max(64, sized.count() // per_bucket)  # from the footers
+    sized = sized.withColumn("b", F.pmod(F.xxhash64("k", "h"), F.lit(buckets)).cast("int"))
     sums = sized.groupBy("s", "b").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(F.col("s").alias("s_"), F.col("b").alias("b_"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
@@ -132,28 +136,49 @@ def placed(docs: DataFrame, key: str, text: str, source: str, buckets: int = 102
     )
 
 
-def slots_of(docs: DataFrame, made: Plan) -> DataFrame:
-    """Every slot of the mix: si (index of the source), slot, block."""
-    edges = np.cumsum([0, *made.slots])
-    ids = docs.sparkSession.range(0, int(edges[-1]))
-    si = bisected(F.col("id"), [int(e) for e in edges[1:]]).cast("int")
-    at = F.array(*[F.lit(int(e)) for e in edges])
-    n = F.array(*[F.lit(int(b)) for b in made.blocks], F.lit(0))
-    rows = ids.select(si.alias("si"), "id").select(
-        "si", (F.col("id") - F.element_at(at, F.col("si") + 1)).alias("slot"), F.element_at(n, F.col("si") + 1).alias("n")
-    )
-    seed = made.seed
+def slots_of(spark: SparkSession, made: Plan, group: int = 256) -> DataFrame:
+    """Every slot of the mix: shard, si (index of the source), slot (numbered through) and the block it reads.
+
+    Tasks draw groups of shards; the sums of the groups before give each its first slots.
+    """
+    want, shards, seed = np.array(made.want), made.shards, made.seed
 
-    def run(batches):
+    def counts(g: int) -> np.ndarray:
+        return np.array([shard_counts(want, s, shards, seed) for s in range(g * group, min(shards, (g + 1) * group))])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            index, slot, n = (batch.column(i).to_numpy() for i in range(3))
-            block = np.zeros(len(slot), np.int64)
-            for i in np.unique(index):
-                mine = index == i
-                block[mine] = permuted(slot[mine] % n[mine], n[mine], seed + 1 + int(i))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(block)], names=["si", "slot", "block"])
+            for g in batch.column(0).to_pylist():
+                n = counts(g).sum(axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array([g] * len(n), pa.int64()), pa.array(range(len(n)), pa.int32()), pa.array(n)], names=["g", "si", "n"])
 
-    return rows.mapInArrow(run, "si int, slot long, block long")
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, limits = np.array(made.blocks), np.array(made.limits)
+        for batch in batches:
+            for g, starts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at = np.zeros(len(want), np.int64)
+                for x in starts:
+                    at[x["si"]] = x["start"]
+                for k, n in enumerate(counts(g)):
+                    si = np.repeat(np.arange(len(n)), n)
+                    slot = np.arange(len(si)) - np.repeat(np.cumsum(n) - n, n) + at[si]
+                    at += n
+                    fits = slot < limits[si]
+                    si, slot = si[fits], slot[fits]
+                    block = np.zeros(len(slot), np.int64)
+                    for i in np.unique(si):
+                        mine = si == i
+                        block[mine] = permuted(slot[mine] % blocks[i], np.full(mine.sum(), blocks[i]), seed + 1 + int(i))
+                    columns = [np.full(len(si), g * group + k), si.astype(np.int32), slot, block]
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["shard", "si", "slot", "block"])
+
+    if not made.want:
+        return spark.createDataFrame([], "shard long, si int, slot long, block long")
+    groups = spark.range(-(-shards // group))
+    sums = groups.mapInArrow(summed, "g long, si int, n long")
+    before = Window.partitionBy("si").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).groupBy("g").agg(F.collect_list(F.struct("si", "start")).alias("starts"))
+    return starts.mapInArrow(filled, "shard long, si int, slot long, block long")
 
 
 def drawn(
@@ -168,7 +193,7 @@ def drawn(
         f"s_ {docs.schema[source].dataType.simpleString()}, si int, source_size long, target double",
     )
     rows = rows.join(names, F.col("s").eqNullSafe(F.col("s_"))).drop("s_")
-    times = slots_of(docs, made).groupBy("si", "block").agg(F.count("*").alias("times"))
+    times = slots_of(docs.sparkSession, made).groupBy("si", "block").agg(F.count("*").alias("times"))
     return rows, times, made
 
 
@@ -207,23 +232,23 @@ def mixed(docs: DataFrame, block: int = 64, seed: int = 11, key: str = "doc_id",
     rows, times, _ = drawn(docs, block, seed, key=key, text=text, source=source)
     met = spans(rows, block).join(times, ["si", "block"])
     copies = met.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    k, s, h, n, parts = (free_name(docs, f"{c}_of_row") for c in ("key", "source", "hash", "nth", "parts"))
     reads = copies.groupBy("si", "b", "rn", "copy").agg(
-        F.first("k").alias("k_"), F.first("s").alias("s_"), F.first("h").alias("h_"), F.sort_array(F.collect_list(F.struct("low", "high"))).alias("parts")
+        F.first("k").alias(k), F.first("s").alias(s), F.first("h").alias(h), F.sort_array(F.collect_list(F.struct("low", "high"))).alias(parts)
     )
     # equal rows of a table (key, source, text) are numbered alike on both sides
-    same = Window.partitionBy("k_", "s_", "h_", "copy").orderBy("rn")
-    reads = reads.withColumn("n_", F.row_number().over(same)).select("k_", "s_", "h_", "n_", "parts")
-    twins = Window.partitionBy(F.col(key), F.col(source), F.xxhash64(F.col(text))).orderBy(F.lit(0))
+    reads = reads.withColumn(n, F.row_number().over(Window.partitionBy(k, s, h, "copy").orderBy("rn"))).select(k, s, h, n, parts)
+    others = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    twins = Window.partitionBy(F.col(key), F.col(source), F.xxhash64(F.col(text))).orderBy(F.xxhash64(*others))
 
     @F.pandas_udf("string")
     def words_of(texts: pd.Series, parts: pd.Series) -> pd.Series:
         return pd.Series([cut(t, joined([(int(p["low"]), int(p["high"])) for p in ps])) for t, ps in zip(texts, parts, strict=True)])
 
-    numbered = docs.withColumn("_n", F.row_number().over(twins)).withColumn("_h", F.xxhash64(F.col(text)))
-    both = numbered.join(
-        reads, F.col(key).eqNullSafe(F.col("k_")) & F.col(source).eqNullSafe(F.col("s_")) & (F.col("_h") == F.col("h_")) & (F.col("_n") == F.col("n_"))
-    )
-    return both.withColumn(text, words_of(F.col(text), F.col("parts"))).select(*docs.columns)
+    mine = free_name(docs, "nth_of_twins")
+    numbered = docs.withColumn(mine, F.row_number().over(twins))
+    same = F.col(key).eqNullSafe(F.col(k)) & F.col(source).eqNullSafe(F.col(s)) & (F.xxhash64(F.col(text)) == F.col(h)) & (F.col(mine) == F.col(n))
+    return numbered.join(reads, same).withColumn(text, words_of(F.col(text), F.col(parts))).select(*docs.columns)
 
 
 def joined(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -163,6 +163,40 @@ def test_mix_meets_targets(spark, sf):
     assert words == Counter({r.doc_id: r.taken for r in got if r.taken})
 
 
+def test_mix_replayed_by_brute_force(spark):
+    rng = random.Random(13)
+    data = [(i, " ".join("w" for _ in range(rng.randrange(0, 700))), "en", rng.choice(["a", "b", None, "Z"]), 0, 0, "", "") for i in range(150)]
+    docs = documents(spark, data)
+    rows_, _, made = mixing.drawn(docs, 64, 11)
+    rows_ = rows_.collect()
+    plan = mixing.plan([(s, sum(r.size for r in rows_ if r.s == s)) for s in ("a", "b", None, "Z")], 64, 11, 40)
+    assert plan.sources == ["Z", "a", "b", None] and plan.shards > 3
+    slots = mixing.slots_of(spark, plan, group=2).collect()
+    draws = [mixing.shard_counts(np.array(plan.want), s, plan.shards, 11) for s in range(plan.shards)]
+    at, want = [0] * 4, set()
+    for shard, counts in enumerate(draws):
+        for si, n in enumerate(counts):
+            for slot in range(at[si], at[si] + n):
+                if slot < 2 * plan.blocks[si]:
+                    block = mixing.permuted(np.array([slot % plan.blocks[si]]), np.array([plan.blocks[si]]), 12 + si)[0]
+                    want.add((shard, si, slot, int(block)))
+            at[si] += int(n)
+    assert {tuple(r) for r in slots} == want and len(slots) == len(want)
+    whole = Counter((r.si, r.block) for r in mixing.slots_of(spark, made).collect())
+    words = {}
+    for r in rows_:
+        words[r.k] = sum(whole[r.si, p // 64] for p in range(r.place, r.place + r.size))
+    assert {r.doc_id: r.taken for r in mixing.taken(docs).collect()} == words
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    names = ("_n", "_h", "k_", "s_", "h_", "n_", "copy", "parts", "si", "b", "rn", "block", "times", "size", "key_of_row", "nth_of_twins")
+    data = [(i, " ".join(f"w{j}" for j in range(20 + i)), f"s{i % 3}", *(1000 * k + i for k in range(len(names)))) for i in range(30)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, " + ", ".join(f"`{n}` long" for n in names))
+    got = mixing.mixed(df).collect()
+    assert got and all(r[f] == 1000 * k + r.doc_id for r in got for k, f in enumerate(names))
+
+
 def test_mix_of_hard_rows(spark):
     got = mixing.taken(documents(spark)).collect()
     assert len(got) == len(rows()) and all(0 <= r.taken <= 2 * r.size for r in got)
@@ -214,6 +248,52 @@ def test_template_lines_fall_and_copies_stay(spark):
     assert html_text.extracted(df.where("false")).count() == 0
 
 
+def test_only_differencing_cleans_an_article(spark):
+    """The line stands in every article, in plain paragraphs: structure cannot tell."""
+    rng = random.Random(31)
+    data = [(i, f"https://h.example/n/{i:04}", f"<article><p>Read our terms first.</p><p>Story {rng.random()} of {i}</p><p>Thanks for reading.</p></article>") for i in range(300)]
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extracted(df).collect()}
+    assert all(got[i] == data[i][2].split("<p>")[2].split("</p>")[0] for i in range(300))
+
+
+def test_text_does_not_depend_on_partitions(spark):
+    rng = random.Random(32)
+    body = [f"<p>{rng.choice(['menu a', 'menu b', 'menu c'])}</p><p>text {rng.random()}</p><p>{rng.choice(['end x', 'end y'])}</p>" for _ in range(900)]
+    body[100:400] = [body[100]] * 300  # copies in a row
+    data = [(i, f"https://{'big' if i < 700 else 'h%d' % (i % 5)}.example/p/{i:04}", b) for i, b in enumerate(body)] + [(901, None, "<p>menu a</p>")]
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    found = []
+    try:
+        for n in (1, 4, 16):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            found.append({r.page_id: r.text for r in html_text.extracted(df.repartition(n + 1), per_bucket=100).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[0] == found[1] == found[2] and len(found[0]) == 901
+    assert len({found[0][i] for i in range(100, 400)}) == 1
+
+
+def test_differences_by_brute_force(spark):
+    """The rule spelled out over a whole host: nearest neighbours that are no copies, lines that most of them have."""
+    rng = random.Random(33)
+    pages = [[rng.choice("abc") * 9, f"body {rng.random()}", rng.choice("xyz") * 9] for _ in range(40)]
+    pages[7] = list(pages[6])
+    data = [(i, f"https://h.example/{i:03}", "".join(f"<p>{x}</p>" for x in p)) for i, p in enumerate(pages)]
+    got = {r.page_id: r.text for r in html_text.extracted(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    for i, own in enumerate(pages):
+        near = []
+        for side in (pages[:i][::-1], pages[i + 1 :]):
+            kept = []
+            for other in side:
+                if own[1] != other[1] and all(other[1] != x[1] for x in kept) and len(kept) < 4:
+                    kept.append(other)
+            near += [(pages.index(x), x) for x in kept]
+        best = max(near, key=lambda n: html_text.nearness(f"/{i:03}", f"/{n[0]:03}"))[1]
+        want = [x for x in own if not (x in best and 2 * sum(x in n for _, n in near) > len(near))]
+        assert got[i] == " ".join(want), i
+
+
 def slow_cost(codes):
     best = {0: 0.0}
     for c in codes:
