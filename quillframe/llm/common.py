@@ -49,10 +49,13 @@ def free_name(df: DataFrame, stem: str) -> str:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and every executor reach, from spark.checkpoint.dir.
 
-    Only where that is unset (tests, one machine) is a temporary folder taken, and set.
+    Only where that is unset and everything runs on one machine (tests) is a temporary folder
+    taken, and set; on a cluster the executors could not read it, so that is an error.
     """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors reach")
         folder = tempfile.mkdtemp(prefix="quillframe-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/quillframe-{spark.sparkContext.applicationId}"
