@@ -40,7 +40,7 @@ THRESHOLD = 0.8
 #: A cut is the least of this many words before and after it: one cut in 2 * REACH + 1 words.
 REACH = 6
 #: The shortest passage that goes, in words.
-LEAST = 20
+LEAST = 40
 #: How many words a passage may grow at an end.
 MARGIN = 48
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
