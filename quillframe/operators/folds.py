@@ -6,7 +6,11 @@ page key; only the columns named in the select before it are sent.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,64 +26,96 @@ def gap_islands(words: DataFrame, factor: float = 3.5) -> DataFrame:
     return words.withColumn("new", new).withColumn("cluster", F.sum("new").over(order)).drop("new")
 
 
-def components_of(boxes: list[tuple[float, float, float, float]], eps: float) -> list[int]:
-    """Single-linkage clusters of boxes by the Manhattan distance of their centres (union-find over a sweep in x)."""
-    top = list(range(len(boxes)))
-
-    def find(i: int) -> int:
-        while top[i] != i:
-            top[i] = top[top[i]]
-            i = top[i]
-        return i
+def components_of(x: np.ndarray, y: np.ndarray, eps: float, at_once: int = 4_000_000) -> np.ndarray:
+    """Single-linkage clusters of points by Manhattan distance: each point's least index of its cluster.
 
-    centres = [((b[0] + b[2]) / 2, (b[1] + b[3]) / 2) for b in boxes]
-    order = sorted(range(len(boxes)), key=lambda i: centres[i])
-    for k, i in enumerate(order):
-        for j in order[k + 1 :]:
-            if centres[j][0] - centres[i][0] > eps:
-                break
-            if abs(centres[j][0] - centres[i][0]) + abs(centres[j][1] - centres[i][1]) <= eps:
-                a, b = find(i), find(j)
-                top[max(a, b)] = min(a, b)
-    return [find(i) for i in range(len(boxes))]
+    A sweep in x gives each point its candidates; labels then fall to the least of the
+    linked ones, with pointer jumping, until nothing moves.
+    """
+    n = len(x)
+    order = np.argsort(x, kind="stable")
+    xs, ys = x[order], y[order]
+    ends = np.searchsorted(xs, xs + eps, "right")
+    links = []
+    begin = 0
+    while begin < n:  # bounded blocks of candidate pairs
+        counts = ends[begin:] - np.arange(begin, n) - 1
+        stop = begin + max(1, int(np.searchsorted(np.cumsum(counts), at_once, "right")))
+        counts = counts[: stop - begin]
+        u = np.repeat(np.arange(begin, min(stop, n)), counts)
+        v = u + 1 + np.arange(len(u)) - np.repeat(np.cumsum(counts) - counts, counts)
+        near = (xs[v] - xs[u]) + np.abs(ys[v] - ys[u]) <= eps
+        links.append(np.stack([order[u[near]], order[v[near]]]))
+        begin = stop
+    u, v = np.concatenate(links, axis=1) if links else np.zeros((2, 0), int)
+    top = np.arange(n)
+    while True:
+        least = np.minimum(top[u], top[v])
+        before = top.copy()
+        np.minimum.at(top, top[u], least)
+        np.minimum.at(top, top[v], least)
+        while (top[top] != top).any():
+            top = top[top]
+        if (top == before).all():
+            return top
 
 
-def clustered(words: DataFrame, eps: float = 60.0) -> DataFrame:
-    """Words of a page with the cluster of their centres; a cluster is named by its first word."""
+def clustered(words: DataFrame, factor: float = 3.5) -> DataFrame:
+    """Words of a page with the cluster of their centres: linked within factor times the mean character size; named by its first word."""
 
     def page(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
-        seqs = pdf["seq"].tolist()
-        roots = components_of(list(pdf[["x", "y", "x2", "y2"]].itertuples(index=False, name=None)), eps)
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "page_no": pdf["page_no"], "seq": pdf["seq"], "cluster": [seqs[r] for r in roots]})
+        seqs, x, y, x2, y2 = (pdf[c].to_numpy() for c in ("seq", "x", "y", "x2", "y2"))
+        sizes = np.concatenate([(x2 - x) / pdf["n"].to_numpy(), y2 - y])
+        eps = factor * (sizes[sizes > 0].mean() if (sizes > 0).any() else 10.0)
+        return pd.DataFrame({"doc_id": pdf["doc_id"], "page_no": pdf["page_no"], "seq": seqs, "cluster": seqs[components_of((x + x2) / 2, (y + y2) / 2, eps)]})
+
+    return words.select(*KEY, "seq", "n", "x", "y", "x2", "y2").groupBy(*KEY).applyInPandas(page, "doc_id long, page_no long, seq int, cluster int")
 
-    return words.select(*KEY, "seq", "x", "y", "x2", "y2").groupBy(*KEY).applyInPandas(page, "doc_id long, page_no long, seq int, cluster int")
 
+def merge_boxes(boxes: np.ndarray, joins) -> list[list[int]]:
+    """Merge the first pair (in order of both) that joins, start again, until none does; groups of indices in order.
 
-def merge_boxes(boxes: list[list[float]], joins) -> list[list[int]]:
-    """Merge the first pair that joins, start again, until none does; groups of indices in order."""
-    groups = [(list(b), [k]) for k, b in enumerate(boxes)]
+    After a merge only the grown group can join with those before it, so it is compared
+    with them, at once, and not all pairs again.
+    """
+    boxes = np.array(boxes, float).reshape(-1, 4)
+    groups = [[k] for k in range(len(boxes))]
     k = 0
     while k < len(groups):
-        hit = next((j for j in range(k + 1, len(groups)) if joins(groups[k][0], groups[j][0])), None)
-        if hit is None:
+        hits = np.flatnonzero(joins(boxes[k], boxes[k + 1 :]))
+        if not len(hits):
             k += 1
             continue
-        (a, ia), (b, ib) = groups[k], groups.pop(hit)
-        groups[k] = ([min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])], ia + ib)
-        k = 0
-    return [i for _, i in groups]
+        into, other = k, k + 1 + int(hits[0])
+        while True:
+            boxes[into] = [*np.minimum(boxes[into, :2], boxes[other, :2]), *np.maximum(boxes[into, 2:], boxes[other, 2:])]
+            groups[into] += groups.pop(other)
+            boxes = np.delete(boxes, other, axis=0)
+            earlier = np.flatnonzero(joins(boxes[into], boxes[:into]))
+            if not len(earlier):
+                break
+            into, other = int(earlier[0]), into
+        k = into
+    return groups
 
 
-def touching(a: list[float], b: list[float]) -> bool:
-    """Boxes at most 2 apart in x that share over half of their joint height, or lie over each other by 0.8 of the smaller."""
-    high = min(a[3], b[3]) - max(a[1], b[1])
-    joint = max(a[3], b[3]) - min(a[1], b[1])
-    wide = min(a[2], b[2]) - max(a[0], b[0])
-    if wide >= -2 and high > 0.5 * joint:
-        return True
-    small = min((a[2] - a[0]) * (a[3] - a[1]), (b[2] - b[0]) * (b[3] - b[1]))
-    return wide > 0 and high > 0 and wide * high > 0.8 * small
+def touching(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether boxes are at most 2 apart in x and share over half of their joint height, or lie over each other by 0.8 of the smaller."""
+    high = np.minimum(a[..., 3], b[..., 3]) - np.maximum(a[..., 1], b[..., 1])
+    joint = np.maximum(a[..., 3], b[..., 3]) - np.minimum(a[..., 1], b[..., 1])
+    wide = np.minimum(a[..., 2], b[..., 2]) - np.maximum(a[..., 0], b[..., 0])
+    small = np.minimum((a[..., 2] - a[..., 0]) * (a[..., 3] - a[..., 1]), (b[..., 2] - b[..., 0]) * (b[..., 3] - b[..., 1]))
+    return (wide >= -2) & (high > 0.5 * joint) | (wide > 0) & (high > 0) & (wide * high > 0.8 * small)
+
+
+def any_touch(boxes: np.ndarray) -> bool:
+    """Whether any two boxes touch: a sweep in y, as those that touch overlap there."""
+    order = boxes[np.argsort(boxes[:, 1], kind="stable")]
+    counts = np.maximum(0, np.searchsorted(order[:, 1], order[:, 3], "left") - np.arange(len(order)) - 1)
+    u = np.repeat(np.arange(len(order)), counts)
+    v = u + 1 + np.arange(len(u)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return bool(touching(order[u], order[v]).any())
 
 
 def merged_boxes(items: DataFrame) -> DataFrame:
@@ -87,7 +123,8 @@ def merged_boxes(items: DataFrame) -> DataFrame:
 
     def page(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
-        groups = merge_boxes(pdf[["x", "y", "x2", "y2"]].to_numpy().tolist(), touching)
+        boxes = pdf[["x", "y", "x2", "y2"]].to_numpy()
+        groups = merge_boxes(boxes, touching) if any_touch(boxes) else [[k] for k in range(len(boxes))]
         seqs = pdf["seq"].tolist()
         rows = [(seqs[i], seqs[min(g)]) for g in groups for i in g]
         return pd.DataFrame([(pdf["doc_id"].iloc[0], pdf["page_no"].iloc[0], *r) for r in rows], columns=["doc_id", "page_no", "seq", "group_seq"])
@@ -161,38 +198,45 @@ def number_merged(paras: DataFrame) -> DataFrame:
     return paras.select(*KEY, "para_seq", "label", "is_number").groupBy(*KEY).applyInPandas(page, "doc_id long, page_no long, para_seq long, into long")
 
 
-def lay_out(widths: list[float], wide: float, high: float, scale: float, skip: float = 1.3, em: float = 10.0) -> list[tuple[float, float]] | None:
-    """Left-to-right positions of units at a scale, wrapped at the width; None if they need more height."""
-    x, y, out = 0.0, 0.0, []
-    for w in widths:
-        if x > 0 and x + w * scale > wide:
-            x, y = 0.0, y + em * scale * skip
-        if y + em * scale > high:
-            return None
-        out.append((x, y))
-        x += w * scale + 0.5 * em * scale
-    return out
+def line_starts(widths: np.ndarray, wide: float, scale: float, em: float = 10.0) -> np.ndarray:
+    """The first unit of each line when units are set at a scale, one after the other, and wrapped at the width."""
+    right = np.cumsum((widths + 0.5 * em) * scale)
+    starts, at = [0], 0
+    while True:
+        left = right[at] - (widths[at] + 0.5 * em) * scale
+        # units fit while their right edge, without the space behind them, is within the width
+        at = max(at + 1, int(np.searchsorted(right, left + wide + 0.5 * em * scale + 1e-9, "right")))
+        if at >= len(widths):
+            return np.array(starts)
+        starts.append(at)
+
 
+def fitted(widths: np.ndarray, wide: float, high: float, skip: float = 1.3, em: float = 10.0) -> tuple[float, int, bool]:
+    """The first scale from 1 down (steps of 0.05 above 0.6, else 0.1, floor 0.1) at which the units fit, the lines, and whether they fit.
 
-def fitted(widths: list[float], wide: float, high: float) -> tuple[float, list[tuple[float, float]]]:
-    """The first scale from 1 down (steps of 0.05 above 0.6, else 0.1, floor 0.1) at which the units fit, and their places."""
+    Lines are found by bisection over running widths, a step for each line.
+    """
     steps = 20
     while True:
         scale = steps / 20
-        got = lay_out(widths, wide, high, scale)
-        if got is not None or steps <= 2:
-            return scale, got or [(0.0, 0.0)] * len(widths)
+        lines = len(line_starts(widths, wide, scale, em))
+        fits = ((lines - 1) * skip + 1) * em * scale <= high + 1e-9
+        if fits or steps <= 2:
+            return scale, lines, fits
         steps -= 1 if scale > 0.6 else 2
 
 
 def typeset(paras: DataFrame) -> DataFrame:
-    """Paragraphs (box and text) with the scale at which their words fit and the number of lines."""
+    """Paragraphs (box and text) with the scale at which their words fit, the number of lines, and whether they fit at all.
 
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for r in pdf.sort_values("para_seq").itertuples(index=False):
-            scale, places = fitted([6.0 * len(w) for w in r.text.split(" ")], r.x2 - r.x, r.y2 - r.y)
-            rows.append((r.doc_id, r.page_no, r.para_seq, scale, len({y for _, y in places})))
-        return pd.DataFrame(rows, columns=["doc_id", "page_no", "para_seq", "scale", "n_lines"])
+    A paragraph is one row, so nothing is shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.columns[3:]), strict=True)
+            got = [fitted(6.0 * np.fromiter(map(len, text.split(" ")), float), x2 - x, y2 - y) for text, x, y, x2, y2 in rows]
+            scale, lines, fits = zip(*got, strict=True) if got else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(scale, pa.float64()), pa.array(lines, pa.int32()), pa.array(fits, pa.bool_())], names=["doc_id", "page_no", "para_seq", "scale", "n_lines", "fits"])
 
-    return paras.select(*KEY, "para_seq", "text", "x", "y", "x2", "y2").groupBy(*KEY).applyInPandas(page, "doc_id long, page_no long, para_seq long, scale double, n_lines int")
+    return paras.select(*KEY, "para_seq", "text", "x", "y", "x2", "y2").mapInArrow(run, "doc_id long, page_no long, para_seq long, scale double, n_lines int, fits boolean")

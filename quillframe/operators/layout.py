@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
@@ -20,18 +20,29 @@ def label_rank(label):
     return F.coalesce(F.element_at(F.create_map(*[F.lit(v) for p in PRIORITY for v in (p, rank(p))]), label), F.lit(len(PRIORITY)))
 
 
-def assigned(words: DataFrame, layouts: DataFrame) -> DataFrame:
-    """Each word with its best layout: priority first, then the larger share of the word, then order.
+def with_boxes(words: DataFrame, layouts: DataFrame) -> DataFrame:
+    """words with the array of their page's layout boxes."""
+    one = F.struct("layout_id", "label", label_rank(F.col("label")).alias("rank"), "lx", "ly", "lx2", "ly2")
+    return words.join(layouts.groupBy("doc_id", "page_no").agg(F.collect_list(one).alias("boxes")), ["doc_id", "page_no"], "left")
+
 
-    An equi join by page bounds the pairs to the few boxes of the word's own page; the
-    winner is a partial aggregate, not a sort.
+def best_box(boxes: str = "boxes") -> Column:
+    """The layout (layout_id, label) of a word: priority first, then the larger share of the word, then order; null without one.
+
+    A page's boxes are a short array in the word's own row, so nothing is joined or grouped by word.
     """
-    box, other = G.box(), G.box("l")
-    pairs = words.join(layouts, ["doc_id", "page_no"], "left").withColumn("share", G.overlap_ratio(box, other))
-    best = F.min_by(F.struct("layout_id", "label"), F.when(F.col("share") > 0, F.struct(label_rank(F.col("label")), -F.col("share"), F.col("layout_id"))))
-    columns = [c for c in words.columns if c not in ("doc_id", "page_no", "seq")]
-    got = pairs.groupBy("doc_id", "page_no", "seq").agg(*[F.first(c).alias(c) for c in columns], best.alias("best"))
-    return got.select("doc_id", "page_no", "seq", *columns, F.col("best.layout_id").alias("layout_id"), F.col("best.label").alias("label"))
+    shared = F.transform(boxes, lambda b: F.struct(b["rank"].alias("rank"), (-G.overlap_ratio(G.box(), (b["lx"], b["ly"], b["lx2"], b["ly2"]))).alias("less"), b["layout_id"].alias("layout_id"), b["label"].alias("label")))
+    return F.array_min(F.filter(shared, lambda c: c["less"] < 0))
+
+
+def assigned_in(words: DataFrame) -> DataFrame:
+    """Words with boxes, each with its best layout."""
+    return words.withColumn("best", best_box()).withColumn("layout_id", F.col("best.layout_id")).withColumn("label", F.col("best.label")).drop("best", "boxes")
+
+
+def assigned(words: DataFrame, layouts: DataFrame) -> DataFrame:
+    """Each word with its best layout of a table of layouts."""
+    return assigned_in(with_boxes(words, layouts))
 
 
 def islands(assigned_words: DataFrame) -> DataFrame:

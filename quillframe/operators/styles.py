@@ -61,19 +61,6 @@ def same_style(a: tuple, b: tuple) -> Column:
     return (a[0] == b[0]) & (F.abs(a[1] - b[1]) < 0.02) & a[2].eqNullSafe(b[2])
 
 
-def element_candidates(elements: DataFrame, formulas: DataFrame, exact: float = 0.95, tolerance: float = 2.0) -> DataFrame:
-    """Pairs of elements and formulas of a page: contained exactly, or within the tolerance with a score by distance."""
-    on = (elements["doc_id"] == formulas["doc_id"]) & (elements["page_no"] == formulas["page_no"]) & (formulas["f_xobj"].isNull() | (elements["e_xobj"] == formulas["f_xobj"]))
-    e = tuple(F.col(f"e{c}") for c in ("x", "y", "x2", "y2"))
-    f = tuple(F.col(f"f{c}") for c in ("x", "y", "x2", "y2"))
-    wide = (f[0] - tolerance, f[1] - tolerance, f[2] + tolerance, f[3] + tolerance)
-    near = F.lit(0.5) + 0.4 * F.greatest(F.lit(0.0), 1 - G.gap_distance(e, f) / 100)
-    share, loose = G.overlap_ratio(e, f), G.overlap_ratio(e, wide)
-    pairs = elements.join(formulas, on).select(elements["doc_id"], elements["page_no"], "element_id", "formula_id", share.alias("share"), loose.alias("loose"), near.alias("near"))
-    kept = pairs.where((F.col("share") >= exact) | (F.col("loose") >= exact))
-    return kept.select("doc_id", "page_no", "element_id", "formula_id", (F.col("share") >= exact).alias("exact"), F.when(F.col("share") >= exact, F.col("share")).otherwise(F.col("near")).alias("score"))
-
-
 def assigned_elements(candidates: DataFrame) -> DataFrame:
     """Each element's best formula: exact before tolerant, higher score, lower formula."""
     best = F.struct((~F.col("exact")).cast("int").alias("t"), -F.col("score"), F.col("formula_id"))
@@ -102,15 +89,37 @@ def neighbour_offsets(items: DataFrame) -> DataFrame:
 
 
 def corner_marks(words: DataFrame, enter: float = 0.79, stay: float = 1.1) -> DataFrame:
-    """Words set smaller than what precedes them in their line: a fold with the state in_corner.
+    """Words set smaller than what precedes them in their line, with the state in_corner.
 
     A word enters if its size is below enter times the size before; it stays while its
-    size is below stay times the corner's.  A line is a bounded array.
+    size is below stay times the corner's.  So it is a mark if, up to it, the last word that
+    entered comes after the last one that could not have stayed: two running maxima.
+    """
+    line = Window.partitionBy("doc_id", "line_no").orderBy("seq")
+    before = F.lag("font_size").over(line)
+    enters, breaks = F.col("font_size") < enter * before, ~F.coalesce(F.col("font_size") < stay * before, F.lit(False))
+    so_far = line.rowsBetween(Window.unboundedPreceding, 0)
+    marked = words.withColumn("e_", F.when(enters, F.col("seq"))).withColumn("b_", F.when(breaks, F.col("seq")))
+    corner = F.coalesce(F.max("e_").over(so_far) > F.coalesce(F.max("b_").over(so_far), F.lit(-1)), F.lit(False))
+    return marked.select("doc_id", "line_no", "seq", corner.alias("corner"))
+
+
+def element_candidates(elements: DataFrame, formulas: DataFrame, exact: float = 0.95, tolerance: float = 2.0, cell: tuple[float, float] = (64.0, 16.0)) -> DataFrame:
+    """Pairs of elements and formulas of a page: contained exactly, or within the tolerance with a score by distance.
+
+    An element that is held by 0.95 has its centre in the formula's wide box, so both meet on
+    the grid cell of that centre: pairs are few, however many boxes a page has.
     """
-    lines = words.groupBy("doc_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("seq", "font_size"))).alias("w"))
-    fold = F.expr(f"""aggregate(w, named_struct('size', CAST(NULL AS DOUBLE), 'corner', false, 'out', CAST(array() AS array<struct<seq:int,corner:boolean>>)),
-        (s, x) -> named_struct('size', x.font_size,
-            'corner', coalesce(x.font_size < {enter} * s.size OR (s.corner AND x.font_size < {stay} * s.size), false),
-            'out', concat(s.out, array(named_struct('seq', x.seq, 'corner', coalesce(x.font_size < {enter} * s.size OR (s.corner AND x.font_size < {stay} * s.size), false))))),
-        s -> s.out)""")
-    return lines.select("doc_id", "line_no", F.explode(fold).alias("r")).select("doc_id", "line_no", "r.seq", "r.corner")
+    e = tuple(F.col(f"e{c}") for c in ("x", "y", "x2", "y2"))
+    f = tuple(F.col(f"f{c}") for c in ("x", "y", "x2", "y2"))
+    wide = (f[0] - tolerance, f[1] - tolerance, f[2] + tolerance, f[3] + tolerance)
+    at = [F.floor((e[k] + e[k + 2]) / 2 / cell[k]) for k in (0, 1)]
+    placed = elements.withColumn("gx", at[0]).withColumn("gy", at[1])
+    covered = [F.explode(F.sequence(F.floor(wide[k] / cell[k]), F.floor(wide[k + 2] / cell[k]))) for k in (0, 1)]
+    dealt = formulas.withColumn("gx", covered[0]).withColumn("gy", covered[1])
+    near = F.lit(0.5) + 0.4 * F.greatest(F.lit(0.0), 1 - G.gap_distance(e, f) / 100)
+    share, loose = G.overlap_ratio(e, f), G.overlap_ratio(e, wide)
+    pairs = placed.join(dealt, ["doc_id", "page_no", "gx", "gy"]).where(F.col("f_xobj").isNull() | (F.col("e_xobj") == F.col("f_xobj")))
+    scored = pairs.select("doc_id", "page_no", "element_id", "formula_id", share.alias("share"), loose.alias("loose"), near.alias("near"))
+    kept = scored.where((F.col("share") >= exact) | (F.col("loose") >= exact))
+    return kept.select("doc_id", "page_no", "element_id", "formula_id", (F.col("share") >= exact).alias("exact"), F.when(F.col("share") >= exact, F.col("share")).otherwise(F.col("near")).alias("score"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,18 +74,48 @@ def language_fits(row: Column, wanted: Column) -> Column:
     return (F.coalesce(F.trim(row), F.lit("")) == "") | (canon(row) == canon(wanted))
 
 
-def matched_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """Terms that texts contain, letters A-Z of either case alike: doc_id, term.
+def folded(text: Column) -> Column:
+    """A-Z lower-cased, no other letters."""
+    return F.translate(text, UPPER, LOWER)
+
 
-    Texts and terms meet on the terms' first word, so nothing is compared with all terms;
-    the literal test follows.  Terms that begin within a word cannot match this way, which
-    is the rule here: a match begins at a word.
+def matched_terms(texts: DataFrame, terms: DataFrame, per_pass: int = 200_000) -> DataFrame:
+    """Terms that texts contain anywhere, letters A-Z of either case alike, once each: doc_id, term.
+
+    White space of the text is squeezed first, that of the terms is not.  A text is walked
+    once through an automaton of all terms; a glossary of more than per_pass terms takes
+    several passes, so a task holds per_pass terms at most.
     """
-    fold = lambda c: F.translate(F.regexp_replace(c, r"(?U)\s+", " "), UPPER, LOWER)
-    heads = terms.select("term", fold(F.col("term")).alias("t")).withColumn("head", F.split_part("t", F.lit(" "), F.lit(1)))
-    folded = texts.select("doc_id", fold(F.col("text")).alias("f"))
-    starts = folded.select("doc_id", "f", F.explode(F.array_distinct(F.split("f", " "))).alias("head"))
-    return starts.join(heads, "head").where(F.concat(F.lit(" "), "f").contains(F.concat(F.lit(" "), F.col("t")))).select("doc_id", "term").distinct()
+    schema = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, term string"
+    listed = sorted({r[0] for r in terms.where("term <> ''").select("term").distinct().toLocalIterator()})
+    squeezed = texts.select("doc_id", folded(F.regexp_replace("text", r"(?U)\s+", " ")).alias("f"))
+
+    def found(some: list[str]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            by_fold: dict[str, list[str]] = {}
+            for t in some:
+                by_fold.setdefault("".join(c.lower() if "A" <= c <= "Z" else c for c in t), []).append(t)
+            automaton = ahocorasick.Automaton()
+            for f, originals in by_fold.items():
+                automaton.add_word(f, originals)
+            automaton.make_automaton()
+            for batch in batches:
+                ids, hits = [], []
+                for k, f in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                    for t in {t for _, originals in automaton.iter(f or "") for t in originals}:
+                        ids.append(k.as_py())
+                        hits.append(t)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(hits, pa.string())], names=["doc_id", "term"])
+
+        return squeezed.mapInArrow(run, schema)
+
+    parts = [found(listed[i : i + per_pass]) for i in range(0, len(listed), per_pass)]
+    out = texts.sparkSession.createDataFrame([], schema) if not parts else parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def voted(pairs: DataFrame) -> DataFrame:
@@ -130,20 +164,31 @@ def reason(source: Column, target: Column, n_source: Column, n_target: Column) -
     )
 
 
+def batch_numbers(tokens: list[int], most_tokens: int, most_items: int) -> list[int]:
+    """The batch of each item in order: one closes when it holds more than most_tokens tokens or most_items items."""
+    out, batch, total, n = [], 0, 0, 0
+    for t in tokens:
+        out.append(batch)
+        total, n = total + t, n + 1
+        if total > most_tokens or n > most_items:
+            batch, total, n = batch + 1, 0, 0
+    return out
+
+
 def batches(rows: DataFrame, most_tokens: int, most_items: int) -> DataFrame:
-    """Rows of each document dealt into batches in order: one closes when it holds more than most_tokens tokens or most_items rows.
+    """Rows of each document dealt into batches in order (see batch_numbers).
 
-    The running sum starts anew at each close, so it is a fold over the document's rows (a
-    bounded array of small structs).
+    The running sum starts anew at each close, so it is a fold over the document's token
+    counts: one pass over an array, Arrow batch by batch.
     """
     items = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("para_no", "n_tokens"))).alias("items"))
-    fold = F.expr(f"""aggregate(items, struct(CAST(0 AS BIGINT) AS batch, CAST(0 AS BIGINT) AS tokens, 0 AS n,
-        CAST(array() AS array<struct<para_no:int,batch:bigint>>) AS rows),
-        (s, x) -> CASE WHEN s.tokens + x.n_tokens > {most_tokens} OR s.n + 1 > {most_items}
-            THEN named_struct('batch', s.batch + 1, 'tokens', CAST(0 AS BIGINT), 'n', 0, 'rows', concat(s.rows, array(named_struct('para_no', x.para_no, 'batch', s.batch))))
-            ELSE named_struct('batch', s.batch, 'tokens', s.tokens + x.n_tokens, 'n', s.n + 1, 'rows', concat(s.rows, array(named_struct('para_no', x.para_no, 'batch', s.batch)))) END,
-        s -> s.rows)""")
-    return items.select("doc_id", F.explode(fold).alias("r")).select("doc_id", "r.para_no", "r.batch")
+
+    @F.pandas_udf("array<long>")
+    def numbers(tokens: pd.Series) -> pd.Series:
+        return pd.Series([batch_numbers(t.tolist(), most_tokens, most_items) for t in tokens], dtype=object)
+
+    both = items.select("doc_id", F.arrays_zip(F.col("items.para_no").alias("para_no"), numbers(F.col("items.n_tokens")).alias("batch")).alias("r"))
+    return both.select("doc_id", F.explode("r").alias("r")).select("doc_id", "r.para_no", "r.batch")
 
 
 def requests(rows: DataFrame) -> DataFrame:

@@ -23,8 +23,7 @@ def q_formula_merge(spark, sf_dir):
 
 
 def q_lines_merge(spark, sf_dir):
-    lines = _words(spark, sf_dir).where("n > 9")
-    return O.merged_boxes(lines).groupBy("doc_id", "page_no", "group_seq").agg(F.count("*").alias("n"))
+    return O.merged_boxes(_words(spark, sf_dir)).groupBy("doc_id", "page_no", "group_seq").agg(F.count("*").alias("n"))
 
 
 def q_fix_overlap(spark, sf_dir):

@@ -28,13 +28,11 @@ words AS (SELECT doc_id, line_no, word_no, row_number() OVER (PARTITION BY doc_i
 ASSIGNED = (
     WORDS
     + """,
-bands AS (SELECT * FROM (VALUES (0, 'page_header', 40, 30.0, 504.0, 560.0, 520.0), (1, 'title', 17, 30.0, 504.0, 560.0, 520.0),
-  (2, 'plain text', 26, 30.0, 60.0, 560.0, 506.0), (3, 'footnote', 22, 30.0, 30.0, 560.0, 62.0)) t(layout_id, label, prio, lx, ly, lx2, ly2)),
-cand AS (SELECT w.doc_id, w.page_no, w.seq, b.layout_id, b.label, b.prio,
-  greatest(0, least(x2, lx2) - greatest(x, lx)) * greatest(0, least(y2, ly2) - greatest(y, ly)) / ((x2 - x) * (y2 - y)) AS share
-  FROM words w JOIN bands b ON b.label <> 'title' OR w.page_no = 0),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, seq ORDER BY prio, share DESC, layout_id) AS r FROM cand WHERE share > 0) WHERE r = 1),
-assigned AS (SELECT w.*, b.layout_id, b.label FROM words w LEFT JOIN best b USING (doc_id, seq))"""
+best AS (SELECT doc_id, seq, least(x2, 560.0) > greatest(x, 30.0) AS wide, least(y2, 520.0) > greatest(y, 504.0) AS head, least(y2, 506.0) > greatest(y, 60.0) AS body,
+  least(y2, 62.0) > greatest(y, 30.0) AS foot, page_no FROM words),
+named AS (SELECT doc_id, seq, CASE WHEN NOT wide THEN NULL WHEN head AND page_no = 0 THEN 1 WHEN foot THEN 3 WHEN body THEN 2 WHEN head THEN 0 END AS layout_id FROM best),
+assigned AS (SELECT w.*, n.layout_id, CASE n.layout_id WHEN 0 THEN 'page_header' WHEN 1 THEN 'title' WHEN 2 THEN 'plain text' WHEN 3 THEN 'footnote' END AS label
+  FROM words w JOIN named n USING (doc_id, seq))"""
 )
 PARAS = (
     ASSIGNED
@@ -53,10 +51,7 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _words(spark, sf_dir)
-    bands = F.broadcast(spark.createDataFrame([(k, *b) for k, b in enumerate(S.BANDS)], "layout_id int, label string, lx double, ly double, lx2 double, ly2 double"))
-    boxes = words.select("doc_id", "page_no").distinct().join(bands, (F.col("label") != "title") | (F.col("page_no") == 0))
-    return L.assigned(words, boxes)
+    return L.assigned_in(S.boxed(_words(spark, sf_dir)))
 
 
 def _paras(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,12 +55,12 @@ def q_neighbour_offsets(spark, sf_dir):
 
 
 def _elements(spark, sf_dir):
-    w = _words(spark, sf_dir).where("n > 9")
+    w = _words(spark, sf_dir)
     return w.select("doc_id", "page_no", F.col("seq").alias("element_id"), F.col("xobj_id").alias("e_xobj"), (F.col("x") + F.col("n") % 5 - 2).alias("ex"), F.col("y").alias("ey"), (F.col("x2") + F.col("n") % 3 - 2).alias("ex2"), F.col("y2").alias("ey2"))
 
 
 def _formulas(spark, sf_dir):
-    w = _words(spark, sf_dir).where("n > 9")
+    w = _words(spark, sf_dir)
     return w.select("doc_id", "page_no", F.col("seq").alias("formula_id"), F.when(F.col("seq") % 2 == 0, F.col("xobj_id")).alias("f_xobj"), F.col("x").alias("fx"), F.col("y").alias("fy"), F.col("x2").alias("fx2"), F.col("y2").alias("fy2"))
 
 
@@ -98,13 +98,13 @@ QUERIES = {k: f for k, f in dict(globals()).items() if k.startswith("q_")}
 
 _START = r"(contains(word, '(cid:') OR (word <> ' ' AND regexp_matches(word[1:1], '^[\p{Mn}\p{Sk}\p{Sm}\p{Zl}\p{Zp}\p{Zs}\p{Co}Ͱ-Ͽ0-9\[\]•]')))"
 _CAND = """
-e AS (SELECT doc_id, page_no, seq AS element_id, xobj_id AS e_xobj, x + n % 5 - 2 AS ex, y AS ey, x2 + n % 3 - 2 AS ex2, y2 AS ey2 FROM words WHERE n > 9),
-f AS (SELECT doc_id, page_no, seq AS formula_id, CASE WHEN seq % 2 = 0 THEN xobj_id END AS f_xobj, x AS fx, y AS fy, x2 AS fx2, y2 AS fy2 FROM words WHERE n > 9),
+e AS (SELECT doc_id, page_no, row_no, seq AS element_id, xobj_id AS e_xobj, x + n % 5 - 2 AS ex, y AS ey, x2 + n % 3 - 2 AS ex2, y2 AS ey2 FROM words),
+f AS (SELECT doc_id, page_no, row_no, seq AS formula_id, CASE WHEN seq % 2 = 0 THEN xobj_id END AS f_xobj, x AS fx, y AS fy, x2 AS fx2, y2 AS fy2 FROM words),
 j AS (SELECT doc_id, page_no, element_id, formula_id,
   greatest(0, least(ex2, fx2) - greatest(ex, fx)) * greatest(0, least(ey2, fy2) - greatest(ey, fy)) / ((ex2 - ex) * (ey2 - ey)) AS share,
   greatest(0, least(ex2, fx2 + 2) - greatest(ex, fx - 2)) * greatest(0, least(ey2, fy2 + 2) - greatest(ey, fy - 2)) / ((ex2 - ex) * (ey2 - ey)) AS loose,
   0.5 + 0.4 * greatest(0, 1 - sqrt(power(greatest(0, fx - ex2, ex - fx2), 2) + power(greatest(0, fy - ey2, ey - fy2), 2)) / 100) AS near
-  FROM e JOIN f USING (doc_id, page_no) WHERE f_xobj IS NULL OR f_xobj = e_xobj),
+  FROM e JOIN f USING (doc_id, page_no, row_no) WHERE (f_xobj IS NULL OR f_xobj = e_xobj) AND (fx - 2 <= ex2 AND ex <= fx2 + 2)),
 c AS (SELECT doc_id, page_no, element_id, formula_id, share >= 0.95 AS exact, round(CASE WHEN share >= 0.95 THEN share ELSE near END, 6)::DOUBLE AS score FROM j WHERE share >= 0.95 OR loose >= 0.95)"""
 
 ORACLE = {
@@ -124,13 +124,18 @@ e AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY key ORDER BY seq)) AS dep
 g AS (SELECT *, CASE WHEN c = ',' AND depth = 0 THEN 1 ELSE 0 END AS cut FROM e),
 h AS (SELECT *, (sum(cut) OVER (PARTITION BY key ORDER BY seq))::BIGINT AS part FROM g) SELECT key, seq::INT AS seq, c, part FROM h WHERE cut = 0""",
     "q_translatable": f"WITH {WORDS} SELECT doc_id, seq, regexp_matches(word, '^[0-9, .]+$') AND font_size > 7 AS translatable FROM words",
+    "q_corner_marks": f"""WITH RECURSIVE {WORDS}, i AS (SELECT doc_id, line_no, seq, font_size, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY seq) AS i FROM words),
+l AS (SELECT doc_id, line_no, list(struct_pack(seq := seq, size := font_size) ORDER BY i) AS w FROM i GROUP BY ALL HAVING max(font_size) > min(font_size)),
+c AS (SELECT doc_id, line_no, w, 1 AS i, w[1].seq AS seq, w[1].size AS size, false AS corner FROM l
+UNION ALL SELECT doc_id, line_no, w, i + 1, w[i + 1].seq, w[i + 1].size, w[i + 1].size < 0.79 * size OR (corner AND w[i + 1].size < 1.1 * size) FROM c WHERE i < len(w))
+SELECT doc_id, line_no, seq, corner FROM c WHERE corner""",
     "q_neighbour_offsets": f"""WITH {WORDS}, i AS (SELECT *, {_START} AS is_formula FROM words),
 g AS (SELECT *, x - last_value(CASE WHEN NOT is_formula THEN x2 END IGNORE NULLS) OVER (PARTITION BY doc_id, page_no, row_no ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM i)
 SELECT doc_id, seq, coalesce(CASE WHEN abs(gap) < 0.1 THEN 0 WHEN gap > 10 THEN 0 WHEN gap < -5 THEN 0 ELSE gap END, 0)::DOUBLE AS x_offset FROM g WHERE is_formula""",
     "q_element_candidates": f"WITH {WORDS}, {_CAND} SELECT * FROM c",
     "q_element_assign": f"WITH {WORDS}, {_CAND}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no, element_id ORDER BY exact DESC, score DESC, formula_id) AS r FROM c) SELECT doc_id, page_no, element_id, formula_id FROM r WHERE r = 1",
-    "q_remove_lines": f"""WITH {PARAS}, e AS (SELECT doc_id, page_no, seq AS element_id, x + n % 5 - 2 AS ex, y AS ey, x2 + n % 3 - 2 AS ex2, y2 AS ey2 FROM words WHERE n > 9), g AS (SELECT * FROM words WHERE n > 12)
-SELECT doc_id, element_id FROM e WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.doc_id = e.doc_id AND g.page_no = e.page_no AND greatest(0, least(ex2, x2) - greatest(ex, x)) * greatest(0, least(ey2, y2) - greatest(ey, y)) / ((ex2 - ex) * (ey2 - ey)) > 0.9)
+    "q_remove_lines": f"""WITH {PARAS}, e AS (SELECT doc_id, page_no, row_no, seq AS element_id, x + n % 5 - 2 AS ex, y AS ey, x2 + n % 3 - 2 AS ex2, y2 AS ey2, row_no FROM words), g AS (SELECT * FROM words WHERE n > 12)
+SELECT doc_id, element_id FROM e WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.doc_id = e.doc_id AND g.page_no = e.page_no AND g.row_no = e.row_no AND greatest(0, least(ex2, x2) - greatest(ex, x)) * greatest(0, least(ey2, y2) - greatest(ey, y)) / ((ex2 - ex) * (ey2 - ey)) > 0.9)
 AND EXISTS (SELECT 1 FROM paras p WHERE p.doc_id = e.doc_id AND p.page_no = e.page_no AND greatest(0, least(ex2, x2) - greatest(ex, x)) * greatest(0, least(ey2, y2) - greatest(ey, y)) / ((ex2 - ex) * (ey2 - ey)) > 0.9)""",
     "q_formula_layout": f"WITH {ASSIGNED} SELECT doc_id, page_no, label, count(*) AS n, count(*) FILTER ({_START}) AS n_formula, sum((x2 - x) * (y2 - y)) AS area FROM assigned GROUP BY doc_id, page_no, label",
     "q_placeholder_only": f"WITH {PARAS} SELECT doc_id, page_no, para_seq, bool_and({_START}) AS placeholder_only FROM grouped GROUP BY ALL",

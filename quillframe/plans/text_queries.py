@@ -115,9 +115,9 @@ def q_answer_parse(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    p = _paras(spark, sf_dir).where("length(text) < 200")
+    p = _paras(spark, sf_dir)
     source, kind = F.col("text"), F.col("para_no") % 5
-    target = F.when(kind == 0, source).when(kind == 1, F.concat(F.lit("Xy"), F.substring("text", 3, 10000))).when(kind == 2, F.substring("text", 1, 3)).when(kind == 3, F.reverse("text"))
+    target = F.when(kind == 0, source).when(kind == 1, F.concat(F.lit("Xy"), F.substring("text", 3, 1 << 30))).when(kind == 2, F.substring("text", 1, 3)).when(kind == 3, F.reverse("text"))
     return p.withColumn("target", target).withColumn("n_target", S.tokens(F.col("target")))
 
 
@@ -174,7 +174,7 @@ CASE WHEN b.s + r.n_tokens > {tokens} OR b.n + 1 > {items} THEN 0 ELSE b.n + 1 E
 FROM b JOIN r ON r.doc_id = b.doc_id AND r.i = b.i + 1)"""
 
 
-_PAIRS = f"""p AS (SELECT *, CASE para_no % 5 WHEN 0 THEN text WHEN 1 THEN 'Xy' || substr(text, 3, 10000) WHEN 2 THEN substr(text, 1, 3) WHEN 3 THEN reverse(text) END AS target FROM paras WHERE length(text) < 200),
+_PAIRS = f"""p AS (SELECT *, CASE para_no % 5 WHEN 0 THEN text WHEN 1 THEN 'Xy' || substr(text, 3) WHEN 2 THEN substr(text, 1, 3) WHEN 3 THEN reverse(text) END AS target FROM paras),
 j AS (SELECT *, {_TOK.format('target')} AS n_target FROM p),
 z AS (SELECT *, CASE WHEN target IS NULL THEN 'missing' WHEN text = target AND n_tokens > 10 THEN 'same' WHEN n_tokens = 0 THEN 'error'
   WHEN n_target::DOUBLE / n_tokens <= 0.3 OR n_target::DOUBLE / n_tokens >= 3 THEN 'ratio' WHEN n_tokens > 20 AND levenshtein(text, target) < 5 THEN 'near' ELSE 'ok' END AS reason FROM j)"""
@@ -200,8 +200,8 @@ n AS (SELECT seq, trim(regexp_replace(lower(source), '\\s+', ' ', 'g')) AS norm
     "q_glossary_lang": """WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN ' ' || upper(lang) || '-XX' ELSE lang END AS tgt_lng FROM documents)
 SELECT * FROM t WHERE trim(tgt_lng) = '' OR replace(lower(trim(tgt_lng)), '-', '_') IN ('de_xx', 'fr')""",
     "q_glossary_match": """WITH t AS (SELECT DISTINCT array_to_string(string_split(text, ' ')[1:3], ' ') AS term FROM benchmark),
-f AS (SELECT doc_id, ' ' || translate(regexp_replace(text, '\\s+', ' ', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS f FROM documents)
-SELECT DISTINCT doc_id, term FROM f JOIN t ON contains(f, ' ' || translate(term, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))""",
+f AS (SELECT doc_id, translate(regexp_replace(text, '\\s+', ' ', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS f FROM documents)
+SELECT DISTINCT doc_id, term FROM f JOIN t ON contains(f, translate(term, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))""",
     "q_term_vote": """WITH p AS (SELECT doc_id AS seq, split_part(text, ' ', 1) AS src, split_part(text, ' ', 2) AS tgt FROM documents),
 v AS (SELECT src, tgt, count(*) AS n, min(seq) AS f FROM p WHERE src <> '' AND tgt <> '' AND length(src) < 100 AND NOT (src = tgt AND length(src) < 3) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, f) AS r FROM v) SELECT src, tgt, n AS votes FROM r WHERE r = 1""",

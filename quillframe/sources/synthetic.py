@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillframe.functions.labels import rank
+
 COLUMNS, ROWS = 80, 40
 TOKEN = r"[A-Za-z]+|[0-9]+|[^ \t\n\rA-Za-z0-9]"
 
@@ -21,14 +23,16 @@ def tokens(text: Column) -> Column:
 def words(documents: DataFrame) -> DataFrame:
     """A row for each word with its line, column, virtual row, page, box, font and size.
 
-    All windows are by document, so the words are shuffled once.
+    All windows are by document and the texts are dealt by document before words exist, so
+    texts are shuffled once and words never.
     """
-    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    dealt = documents.select("doc_id", "text").repartition("doc_id")
+    lines = dealt.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     each = lines.select("doc_id", "line_no", F.posexplode_outer(F.array_remove(F.split("line", " "), "")).alias("word_no", "word"))
     each = each.withColumn("word_no", F.coalesce("word_no", F.lit(0)))
     size = F.coalesce(F.length("word") + 1, F.lit(0))
     line, doc = Window.partitionBy("doc_id", "line_no"), Window.partitionBy("doc_id").orderBy("line_no", "word_no")
-    each = each.repartition("doc_id").withColumn("col", F.sum(size).over(line.orderBy("word_no")) - size)
+    each = each.withColumn("col", F.sum(size).over(line.orderBy("word_no")) - size)
     each = each.withColumn("lrows", F.max(F.expr(f"col div {COLUMNS}")).over(line) + 1)
     first = F.sum(F.when(F.col("word_no") == 0, F.col("lrows")).otherwise(0)).over(doc)
     each = each.withColumn("vrow", first - F.col("lrows") + F.expr(f"col div {COLUMNS}"))
@@ -59,6 +63,12 @@ def words(documents: DataFrame) -> DataFrame:
 BANDS = (("page_header", 30.0, 504.0, 560.0, 520.0), ("title", 30.0, 504.0, 560.0, 520.0), ("plain text", 30.0, 60.0, 560.0, 506.0), ("footnote", 30.0, 30.0, 560.0, 62.0))
 
 
+def boxed(words_: DataFrame) -> DataFrame:
+    """Words with the layout boxes of their page, as an array: pages carry their layouts as the data model does."""
+    page = [F.struct(F.lit(k).alias("layout_id"), F.lit(b[0]).alias("label"), F.lit(rank(b[0])).alias("rank"), *[F.lit(v).alias(c) for c, v in zip(("lx", "ly", "lx2", "ly2"), b[1:], strict=True)]) for k, b in enumerate(BANDS)]
+    return words_.withColumn("boxes", F.when(F.col("page_no") == 0, F.array(*page)).otherwise(F.array(*[p for p, b in zip(page, BANDS, strict=True) if b[0] != "title"])))
+
+
 def layouts(pages: DataFrame) -> DataFrame:
     """The bands of pages (doc_id, page_no) as layout boxes, numbered in order."""
     bands = F.array(*[F.struct(F.lit(k).alias("layout_id"), F.lit(b[0]).alias("label"), *[F.lit(v).alias(c) for c, v in zip(("lx", "ly", "lx2", "ly2"), b[1:], strict=True)]) for k, b in enumerate(BANDS)])
