@@ -104,6 +104,17 @@ def corner_marks(words: DataFrame, enter: float = 0.79, stay: float = 1.1) -> Da
     return marked.select("doc_id", "line_no", "seq", corner.alias("corner"))
 
 
+def same_but_size(a: tuple, b: tuple) -> Column:
+    """Equal font and graphic state, sizes of a ratio between 0.7 and 1.3."""
+    ratio = F.try_divide(a[1], b[1])
+    return (a[0] == b[0]) & (ratio > 0.7) & (ratio < 1.3) & a[2].eqNullSafe(b[2])
+
+
+def same_but_font(a: tuple, b: tuple) -> Column:
+    """Sizes within 0.02 and equal graphic state."""
+    return (F.abs(a[1] - b[1]) < 0.02) & a[2].eqNullSafe(b[2])
+
+
 def element_candidates(elements: DataFrame, formulas: DataFrame, exact: float = 0.95, tolerance: float = 2.0, cell: tuple[float, float] = (64.0, 16.0)) -> DataFrame:
     """Pairs of elements and formulas of a page: contained exactly, or within the tolerance with a score by distance.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -210,6 +211,36 @@ def prompt(lang_out: str, title: Column, terms: Column, request: Column) -> Colu
     )
 
 
+def canonical_json(raw: Column) -> Column:
+    """An object's JSON with the keys of every object sorted, without spaces; null stays null."""
+
+    @F.pandas_udf("string")
+    def sort_keys(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else json.dumps(json.loads(t), sort_keys=True, separators=(",", ":"), ensure_ascii=False) for t in texts], dtype=object)
+
+    return sort_keys(raw)
+
+
+def chunked(items: Column, size: int) -> Column:
+    """An array in arrays of ``size``, the last one shorter; an empty one has none."""
+    starts = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), F.lit(size))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.slice(items, i, size))
+
+
+def error_code(name: Column) -> Column:
+    """The code of an error by its class name."""
+    return F.when(F.lower(name).contains("scanned"), "scanned_pdf").when(name == "TimeoutError", "timeout").when(name.isin("FileNotFoundError", "ValueError"), "invalid_output").otherwise("failed")
+
+
+def hints(formulas: DataFrame, most_cid: float = 0.8) -> DataFrame:
+    """For each document a map from placeholder to its formula's text; formulas of mostly undecoded codes have none."""
+    order = Window.partitionBy("doc_id").orderBy("first_seq")
+    named = formulas.withColumn("k", F.row_number().over(order)).where(F.col("cid_share") <= most_cid)
+    entry = F.struct("k", F.concat(F.lit("{v"), F.col("k"), F.lit("}")).alias("token"), "text")
+    listed = named.groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    return listed.select("doc_id", F.map_from_entries(F.transform("e", lambda x: F.struct(x["token"], x["text"]))).alias("hint"))
+
+
 def memo_latest(memo: DataFrame, keep: int = 50_000) -> DataFrame:
     """The last row (by id) of each (engine, params, text), of these the newest ``keep``."""
     last = memo.groupBy("engine", "params_json", "text").agg(F.max_by("translation", "id").alias("translation"), F.max("id").alias("id"))

@@ -41,11 +41,6 @@ def q_comma_split(spark, sf_dir):
     return Y.comma_groups(chars)
 
 
-def q_translatable(spark, sf_dir):
-    w = _words(spark, sf_dir)
-    return w.select("doc_id", "seq", (F.col("word").rlike("^[0-9, .]+$") & (F.col("font_size") > 7)).alias("translatable"))
-
-
 def q_corner_marks(spark, sf_dir):
     return Y.corner_marks(_words(spark, sf_dir)).where("corner")
 
@@ -78,11 +73,6 @@ def q_remove_lines(spark, sf_dir):
     return Y.kept_lines(curves, figures, _paras(spark, sf_dir)).select("doc_id", "element_id")
 
 
-def q_formula_layout(spark, sf_dir):
-    a = _assigned(spark, sf_dir)
-    return a.groupBy("doc_id", "page_no", "label").agg(F.count("*").alias("n"), F.count_if(Y.formula_start(F.col("word"))).alias("n_formula"), F.sum(((F.col("x2") - F.col("x")) * (F.col("y2") - F.col("y")))).alias("area"))
-
-
 def q_placeholder_only(spark, sf_dir):
     g = L.islands(_assigned(spark, sf_dir))
     return g.groupBy("doc_id", "page_no", "para_seq").agg(F.every(Y.formula_start(F.col("word"))).alias("placeholder_only"))
@@ -123,7 +113,6 @@ d AS (SELECT *, sum(CASE WHEN c IN ('(', '[', '{{') THEN 1 WHEN c IN (')', ']',
 e AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY key ORDER BY seq)) AS depth FROM d),
 g AS (SELECT *, CASE WHEN c = ',' AND depth = 0 THEN 1 ELSE 0 END AS cut FROM e),
 h AS (SELECT *, (sum(cut) OVER (PARTITION BY key ORDER BY seq))::BIGINT AS part FROM g) SELECT key, seq::INT AS seq, c, part FROM h WHERE cut = 0""",
-    "q_translatable": f"WITH {WORDS} SELECT doc_id, seq, regexp_matches(word, '^[0-9, .]+$') AND font_size > 7 AS translatable FROM words",
     "q_corner_marks": f"""WITH RECURSIVE {WORDS}, i AS (SELECT doc_id, line_no, seq, font_size, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY seq) AS i FROM words),
 l AS (SELECT doc_id, line_no, list(struct_pack(seq := seq, size := font_size) ORDER BY i) AS w FROM i GROUP BY ALL HAVING max(font_size) > min(font_size)),
 c AS (SELECT doc_id, line_no, w, 1 AS i, w[1].seq AS seq, w[1].size AS size, false AS corner FROM l
@@ -137,7 +126,6 @@ SELECT doc_id, seq, coalesce(CASE WHEN abs(gap) < 0.1 THEN 0 WHEN gap > 10 THEN
     "q_remove_lines": f"""WITH {PARAS}, e AS (SELECT doc_id, page_no, row_no, seq AS element_id, x + n % 5 - 2 AS ex, y AS ey, x2 + n % 3 - 2 AS ex2, y2 AS ey2, row_no FROM words), g AS (SELECT * FROM words WHERE n > 12)
 SELECT doc_id, element_id FROM e WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.doc_id = e.doc_id AND g.page_no = e.page_no AND g.row_no = e.row_no AND greatest(0, least(ex2, x2) - greatest(ex, x)) * greatest(0, least(ey2, y2) - greatest(ey, y)) / ((ex2 - ex) * (ey2 - ey)) > 0.9)
 AND EXISTS (SELECT 1 FROM paras p WHERE p.doc_id = e.doc_id AND p.page_no = e.page_no AND greatest(0, least(ex2, x2) - greatest(ex, x)) * greatest(0, least(ey2, y2) - greatest(ey, y)) / ((ex2 - ex) * (ey2 - ey)) > 0.9)""",
-    "q_formula_layout": f"WITH {ASSIGNED} SELECT doc_id, page_no, label, count(*) AS n, count(*) FILTER ({_START}) AS n_formula, sum((x2 - x) * (y2 - y)) AS area FROM assigned GROUP BY doc_id, page_no, label",
     "q_placeholder_only": f"WITH {PARAS} SELECT doc_id, page_no, para_seq, bool_and({_START}) AS placeholder_only FROM grouped GROUP BY ALL",
     "q_line_merge": f"""WITH {PARAS}, d AS (SELECT *, regexp_matches(text, '^[0-9 ]*$') AS digits FROM paras),
 f AS (SELECT *, CASE WHEN row_number() OVER p = 1 THEN 0 WHEN label IS DISTINCT FROM lag(label) OVER p OR digits IS DISTINCT FROM lag(digits) OVER p THEN 1 ELSE 0 END AS f FROM d WINDOW p AS (PARTITION BY doc_id, page_no ORDER BY para_seq)),

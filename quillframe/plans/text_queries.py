@@ -144,13 +144,6 @@ def q_prompt(spark, sf_dir):
     return rows.select("doc_id", F.sha2(X.prompt("zh", F.col("title"), F.when(F.col("doc_id") % 2 == 0, "a=b").otherwise(""), F.col("text")), 256).alias("prompt_hash"))
 
 
-def q_cross_page(spark, sf_dir):
-    p = _paras(spark, sf_dir).where("label = 'plain text'")
-    ends = p.groupBy("doc_id", "page_no").agg(F.min("para_no").alias("first_no"), F.max("para_no").alias("last_no"))
-    nxt = ends.select("doc_id", (F.col("page_no") - 1).alias("page_no"), F.col("first_no").alias("next_no"))
-    return ends.join(nxt, ["doc_id", "page_no"]).where("first_no <> last_no").select("doc_id", "page_no", F.col("last_no").alias("left_no"), F.col("next_no").alias("right_no"))
-
-
 def q_language_totals(spark, sf_dir):
     return S.table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("n_chars"), F.sum(S.tokens(F.col("text"))).alias("n_tokens"))
 
@@ -218,8 +211,6 @@ SELECT c.id, m.translation, m.translation IS NOT NULL AS hit FROM c LEFT JOIN m
     "q_prompt": f"""WITH {PARAS}, t AS (SELECT doc_id, text AS title FROM paras WHERE label = 'title')
 SELECT p.doc_id, sha256('Translate every input into zh. Keep all placeholders.' || coalesce(chr(10) || chr(10) || 'Title: ' || title, '') || CASE WHEN p.doc_id % 2 = 0 THEN chr(10) || chr(10) || 'Terms: a=b' ELSE '' END || chr(10) || chr(10) || 'Inputs: ' || text) AS prompt_hash
 FROM paras p LEFT JOIN t ON t.doc_id = p.doc_id WHERE para_no = 1""",
-    "q_cross_page": f"""WITH {PARAS}, e AS (SELECT doc_id, page_no, min(para_no) AS f, max(para_no) AS l FROM paras WHERE label = 'plain text' GROUP BY ALL)
-SELECT a.doc_id, a.page_no, a.l AS left_no, b.f AS right_no FROM e a JOIN e b ON a.doc_id = b.doc_id AND b.page_no = a.page_no + 1 WHERE a.f <> a.l""",
     "q_language_totals": f"SELECT lang, count(*) AS n_docs, sum(n_chars)::BIGINT AS n_chars, sum({_TOK.format('text')})::BIGINT AS n_tokens FROM documents GROUP BY 1",
     "q_quarantine": """SELECT * FROM (SELECT d.doc_id, CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 0 THEN 'quality' WHEN n_chars < 50 THEN 'short' END AS why FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id) WHERE why IS NOT NULL""",
 }
