@@ -6,9 +6,9 @@ make components, so a large group of near copies is one from then on.  Members o
 that still hold several components then meet by prefixes, which lose no pair: with the
 elements of each set in one order, rare ones first, two sets of at least the threshold's
 Jaccard similarity share one of the first n - ceil(threshold * n) + 1, with enough elements
-left behind it in both.  Each pair is verified once, however many buckets it shares.  Where
-many sets nearly at the threshold share their prefixes, the pairs are as many as there are;
-none are left out.
+left behind it in both, and enough of the first ones in common.  Each pair is verified once,
+however many buckets it shares.  Where many sets nearly at the threshold share their
+prefixes, the pairs are as many as there are; none are left out.
 """
 
 from __future__ import annotations
@@ -59,23 +59,43 @@ def _apart(rows: DataFrame) -> DataFrame:
 
 
 def _pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """All (u, v), u < v, in a bucket and in different components that their places in sets of n elements allow."""
+    """All (u, v), u < v, in different components that can be similar, each from the first element that both have.
+
+    Of a set's first m elements all that stand no later than the other's last one are in
+    the other's first ones too, or not in it at all.  So the set of the earlier end shares as
+    many of them as both lists do, and at most all of its others.
+    """
     a, b = rows.alias("a"), rows.alias("b")
+    wanted = threshold / (1 + threshold) * (F.col("a.n") + F.col("b.n")) - 1e-6
     meet = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.pid") < F.col("b.pid")) & (F.col("a.c") != F.col("b.c"))
-    # from the first shared element on, enough must be left of both sets; the pair's first one passes if the pair is similar
-    left = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) + 1
-    meet &= left >= threshold / (1 + threshold) * (F.col("a.n") + F.col("b.n")) - 1e-6
+    # from the first shared element on, enough must be left of both sets
+    meet &= F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) + 1 >= wanted
+    shared = F.array_intersect("a.firsts", "b.firsts")
+    rest = F.when(F.col("a.last") <= F.col("b.last"), F.col("a.n") - F.col("a.m")).otherwise(F.col("b.n") - F.col("b.m"))
+    meet &= (F.size(shared) + rest >= wanted) & (F.array_min(shared) == F.col("a.bucket"))
     return a.join(b, meet).select(F.col("a.pid").alias("u"), F.col("b.pid").alias("v"))
 
 
 def _prefixes(hot: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(bucket, pid, c, n, place): each element of the prefix of each set as a bucket, its place there and the set's size."""
-    each = written(hot.join(sets, "pid").select("pid", "c", F.size("sh").alias("n"), F.explode("sh").alias("bucket")), "elements")
-    often = each.groupBy("bucket").agg(F.count("*").alias("often")).where("often > 1")
-    place = F.row_number().over(Window.partitionBy("pid").orderBy(F.coalesce("often", F.lit(1)), "bucket"))
-    # a little under the threshold, so that rounding cannot shorten a prefix
-    first = each.join(often, "bucket", "left").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil((threshold - 1e-9) * F.col("n")) + 1)
-    return first.where("often > 1").select("bucket", "pid", "c", "n", "place")
+    """(bucket, pid, c, n, place, m, firsts, last): each element of the prefix of each set as a bucket, its place there,
+    the set's size, those of its first m elements that other sets have as well, and the last of the m.
+
+    An element is named by how many sets have it and 43 bits of its hash, so its name is its place in the order.
+    """
+    each = written(hot.join(sets, "pid").select("pid", "c", F.size("sh").alias("n"), F.explode("sh").alias("e")), "elements")
+    often = each.groupBy("e").agg(F.count("*").alias("often")).where("often > 1")
+    name = F.shiftleft(F.least(F.coalesce("often", F.lit(1)), F.lit((1 << 20) - 1)), 43).bitwiseOR(F.col("e").bitwiseAND(F.lit((1 << 43) - 1)))
+    named = each.join(often, "e", "left").select("pid", "c", "n", name.alias("bucket"))
+    ranked = named.withColumn("place", F.row_number().over(Window.partitionBy("pid").orderBy("bucket")))
+    # a little under the threshold, so that rounding cannot shorten a prefix; twice the prefix tells how much two sets share
+    prefix = F.col("n") - F.ceil((threshold - 1e-9) * F.col("n")) + 1
+    most = F.least("n", 2 * prefix)
+    known = F.col("bucket") >= F.lit(2 << 43)
+    lists = ranked.where(F.col("place") <= most).groupBy("pid", "c", "n").agg(
+        F.array_sort(F.collect_list(F.when(known, F.struct("bucket", "place")))).alias("firsts"), F.max("bucket").alias("last"), F.count("*").alias("m")
+    )
+    firsts = lists.select("pid", "c", "n", "m", "last", F.col("firsts.bucket").alias("firsts"), F.explode("firsts").alias("f"))
+    return firsts.where(F.col("f.place") <= prefix).select(F.col("f.bucket").alias("bucket"), "pid", "c", "n", F.col("f.place").alias("place"), "m", "firsts", "last")
 
 
 def joined(found: DataFrame, links: DataFrame) -> DataFrame:
