@@ -208,7 +208,7 @@ def spans(rows: DataFrame, block: int) -> DataFrame:
 def taken(docs: DataFrame, block: int = 64, seed: int = 11, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """key, size, source_size, target and taken, the words that the mix takes of the document."""
     rows, times, _ = drawn(docs, block, seed, key=key, text=text, source=source)
-    met = spans(rows, block).join(times, ["si", "block"], "left")
+    met = spans(rows, block).join(times.hint("merge"), ["si", "block"], "left")  # the planner cannot see how many slots a range of shards has
     got = met.groupBy("si", "b", "rn", "k", "size", "source_size", "target").agg(
         F.coalesce(F.sum(F.col("times") * (F.col("high") - F.col("low"))), F.lit(0)).alias("taken")
     )
@@ -230,7 +230,7 @@ def mixed(docs: DataFrame, block: int = 64, seed: int = 11, key: str = "doc_id",
     twice; its other columns stay.  A document that the mix does not read has no row.
     """
     rows, times, _ = drawn(docs, block, seed, key=key, text=text, source=source)
-    met = spans(rows, block).join(times, ["si", "block"])
+    met = spans(rows, block).join(times.hint("merge"), ["si", "block"])
     copies = met.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     k, s, h, n, parts = (free_name(docs, f"{c}_of_row") for c in ("key", "source", "hash", "nth", "parts"))
     reads = copies.groupBy("si", "b", "rn", "copy").agg(
@@ -248,7 +248,7 @@ def mixed(docs: DataFrame, block: int = 64, seed: int = 11, key: str = "doc_id",
     mine = free_name(docs, "nth_of_twins")
     numbered = docs.withColumn(mine, F.row_number().over(twins))
     same = F.col(key).eqNullSafe(F.col(k)) & F.col(source).eqNullSafe(F.col(s)) & (F.xxhash64(F.col(text)) == F.col(h)) & (F.col(mine) == F.col(n))
-    return numbered.join(reads, same).withColumn(text, words_of(F.col(text), F.col(parts))).select(*docs.columns)
+    return numbered.join(reads.hint("merge"), same).withColumn(text, words_of(F.col(text), F.col(parts))).select(*docs.columns)
 
 
 def joined(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
