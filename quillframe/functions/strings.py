@@ -55,3 +55,8 @@ def safe_message(text: Column, default: str = "unknown error") -> Column:
     """The first line of a message, at most 500 characters, or the default."""
     first = F.substring(F.split(F.trim(text), "\n")[0], 1, 500)
     return F.when(first.isNull() | (first == ""), default).otherwise(first)
+
+
+def without_controls(text: Column) -> Column:
+    """A text without characters of the categories control, format, surrogate, private and unassigned."""
+    return F.regexp_replace(text, r"\p{C}", "")

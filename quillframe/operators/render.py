@@ -182,22 +182,6 @@ def upper_median_gap(lines: DataFrame, default: float = 10.0) -> DataFrame:
     return listed.select("doc_id", "page_no", F.coalesce(F.get("g", F.floor(F.size("g") / 2).cast("int")), F.lit(default)).alias("spacing"))
 
 
-def inherited(nodes: DataFrame, rounds: int = 32) -> DataFrame:
-    """Each node (id, parent, value) with the value of its nearest ancestor that has one, itself first.
-
-    Pointers double each round, so a chain of n nodes takes log n joins; a cycle has no value.
-    """
-    from pyspark.sql import DataFrame as Frame
-
-    now: Frame = nodes.select("id", F.when(F.col("value").isNull(), F.col("parent")).alias("to"), "value")
-    for _ in range(rounds):
-        up = now.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("value").alias("v2"))
-        now = now.join(up, "to", "left").select("id", F.when(F.coalesce("value", "v2").isNull(), F.col("to2")).alias("to"), F.coalesce("value", "v2").alias("value")).checkpoint()
-        if now.where("to IS NOT NULL").isEmpty():
-            break
-    return now.select("id", "value")
-
-
 def snapshots(ops: DataFrame) -> DataFrame:
     """For each text operation the last arguments of every state operator before it, as one string in the order of their setting."""
     order = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)

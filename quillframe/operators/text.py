@@ -227,6 +227,27 @@ def chunked(items: Column, size: int) -> Column:
     return F.transform(starts, lambda i: F.slice(items, i, size))
 
 
+def zstd_packed(text: Column) -> Column:
+    """A text's UTF-8, compressed, with its length before it."""
+
+    @F.pandas_udf("binary")
+    def pack(texts: pd.Series) -> pd.Series:
+        raw = [None if t is None else t.encode("utf-8", "replace") for t in texts]
+        return pd.Series([None if r is None else len(r).to_bytes(8, "little") + pa.compress(r, "zstd", asbytes=True) for r in raw], dtype=object)
+
+    return pack(text)
+
+
+def zstd_unpacked(data: Column) -> Column:
+    """The bytes of a packed text."""
+
+    @F.pandas_udf("binary")
+    def unpack(blobs: pd.Series) -> pd.Series:
+        return pd.Series([None if b is None else pa.decompress(b[8:], int.from_bytes(b[:8], "little"), "zstd", asbytes=True) for b in blobs], dtype=object)
+
+    return unpack(data)
+
+
 def error_code(name: Column) -> Column:
     """The code of an error by its class name."""
     return F.when(F.lower(name).contains("scanned"), "scanned_pdf").when(name == "TimeoutError", "timeout").when(name.isin("FileNotFoundError", "ValueError"), "invalid_output").otherwise("failed")

@@ -81,16 +81,6 @@ def q_scale_mode(spark, sf_dir):
     return P.modal_scale(w.select("doc_id", "row_no", "n", (F.lit(1.0) - F.col("n") % 4 / 10.0).alias("scale"))).select("doc_id", "row_no", F.round("mode_scale", 6).alias("mode_scale"), F.round("clamped", 6).alias("clamped"))
 
 
-def q_scan_gate(spark, sf_dir):
-    return P.scanned(_pages(spark, sf_dir).withColumn("flag", F.col("n_words") % 5 > 0))
-
-
-def q_table_pages(spark, sf_dir):
-    pages = S.table(spark, sf_dir, "pages")
-    blocks = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"<(h1|p|li|td|nav|footer)[ >]"), 1)).alias("tag"))
-    return blocks.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
-
-
 def q_xobject_tree(spark, sf_dir):
     S.table(spark, sf_dir, "nation").createOrReplaceTempView("quillframe_nodes")
     return spark.sql("""WITH RECURSIVE tree(root, node, depth) AS (
@@ -181,8 +171,6 @@ AND greatest(0, least(t.x2, p.x2) - greatest(t.x, p.x)) * greatest(0, least(t.y2
 SELECT doc_id, page_no, det_id, least(x, coalesce(min(px), x))::DOUBLE AS x, least(y, coalesce(min(py), y))::DOUBLE AS y, greatest(x2, coalesce(max(px2), x2))::DOUBLE AS x2, greatest(y2, coalesce(max(py2), y2))::DOUBLE AS y2 FROM j GROUP BY doc_id, page_no, det_id, x, y, x2, y2""",
     "q_scale_mode": f"""WITH {WORDS}, r AS (SELECT doc_id, row_no, count(*) AS n FROM words GROUP BY ALL), s AS (SELECT *, 1.0::DOUBLE - (n % 4) / 10.0::DOUBLE AS scale FROM r), v AS (SELECT doc_id, scale, sum(n) AS v FROM s GROUP BY ALL),
 m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY v DESC, scale) AS k FROM v) WHERE k = 1) SELECT s.doc_id, row_no, round(m.scale, 6) AS mode_scale, round(least(s.scale, m.scale), 6) AS clamped FROM s JOIN m ON m.doc_id = s.doc_id""",
-    "q_scan_gate": f"WITH {WORDS}, {_PAGES} SELECT doc_id, count(*) AS n_pages, count(*) > 1 AND count(*) FILTER (n_words % 5 > 0) >= greatest(0.8 * count(*), 1) AS scanned FROM pg GROUP BY doc_id",
-    "q_table_pages": "WITH b AS (SELECT page_id, unnest(regexp_extract_all(html, '<(h1|p|li|td|nav|footer)[ >]', 1)) AS tag FROM pages) SELECT page_id, tag, count(*) AS n FROM b GROUP BY ALL",
     "q_xobject_tree": """WITH RECURSIVE tree(root, node, depth) AS (SELECT n_nationkey::BIGINT, n_nationkey::BIGINT, 0 FROM nation WHERE n_nationkey < 3
 UNION ALL SELECT t.root, n.n_nationkey::BIGINT, t.depth + 1 FROM tree t JOIN nation n ON (n.n_nationkey - 1) // 2 = t.node AND n.n_nationkey > 2 WHERE t.depth < 64) SELECT root, node, depth FROM tree""",
     "q_terminal": f"WITH {_LOG} SELECT execution_id, sequence, event_id, type FROM lg",
