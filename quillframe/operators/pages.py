@@ -57,13 +57,23 @@ def unletterbox(v: Column, size: Column, target: int) -> Column:
     return (v - pad) / gain
 
 
-def grown_boxes(boxes: DataFrame) -> DataFrame:
-    """Text boxes grown to hold the paragraph boxes that are nearly the same (IoU over 0.95)."""
-    t, p = boxes.where("label = 'text'").alias("t"), boxes.where("label = 'paragraph_hybrid'").alias("p")
-    box = lambda s: tuple(F.col(f"{s}.{c}") for c in ("x", "y", "x2", "y2"))
-    on = (F.col("t.doc_id") == F.col("p.doc_id")) & (F.col("t.page_no") == F.col("p.page_no")) & (G.iou(box("t"), box("p")) > 0.95)
-    got = t.join(p, on, "left").groupBy("t.doc_id", "t.page_no", "t.det_id", *(f"t.{c}" for c in ("x", "y", "x2", "y2"))).agg(F.min("p.x").alias("px"), F.min("p.y").alias("py"), F.max("p.x2").alias("px2"), F.max("p.y2").alias("py2"))
-    grown = [(F.least if c in ("x", "y") else F.greatest)(F.col(c), F.coalesce(f"p{c}", c)).alias(c) for c in ("x", "y", "x2", "y2")]
+def grown_boxes(boxes: DataFrame, cell: tuple[float, float] = (64.0, 16.0)) -> DataFrame:
+    """Text boxes grown to hold the paragraph boxes that are nearly the same (IoU over 0.95).
+
+    Such boxes have centres within a twentieth of their size of each other, so they meet on
+    the grid cell of the paragraph's centre.
+    """
+    edges = ("x", "y", "x2", "y2")
+    half = [((F.col(a) + F.col(b)) / 2, (F.col(b) - F.col(a)) / 20) for a, b in (("x", "x2"), ("y", "y2"))]
+    p = boxes.where("label = 'paragraph_hybrid'").select("doc_id", "page_no", *[F.floor(m / c).alias(g) for (m, _), c, g in zip(half, cell, ("gx", "gy"), strict=True)], *[F.col(e).alias(f"p{e}") for e in edges])
+    t = boxes.where("label = 'text'").select("doc_id", "page_no", "det_id", *edges)
+    for (m, d), c, g in zip(half, cell, ("gx", "gy"), strict=True):
+        t = t.withColumn(g, F.explode(F.sequence(F.floor((m - d) / c), F.floor((m + d) / c))))
+    near = G.iou(G.box(), G.box("p")) > 0.95
+    keys = ["doc_id", "page_no", "gx", "gy"]
+    met = t.join(p, [*[t[k] == p[k] for k in keys], near], "left").select(t["doc_id"], t["page_no"], "det_id", *edges, *[f"p{e}" for e in edges])
+    got = met.groupBy("doc_id", "page_no", "det_id", *edges).agg(F.min("px").alias("px"), F.min("py").alias("py"), F.max("px2").alias("px2"), F.max("py2").alias("py2"))
+    grown = [(F.least if e in ("x", "y") else F.greatest)(F.col(e), F.coalesce(f"p{e}", e)).alias(e) for e in edges]
     return got.select("doc_id", "page_no", "det_id", *grown)
 
 

@@ -17,8 +17,8 @@ def _pages(spark, sf_dir):
 
 def q_render_order(spark, sf_dir):
     w = _words(spark, sf_dir)
-    chars = w.where("n > 6").select("doc_id", "page_no", F.col("seq").cast("long").alias("idx"), F.when(F.col("seq") % 3 > 0, F.col("row_no")).alias("render_order"), F.col("seq").cast("long").alias("sub_order"))
-    curves = w.where("n > 10").select("doc_id", "page_no", F.col("seq").cast("long").alias("idx"), F.col("row_no").alias("render_order"), F.col("n").cast("long").alias("sub_order"))
+    chars = w.select("doc_id", "page_no", F.col("seq").cast("long").alias("idx"), F.when(F.col("seq") % 3 > 0, F.col("row_no")).alias("render_order"), F.col("seq").cast("long").alias("sub_order"))
+    curves = w.select("doc_id", "page_no", F.col("seq").cast("long").alias("idx"), F.col("row_no").alias("render_order"), F.col("n").cast("long").alias("sub_order"))
     return P.render_units(chars, curves).select("doc_id", "page_no", "kind_ord", "idx", "place")
 
 
@@ -37,7 +37,7 @@ def q_dual_alternating(spark, sf_dir):
 
 def q_dual_side(spark, sf_dir):
     p = _pages(spark, sf_dir)
-    return P.side_by_side(p, p.where("page_no < 3").withColumn("h", F.col("h") + 5))
+    return P.side_by_side(p, p.withColumn("h", F.col("h") + 5))
 
 
 def q_watermark_grid(spark, sf_dir):
@@ -64,7 +64,7 @@ def q_matrix(spark, sf_dir):
 
 
 def _detections(spark, sf_dir):
-    w = _words(spark, sf_dir).where("n > 9")
+    w = _words(spark, sf_dir)
     return w.select("doc_id", "page_no", F.col("seq").alias("det_id"), F.when(F.col("seq") % 2 == 0, "text").otherwise("paragraph_hybrid").alias("label"), (F.floor(F.col("x") / 60) * 60.0).alias("x"), F.col("y"), (F.floor(F.col("x") / 60) * 60.0 + 90 + F.col("n") % 3).alias("x2"), F.col("y2"), (F.col("seq") % 10 / F.lit(10.0)).alias("conf"))
 
 
@@ -143,7 +143,7 @@ _PAGES = "pg AS (SELECT doc_id, page_no, count(*) AS n_words, max(x2) AS w, max(
 _LOG = """o AS (SELECT event_id, ts, user_id AS execution_id, event_type AS type, value, row_number() OVER w AS sequence,
 coalesce(max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 lg AS (SELECT * FROM o WHERE done = 0), kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY execution_id ORDER BY sequence DESC) AS r FROM lg) WHERE r <= 5)"""
-_DET = """dt AS (SELECT doc_id, page_no, seq AS det_id, CASE WHEN seq % 2 = 0 THEN 'text' ELSE 'paragraph_hybrid' END AS label, floor(x / 60) * 60.0 AS x, y, floor(x / 60) * 60.0 + 90 + n % 3 AS x2, y2, (seq % 10 / 10.0)::DOUBLE AS conf FROM words WHERE n > 9)"""
+_DET = """dt AS (SELECT doc_id, page_no, seq AS det_id, CASE WHEN seq % 2 = 0 THEN 'text' ELSE 'paragraph_hybrid' END AS label, floor(x / 60) * 60.0 AS x, y, floor(x / 60) * 60.0 + 90 + n % 3 AS x2, y2, (seq % 10 / 10.0)::DOUBLE AS conf FROM words)"""
 _USED = "s AS (SELECT * FROM (VALUES " + ", ".join(f"({p}, {k}, '{n}', {w}::DOUBLE)" for p in (1, 2) for k, (n, w) in enumerate(V.STAGES) if p == 1 or n not in ("table", "terms", "translate")) + ") t(plan_id, idx, stage, weight)), sh AS (SELECT *, weight / sum(weight) OVER (PARTITION BY plan_id) AS share FROM s)"
 
 
@@ -154,19 +154,19 @@ def _grid(side: str, mark: float) -> str:
 
 
 ORACLE = {
-    "q_render_order": f"""WITH {WORDS}, u AS (SELECT doc_id, page_no, 0 AS kind_ord, seq AS idx, CASE WHEN seq % 3 > 0 THEN row_no END AS ro, seq AS so FROM words WHERE n > 6 UNION ALL SELECT doc_id, page_no, 1, seq, row_no, n FROM words WHERE n > 10)
+    "q_render_order": f"""WITH {WORDS}, u AS (SELECT doc_id, page_no, 0 AS kind_ord, seq AS idx, CASE WHEN seq % 3 > 0 THEN row_no END AS ro, seq AS so FROM words UNION ALL SELECT doc_id, page_no, 1, seq, row_no, n FROM words)
 SELECT doc_id, page_no, kind_ord, idx, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY coalesce(ro, 9999999999999999), coalesce(so, 9999999999999999), kind_ord, idx) AS place FROM u""",
     "q_page_parts": f"WITH {WORDS}, {_PAGES} SELECT doc_id, page_no // 2 AS part_no, min(page_no) AS first_page, max(page_no) AS last_page, count(*) AS n_pages FROM pg GROUP BY ALL",
     "q_merge_parts": f"WITH {WORDS}, {_PAGES} SELECT doc_id, count(DISTINCT page_no // 2) AS n_parts, min(page_no) AS first_page, max(page_no) AS last_page, count(*) AS n_pages FROM pg GROUP BY doc_id",
     "q_dual_alternating": f"WITH {WORDS}, {_PAGES} SELECT doc_id, page_no, side, 2 * page_no + CASE WHEN side = 'original' THEN 0 ELSE 1 END AS slot FROM pg, (VALUES ('original'), ('translated')) t(side)",
-    "q_dual_side": f"WITH {WORDS}, {_PAGES} SELECT doc_id, page_no, w + w AS w, h + 5 AS h FROM pg WHERE page_no < 3",
+    "q_dual_side": f"WITH {WORDS}, {_PAGES} SELECT doc_id, page_no, w + w AS w, h + 5 AS h FROM pg",
     "q_watermark_grid": f"WITH {WORDS}, {_PAGES} SELECT w, h, count(*) AS n_pages, min(doc_id) AS first_doc, {_grid('w', 60.0)} AS dx, {_grid('h', 25.0)} AS dy FROM pg GROUP BY w, h",
     "q_only_translated": f"WITH {WORDS}, {_PAGES} SELECT doc_id, page_no FROM pg WHERE page_no % 2 <> 0",
     "q_coords": f"""WITH {WORDS} SELECT doc_id, seq, greatest(0, least(trunc(x - 1)::INT, 499)) AS px, greatest(0, least(trunc(552 - (y2 + 1))::INT, 551)) AS py, round((x - round_even((1024.0 - 1800.0 * (1024.0::DOUBLE / 1800.0)) / 2 - 0.1, 0)) / (1024.0::DOUBLE / 1800.0), 6) AS ux FROM words""",
     "q_matrix": """SELECT l_orderkey, l_linenumber, round(l_quantity * 0.5 + l_suppkey * 0.25, 4) AS m0, round(l_linenumber * 0.5 + l_quantity * 0.25, 4) AS m1, round(l_quantity * -0.25 + l_suppkey * 0.5, 4) AS m2,
 round(l_linenumber * -0.25 + l_quantity * 0.5, 4) AS m3, round(l_quantity * 3.0 + l_suppkey * 4.0 + l_partkey, 4)::DOUBLE AS m4, round(l_linenumber * 3.0 + l_quantity * 4.0 + l_orderkey, 4)::DOUBLE AS m5, round(degrees(atan2(l_linenumber, l_quantity)), 6) AS angle FROM lineitem""",
     "q_detect_rank": f"WITH {WORDS}, {_DET} SELECT doc_id, page_no, det_id, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY conf DESC, det_id) AS place FROM dt WHERE conf > 0.25",
-    "q_detect_merge": f"""WITH {WORDS}, {_DET}, j AS (SELECT t.*, p.x AS px, p.y AS py, p.x2 AS px2, p.y2 AS py2 FROM dt t LEFT JOIN dt p ON p.label = 'paragraph_hybrid' AND p.doc_id = t.doc_id AND p.page_no = t.page_no
+    "q_detect_merge": f"""WITH {WORDS}, {_DET}, j AS (SELECT t.*, p.x AS px, p.y AS py, p.x2 AS px2, p.y2 AS py2 FROM dt t LEFT JOIN dt p ON p.label = 'paragraph_hybrid' AND p.doc_id = t.doc_id AND p.page_no = t.page_no AND p.y = t.y
 AND greatest(0, least(t.x2, p.x2) - greatest(t.x, p.x)) * greatest(0, least(t.y2, p.y2) - greatest(t.y, p.y)) / ((t.x2 - t.x) * (t.y2 - t.y) + (p.x2 - p.x) * (p.y2 - p.y) - greatest(0, least(t.x2, p.x2) - greatest(t.x, p.x)) * greatest(0, least(t.y2, p.y2) - greatest(t.y, p.y))) > 0.95 WHERE t.label = 'text')
 SELECT doc_id, page_no, det_id, least(x, coalesce(min(px), x))::DOUBLE AS x, least(y, coalesce(min(py), y))::DOUBLE AS y, greatest(x2, coalesce(max(px2), x2))::DOUBLE AS x2, greatest(y2, coalesce(max(py2), y2))::DOUBLE AS y2 FROM j GROUP BY doc_id, page_no, det_id, x, y, x2, y2""",
     "q_scale_mode": f"""WITH {WORDS}, r AS (SELECT doc_id, row_no, count(*) AS n FROM words GROUP BY ALL), s AS (SELECT *, 1.0::DOUBLE - (n % 4) / 10.0::DOUBLE AS scale FROM r), v AS (SELECT doc_id, scale, sum(n) AS v FROM s GROUP BY ALL),

@@ -24,8 +24,9 @@ def q_cid_gate(spark, sf_dir):
 
 
 def q_numeric_only(spark, sf_dir):
-    t = S.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_extract("text", r"(-?[0-9][0-9.]*|[a-z]+)", 1).alias("t"))
-    return t.select("conv_id", "turn", X.is_numeric(F.col("t")).alias("numeric"), X.is_digits_or_space(F.col("t")).alias("digits"))
+    words = F.posexplode(F.regexp_extract_all("text", F.lit(r"(-?[0-9][0-9.]*|[a-z]+)"), 1)).alias("word_no", "t")
+    t = S.table(spark, sf_dir, "conversations").select("conv_id", "turn", words)
+    return t.select("conv_id", "turn", "word_no", X.is_numeric(F.col("t")).alias("numeric"), X.is_digits_or_space(F.col("t")).alias("digits"))
 
 
 def q_candidates(spark, sf_dir):
@@ -49,7 +50,7 @@ def q_title_asof(spark, sf_dir):
     from pyspark.sql import Window
 
     order = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    t = S.table(spark, sf_dir, "conversations").withColumn("title", F.when(F.col("role") == "user", F.substring("text", 1, 40)))
+    t = S.table(spark, sf_dir, "conversations").withColumn("title", F.when(F.col("role") == "user", F.col("text")))
     return t.select("conv_id", "turn", F.last("title", ignorenulls=True).over(order).alias("recent_title"))
 
 
@@ -132,16 +133,16 @@ def q_usage_counters(spark, sf_dir):
 
 
 def q_memo(spark, sf_dir):
-    c = S.table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("role").alias("engine"), F.lit("{}").alias("params_json"), F.substring("text", 1, 6).alias("text"), F.concat(F.lit("t:"), F.substring("text", 1, 12)).alias("translation"))
-    memo = X.memo_latest(c.where("turn < 2"))
-    return X.memo_joined(c.drop("translation"), memo).select("id", "translation", "hit")
+    c = S.table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("role").alias("engine"), F.lit("{}").alias("params_json"), F.split_part("text", F.lit(" "), F.lit(1)).alias("text"), F.concat(F.lit("t:"), F.col("text")).alias("translation"), "turn")
+    memo = X.memo_latest(c.where("turn % 2 = 0").drop("turn"))
+    return X.memo_joined(c.drop("translation", "turn"), memo).select("id", "translation", "hit")
 
 
 def q_prompt(spark, sf_dir):
     p = _paras(spark, sf_dir)
     title = p.where("label = 'title'").select("doc_id", F.col("text").alias("title"))
-    rows = p.where("para_no = 1").join(title, "doc_id", "left")
-    return rows.select("doc_id", F.sha2(X.prompt("zh", F.col("title"), F.when(F.col("doc_id") % 2 == 0, "a=b").otherwise(""), F.col("text")), 256).alias("prompt_hash"))
+    rows = p.join(title, "doc_id", "left")
+    return rows.select("doc_id", "para_no", F.sha2(X.prompt("zh", F.col("title"), F.when(F.col("doc_id") % 2 == 0, "a=b").otherwise(""), F.col("text")), 256).alias("prompt_hash"))
 
 
 def q_language_totals(spark, sf_dir):
@@ -176,15 +177,15 @@ _TOKENIZED = "(SELECT doc_id, replace(replace(text, 'the ', '{v1} '), 'and ', '<
 ORACLE = {
     "q_cid_gate": """WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents), c AS (SELECT doc_id, avg(CASE WHEN length(w) % 5 = doc_id % 5 OR regexp_matches(w, '^\\(cid:[0-9]+\\)$') THEN 1.0 ELSE 0.0 END) AS s FROM w GROUP BY 1)
 SELECT doc_id, round(s, 6) AS cid_share, s > 0.2 AS rejected FROM c""",
-    "q_numeric_only": r"""WITH t AS (SELECT conv_id, turn, regexp_extract(text, '(-?[0-9][0-9.]*|[a-z]+)', 1) AS t FROM conversations)
-SELECT conv_id, turn, regexp_matches(trim(t), '^-?[0-9]+(\.[0-9]+)?$') AS numeric, regexp_matches(t, '^[0-9\s]*$') AS digits FROM t""",
+    "q_numeric_only": r"""WITH l AS (SELECT conv_id, turn, regexp_extract_all(text, '(-?[0-9][0-9.]*|[a-z]+)', 1) AS ts FROM conversations), t AS (SELECT conv_id, turn, (generate_subscripts(ts, 1) - 1)::INT AS word_no, unnest(ts) AS t FROM l)
+SELECT conv_id, turn, word_no, regexp_matches(trim(t), '^-?[0-9]+(\.[0-9]+)?$') AS numeric, regexp_matches(t, '^[0-9\s]*$') AS digits FROM t""",
     "q_candidates": f"""WITH {PARAS} SELECT doc_id, para_no, n_tokens FROM paras p WHERE length(text) >= 5 AND label = 'plain text' AND NOT regexp_matches(trim(text), '^-?[0-9]+(\\.[0-9]+)?$') AND NOT contains(text, '(cid:')
 AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.toxic = 1 AND l.doc_id = p.doc_id AND p.para_no = 1)""",
     "q_page_ranges": f"""WITH {PARAS}, l AS (SELECT doc_id, max(page_no) AS last FROM paras GROUP BY 1), e AS (SELECT doc_id, unnest(range(0, last + 1)) AS page_no FROM l),
 s AS (SELECT * FROM (VALUES (1, 1, 1), (1, 2, 2), (1, 4, 1000000), (2, 1, 3), (3, 2, 3), (5, 0, 1000000)) t(spec_id, a, b))
 SELECT DISTINCT spec_id, doc_id, page_no FROM e JOIN s ON page_no + 1 BETWEEN a AND b""",
     "q_first_title": f"WITH {PARAS} SELECT doc_id, arg_min(text, para_no) FILTER (label = 'title') AS title FROM paras GROUP BY 1",
-    "q_title_asof": "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN substr(text, 1, 40) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS recent_title FROM conversations",
+    "q_title_asof": "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS recent_title FROM conversations",
     "q_batches": f"WITH RECURSIVE {PARAS}, {_batches(200, 5)} SELECT doc_id, para_no, batch FROM b",
     "q_term_batches": f"WITH RECURSIVE {PARAS}, {_batches(600, 12)} SELECT doc_id, para_no, batch FROM b",
     "q_priority": f"WITH RECURSIVE {PARAS}, {_batches(200, 5)} SELECT b.doc_id, batch, (1048576 - sum(n_tokens))::BIGINT AS priority FROM b JOIN paras p ON p.doc_id = b.doc_id AND p.para_no = b.para_no GROUP BY ALL",
@@ -205,12 +206,12 @@ r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, f) AS r FRO
 UNION ALL SELECT doc_id, 7, lang[1:2] FROM documents WHERE doc_id % 3 = 1 UNION ALL SELECT doc_id, NULL, NULL FROM documents WHERE doc_id % 3 = 2""",
     "q_accept": f"WITH {PARAS}, {_PAIRS} SELECT doc_id, para_no, reason FROM z",
     "q_usage_counters": f"""WITH {PARAS}, {_PAIRS} SELECT page_no, count(*) AS total, count(*) FILTER (reason = 'ok') AS ok, count(*) FILTER (reason <> 'ok') AS fallback, sum(n_tokens)::BIGINT AS prompt_tokens, coalesce(sum(n_target), 0)::BIGINT AS completion_tokens FROM z GROUP BY 1""",
-    "q_memo": """WITH c AS (SELECT conv_id * 100 + turn AS id, turn, role AS engine, substr(text, 1, 6) AS text, 't:' || substr(text, 1, 12) AS translation FROM conversations),
-m AS (SELECT engine, text, arg_max(translation, id) AS translation FROM c WHERE turn < 2 GROUP BY ALL)
+    "q_memo": """WITH c AS (SELECT conv_id * 100 + turn AS id, turn, role AS engine, split_part(text, ' ', 1) AS text, 't:' || text AS translation FROM conversations),
+m AS (SELECT engine, text, arg_max(translation, id) AS translation FROM c WHERE turn % 2 = 0 GROUP BY ALL)
 SELECT c.id, m.translation, m.translation IS NOT NULL AS hit FROM c LEFT JOIN m ON m.engine = c.engine AND m.text = c.text""",
     "q_prompt": f"""WITH {PARAS}, t AS (SELECT doc_id, text AS title FROM paras WHERE label = 'title')
-SELECT p.doc_id, sha256('Translate every input into zh. Keep all placeholders.' || coalesce(chr(10) || chr(10) || 'Title: ' || title, '') || CASE WHEN p.doc_id % 2 = 0 THEN chr(10) || chr(10) || 'Terms: a=b' ELSE '' END || chr(10) || chr(10) || 'Inputs: ' || text) AS prompt_hash
-FROM paras p LEFT JOIN t ON t.doc_id = p.doc_id WHERE para_no = 1""",
+SELECT p.doc_id, p.para_no, sha256('Translate every input into zh. Keep all placeholders.' || coalesce(chr(10) || chr(10) || 'Title: ' || title, '') || CASE WHEN p.doc_id % 2 = 0 THEN chr(10) || chr(10) || 'Terms: a=b' ELSE '' END || chr(10) || chr(10) || 'Inputs: ' || text) AS prompt_hash
+FROM paras p LEFT JOIN t ON t.doc_id = p.doc_id""",
     "q_language_totals": f"SELECT lang, count(*) AS n_docs, sum(n_chars)::BIGINT AS n_chars, sum({_TOK.format('text')})::BIGINT AS n_tokens FROM documents GROUP BY 1",
     "q_quarantine": """SELECT * FROM (SELECT d.doc_id, CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 0 THEN 'quality' WHEN n_chars < 50 THEN 'short' END AS why FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id) WHERE why IS NOT NULL""",
 }
