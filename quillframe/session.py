@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import tomllib
+from dataclasses import dataclass, fields
 
 from pyspark.sql import SparkSession
 
@@ -32,6 +33,35 @@ class EngineConf:
     report_seconds: float = 0.1
     queries_per_second: float = 4.0
 
+    @classmethod
+    def of(cls, spark: SparkSession, prefix: str = "quillframe.") -> EngineConf:
+        """The options of a session: its settings of these names, as ``quillframe.batch_tokens``, over the defaults."""
+        given = {}
+        for f in fields(cls):
+            raw = spark.conf.get(prefix + f.name, None)
+            if raw is not None:
+                given[f.name] = parsed(f.name, str(f.type), raw)
+        return cls(**given)
+
+    @classmethod
+    def from_toml(cls, text: str) -> EngineConf:
+        """The options of a TOML table [quillframe]; unknown ones are errors."""
+        return cls(**tomllib.loads(text).get("quillframe", {}))
+
+
+def parsed(name: str, kind: str, raw: str) -> object:
+    """An option from text; numbers must be above 0."""
+    if kind.startswith("bool"):
+        if raw.lower() not in ("true", "false", "1", "0"):
+            raise ValueError(f"{name}: {raw!r} is neither true nor false")
+        return raw.lower() in ("true", "1")
+    if kind.startswith(("int", "float")):
+        value = int(raw) if kind.startswith("int") else float(raw)
+        if value <= 0:
+            raise ValueError(f"{name}: {raw!r} is not above 0")
+        return value
+    return raw
+
 
 def session(name: str = "quillframe", master: str | None = None, partitions: int | None = None) -> SparkSession:
     """A session with adaptive execution, skew handling and UTC; a cluster's own settings stay."""

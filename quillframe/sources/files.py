@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+import io
+import os
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillframe.operators.text import language_fits
@@ -21,6 +26,67 @@ def read_glossary(spark: SparkSession, path: str, lang_out: str) -> DataFrame:
     return kept.select(name.alias("glossary_name"), "source", "target", "tgt_lng")
 
 
+def decoded(content: Column) -> Column:
+    """The text of a file: by its byte order mark, else UTF-8, else Latin-1."""
+
+    @F.pandas_udf("string")
+    def decode(blobs: pd.Series) -> pd.Series:
+        out = []
+        for b in blobs:
+            marked = next((e for m, e in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")) if b.startswith(m)), None)
+            try:
+                out.append(b.decode(marked or "utf-8"))
+            except UnicodeDecodeError:
+                out.append(b.decode("latin-1"))
+        return pd.Series(out, dtype=object)
+
+    return decode(content)
+
+
+def read_glossary_any(spark: SparkSession, path: str, lang_out: str) -> DataFrame:
+    """read_glossary for files of any of these encodings; a file without the columns source and target has no rows."""
+    whole = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("glossary_name"), decoded(F.col("content")).alias("text"))
+
+    @F.pandas_udf("array<struct<source:string,target:string,tgt_lng:string>>")
+    def rows(texts: pd.Series) -> pd.Series:
+        found = []
+        for t in texts:
+            lines = csv.DictReader(io.StringIO(t))
+            known = {"source", "target"} <= set(lines.fieldnames or ())
+            found.append([{"source": r["source"], "target": r["target"], "tgt_lng": r.get("tgt_lng") or None} for r in lines if r["source"] and r["target"]] if known else [])
+        return pd.Series(found, dtype=object)
+
+    each = whole.select("glossary_name", F.explode(rows("text")).alias("r")).select("glossary_name", "r.*")
+    return each.where(language_fits(F.col("tgt_lng"), F.lit(lang_out)))
+
+
+def input_files(arguments: list[str], suffix: str = ".pdf") -> list[str]:
+    """File arguments without quotes and leading dashes; a missing file or another suffix is an error."""
+    out = []
+    for a in arguments:
+        name = a.strip().strip("\"'").lstrip("-").strip("\"'")
+        if not name.lower().endswith(suffix):
+            raise ValueError(f"{name}: no {suffix} file")
+        if not os.path.exists(name):
+            raise FileNotFoundError(name)
+        out.append(name)
+    return out
+
+
+def inside(root: str, path: str) -> str:
+    """The real path, which must lie within the root."""
+    top, real = os.path.realpath(root), os.path.realpath(os.path.join(root, path))
+    if real != top and not real.startswith(top + os.sep):
+        raise ValueError(f"{path} leaves the work folder")
+    return real
+
+
+def dumped(stage: DataFrame, folder: str, name: str) -> DataFrame:
+    """A stage written as Parquet and read again: what a later stage sees can be looked at."""
+    stage.write.mode("overwrite").parquet(f"{folder}/{name}")
+    return stage.sparkSession.read.schema(stage.schema).parquet(f"{folder}/{name}")
+
+
 def write_glossary(terms: DataFrame, path: str) -> None:
     terms.select("source", "target", "tgt_lng").write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
