@@ -194,8 +194,8 @@ f AS (SELECT doc_id, (2 * ma * mb + 0.64) * (2 * ab + 5.76) / ((ma * ma + mb * m
 SELECT doc_id, count(*) AS n_pages, count(*) > 1 AND count(*) FILTER (flag) >= greatest(0.8 * count(*), 1) AS scanned FROM f GROUP BY doc_id""",
     "q_bands": f"WITH {WORDS} SELECT doc_id, page_no, seq, y, y2, (dense_rank() OVER (PARTITION BY doc_id, page_no ORDER BY row_no) - 1)::INT AS band FROM words",
     "q_table_pages": f"WITH {WORDS} SELECT doc_id, page_no, count(*) AS n_words FROM words GROUP BY ALL HAVING max(n) > 12",
-    "q_inherited": """WITH RECURSIVE n AS (SELECT doc_id + 1 AS id FROM documents), t AS (SELECT id, id AS tm FROM n UNION ALL SELECT id, tm // 2 FROM t WHERE tm % 5 <> 1 AND tm > 1)
-SELECT id, max(CASE WHEN tm % 5 = 1 THEN tm END) AS value FROM t GROUP BY id""",
+    "q_inherited": """WITH RECURSIVE n AS (SELECT doc_id + 1 AS id FROM documents), t AS (SELECT id, id AS up FROM n UNION ALL SELECT t.id, n.id FROM t JOIN n ON n.id = t.up // 2 WHERE t.up % 5 <> 1)
+SELECT id, max(CASE WHEN up % 5 = 1 THEN up END) AS value FROM t GROUP BY id""",
     "q_skips": f"""WITH {PARAS}, f AS (SELECT *, text AS word FROM paras) SELECT doc_id, page_no, para_seq, CASE WHEN (x2 - x) * 3 < y2 - y THEN 'vertical' WHEN n_words = 1 AND {_START} THEN 'one formula' END AS why FROM f""",
     "q_paragraph_heights": f"WITH {PARAS} SELECT doc_id, page_no, para_seq, coalesce(sum(n) FILTER (NOT {_START}), 0)::BIGINT AS n_chars, max(y2 - y) AS height FROM grouped GROUP BY ALL",
     "q_stored_text": "SELECT doc_id, sha256(text) AS hash FROM documents",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillframe.operators import text as X
+from quillframe.session import EngineConf
 from quillframe.sources import synthetic as S
 
 PARAS = r"""
@@ -31,7 +32,7 @@ def q_numeric_only(spark, sf_dir):
 
 def q_candidates(spark, sf_dir):
     done = S.table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id", F.lit(1).alias("para_no"))
-    return X.candidates(_paras(spark, sf_dir), done).select("doc_id", "para_no", "n_tokens")
+    return X.candidates(_paras(spark, sf_dir), done, EngineConf.of(spark).min_text_length).select("doc_id", "para_no", "n_tokens")
 
 
 def q_page_ranges(spark, sf_dir):
@@ -55,11 +56,13 @@ def q_title_asof(spark, sf_dir):
 
 
 def q_batches(spark, sf_dir):
-    return X.batches(_paras(spark, sf_dir), 200, 5)
+    conf = EngineConf.of(spark)
+    return X.batches(_paras(spark, sf_dir), conf.batch_tokens, conf.batch_items)
 
 
 def q_term_batches(spark, sf_dir):
-    return X.batches(_paras(spark, sf_dir), 600, 12)
+    conf = EngineConf.of(spark)
+    return X.batches(_paras(spark, sf_dir), conf.term_tokens, conf.term_items)
 
 
 def q_priority(spark, sf_dir):
