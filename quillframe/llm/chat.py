@@ -15,7 +15,7 @@ run is then solved on its own.
 Defined cases: a null or unknown role must be given a role; null text is empty; null turns
 come first, turns of equal number stand in the order of role, text and place in the input;
 a null conversation id is a conversation; repeated rows are turns each; very long texts are
-rendered whole; an empty table gives an empty one; further columns are not carried.
+rendered whole; "<|" within a text is rendered as "< |", so that no text holds a marker; an empty table gives an empty one; further columns are not carried.
 """
 
 from __future__ import annotations

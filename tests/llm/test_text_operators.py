@@ -151,6 +151,27 @@ def test_packing_round_trip(spark, length):
 def test_assignment_balances_cost():
     placed = packing.assign([30, 20, 10, 4], [32, 32], 8)
     assert sum(p[2] for p in placed) == 64 and max(p[4] + p[2] for p in placed) == 32
+    rng = np.random.default_rng(5)
+    sizes = sorted(rng.integers(5, 400, 60).tolist(), reverse=True)
+    rooms = [2048] * -(-sum(sizes) // 2048)
+    rooms[-1] = sum(sizes) - 2048 * (len(rooms) - 1)
+
+    def spread(pieces):
+        cost = Counter()
+        for _, _, n, room, _ in pieces:
+            cost[room] += n * 64 + n * n
+        full = [cost[k] for k, r in enumerate(rooms) if r == 2048]
+        return max(full) - min(full)
+
+    first, room, left = [], 0, rooms[0]
+    for k, n in enumerate(sizes):  # first fit of descending documents, cut where a sequence ends
+        while n:
+            take = min(n, left)
+            first.append((k, 0, take, room, 0))
+            n, left = n - take, left - take
+            if not left and room + 1 < len(rooms):
+                room, left = room + 1, rooms[room + 1]
+    assert spread(packing.assign(sizes, rooms, 64)) < spread(first) / 2
 
 
 def test_language_id_learns_and_answers(spark, sf):
