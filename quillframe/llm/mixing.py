@@ -136,7 +136,7 @@ def placed(docs: DataFrame, key: str, text: str, source: str, per_bucket: int =
     )
 
 
-def slots_of(spark: SparkSession, made: Plan, group: int = 256) -> DataFrame:
+def slots_of(spark: SparkSession, made: Plan, group: int = 16) -> DataFrame:
     """Every slot of the mix: shard, si (index of the source), slot (numbered through) and the block it reads.
 
     Tasks draw groups of shards; the sums of the groups before give each its first slots.
@@ -178,7 +178,9 @@ def slots_of(spark: SparkSession, made: Plan, group: int = 256) -> DataFrame:
     sums = groups.mapInArrow(summed, "g long, si int, n long")
     before = Window.partitionBy("si").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).groupBy("g").agg(F.collect_list(F.struct("si", "start")).alias("starts"))
-    return starts.mapInArrow(filled, "shard long, si int, slot long, block long")
+    # a group is a short row that makes many slots, so tasks are dealt by number, not by bytes
+    tasks = min(-(-shards // group), max(200, 4 * spark.sparkContext.defaultParallelism))
+    return starts.repartition(tasks, "g").mapInArrow(filled, "shard long, si int, slot long, block long")
 
 
 def drawn(
