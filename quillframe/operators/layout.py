@@ -37,7 +37,8 @@ def best_box(boxes: str = "boxes") -> Column:
 
 def assigned_in(words: DataFrame) -> DataFrame:
     """Words with boxes, each with its best layout."""
-    return words.withColumn("best", best_box()).withColumn("layout_id", F.col("best.layout_id")).withColumn("label", F.col("best.label")).drop("best", "boxes")
+    # a generator, so that the filters above it do not compute the layout again
+    return words.withColumn("best", F.explode(F.array(best_box()))).withColumn("layout_id", F.col("best.layout_id")).withColumn("label", F.col("best.label")).drop("best", "boxes")
 
 
 def assigned(words: DataFrame, layouts: DataFrame) -> DataFrame:
