@@ -123,12 +123,12 @@ def free_space(words: DataFrame, width: float = 0.9 * 612) -> DataFrame:
 
 def gap_below(paras: DataFrame, small: float = 0.5, large: float = 3.0) -> DataFrame:
     """The lower edge that keeps each paragraph clear of those below it within the gap."""
-    a, b = paras.alias("a"), paras.alias("b")
-    gap = F.when(F.col("a.y2") - F.col("a.y") < 36, small).otherwise(large)
-    on = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.page_no") == F.col("b.page_no")) & (F.col("a.para_seq") != F.col("b.para_seq"))
-    near = on & (F.col("b.y2") <= F.col("a.y2")) & (F.col("b.y2") > F.col("a.y") - gap) & (F.col("a.x") < F.col("b.x2")) & (F.col("b.x") < F.col("a.x2"))
-    got = a.join(b, near, "left").groupBy("a.doc_id", "a.page_no", "a.para_seq", "a.y").agg(F.max(F.col("b.y2") + gap).alias("raised"))
-    return got.select("doc_id", "page_no", "para_seq", F.greatest("y", F.coalesce("raised", "y")).alias("y_clear"))
+    gap = F.when(F.col("y2") - F.col("y") < 36, small).otherwise(large)
+    # the page's boxes are an array beside each paragraph: the words behind them are read once, not for two sides of a join
+    boxes = F.collect_list(F.struct("para_seq", "x", "x2", "y2")).over(Window.partitionBy("doc_id", "page_no"))
+    near = lambda b: (b["para_seq"] != F.col("para_seq")) & (b["y2"] <= F.col("y2")) & (b["y2"] > F.col("y") - gap) & (F.col("x") < b["x2"]) & (b["x"] < F.col("x2"))
+    raised = F.array_max(F.transform(F.filter("boxes_", near), lambda b: b["y2"])) + gap
+    return paras.withColumn("boxes_", boxes).select("doc_id", "page_no", "para_seq", F.greatest("y", F.coalesce(raised, "y")).alias("y_clear"))
 
 
 def trimmed_lines(paragraph_lines: DataFrame) -> DataFrame:
