@@ -64,9 +64,9 @@ def reject_reason(ch: Column, size: Column, has_font: Column, cid: Column) -> Co
 
 def tiny(chars: DataFrame, share: float = 0.05) -> DataFrame:
     """The median area of each page's boxes, and how many boxes are below a share of it."""
-    sized = chars.select(*PAGE, G.area(G.box()).alias("area"))
-    median = sized.groupBy(*PAGE).agg(F.median("area").alias("median_area"))
-    return sized.join(median, list(PAGE)).groupBy(*PAGE, "median_area").agg(F.count_if(F.col("area") < share * F.col("median_area")).alias("n_tiny"))
+    # both from one reading: the areas of a page are an array beside their median
+    sized = chars.select(*PAGE, G.area(G.box()).alias("area")).groupBy(*PAGE).agg(F.median("area").alias("median_area"), F.collect_list("area").alias("areas"))
+    return sized.select(*PAGE, "median_area", F.size(F.filter("areas", lambda a: a < share * F.col("median_area"))).cast("long").alias("n_tiny"))
 
 
 def modal(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
