@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillframe.functions import arrays as A
 from quillframe.functions import geometry as G
 
 PAGE = ("doc_id", "page_no")
 
 
-def glyphs(runs: DataFrame, advance: Column) -> DataFrame:
+def glyphs(runs: DataFrame, advance: Callable[[Column], Column]) -> DataFrame:
     """A row for each character (ch) of each run (word), with its place i and its advance; x0 is the pen before it.
 
-    ``advance`` is an expression over ch.  A run's characters come from its own row, so
-    the window needs no shuffle beyond the runs' own partitioning.
+    ``advance`` gives the advance of a character.  A run's characters come from its own row and
+    the pen moves within it, so characters are neither shuffled nor sorted.
     """
-    each = runs.select("*", F.posexplode(F.split("word", "")).alias("i", "ch")).where("ch <> ''").withColumn("advance", advance)
-    before = Window.partitionBy("doc_id", "seq").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    return each.withColumn("x0", F.col("x") + F.sum("advance").over(before) - F.col("advance"))
+    chars = A.bound(F.split("word", ""), lambda cs: A.bound(F.transform(cs, advance), lambda ws: F.arrays_zip(cs.alias("ch"), ws.alias("advance"), A.running(ws, "double").alias("before"))))
+    each = runs.select("*", F.posexplode(chars).alias("i", "c")).where("c.ch <> ''")
+    return each.select(*runs.columns, "i", "c.ch", "c.advance", (F.col("x") + F.col("c.before")).alias("x0"))
 
 
 def placed(wide: Column, low: Column, high: Column, m: list[Column]) -> tuple[Column, Column, Column, Column]:

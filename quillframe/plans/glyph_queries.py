@@ -17,7 +17,7 @@ _ADVANCE = "CASE WHEN ch IN ('i', 'j', 'l', '.', ',') THEN 3.0D WHEN ch IN ('m',
 
 def _glyphs(spark, sf_dir):
     runs = _words(spark, sf_dir).select("doc_id", "page_no", "seq", "word", "x", "y", "font_size", "font_id")
-    return C.glyphs(runs, F.expr(_ADVANCE))
+    return C.glyphs(runs, lambda ch: F.when(ch.isin("i", "j", "l", ".", ","), 3.0).when(ch.isin("m", "w"), 9.0).otherwise(6.0))
 
 
 def q_glyphs(spark, sf_dir):
