@@ -111,11 +111,14 @@ def spaces(words: DataFrame, gaps: DataFrame) -> DataFrame:
     return gap.where(F.col("gap") >= F.col("ref_gap")).select(*PAGE, "row_no", "seq", F.col("x2").alias("x"), (F.col("x2") + wide).alias("x2"), "y", "y2")
 
 
-def joined_text(words: DataFrame, gaps: DataFrame) -> DataFrame:
-    """Paragraph texts: a space where the gap reaches the line's reference gap or a line ends, squeezed and trimmed."""
+def joined_text(words: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
+    """Paragraph texts: a space where the gap reaches the line's reference gap or a line ends, squeezed and trimmed.
+
+    Without a table of gaps the words carry their line's ref_gap, and are not shuffled to meet it.
+    """
     para = Window.partitionBy(*PAGE, "para_seq").orderBy("seq")
     after = [F.lead(c).over(para) for c in ("x", "y", "x2", "y2")]
-    with_gap = words.join(gaps, [*PAGE, "row_no"]).withColumn("space", (after[0] - F.col("x2") >= F.col("ref_gap")) | is_newline(G.box(), tuple(after)))
+    with_gap = (words if gaps is None else words.join(gaps, [*PAGE, "row_no"])).withColumn("space", (after[0] - F.col("x2") >= F.col("ref_gap")) | is_newline(G.box(), tuple(after)))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.concat("word", F.when(F.col("space"), " ").otherwise("")).alias("t")))), lambda w: w["t"]), "")
     return with_gap.groupBy(*PAGE, "para_seq").agg(F.trim(F.regexp_replace(text, " +", " ")).alias("text"))
 

@@ -77,12 +77,27 @@ def line_widths(words: DataFrame) -> DataFrame:
     return lines.groupBy("doc_id", "page_no").agg(F.median("w").alias("median_width"), F.count("*").alias("n_lines"))
 
 
+def _gaps(words: DataFrame) -> DataFrame:
+    row = Window.partitionBy("doc_id", "page_no", "row_no").orderBy("seq")
+    return words.withColumn("gap", F.lead("x").over(row) - F.col("x2"))
+
+
+def _second(gaps: Column) -> Column:
+    return F.coalesce(F.get(gaps, F.least(F.lit(1), F.size(gaps) - 1)), F.lit(1.0))
+
+
 def second_gap(words: DataFrame) -> DataFrame:
     """The second-smallest distinct gap over 1 between words of a line (the only one, else 1)."""
-    row = Window.partitionBy("doc_id", "page_no", "row_no").orderBy("seq")
-    gaps = words.withColumn("gap", F.lead("x").over(row) - F.col("x2"))
-    sets = gaps.groupBy("doc_id", "page_no", "row_no").agg(F.array_sort(F.collect_set(F.when(F.col("gap") > 1, F.col("gap")))).alias("g"))
-    return sets.select("doc_id", "page_no", "row_no", F.coalesce(F.get("g", F.least(F.lit(1), F.size("g") - 1)), F.lit(1.0)).alias("ref_gap"))
+    sets = _gaps(words).groupBy("doc_id", "page_no", "row_no").agg(F.array_sort(F.collect_set(F.when(F.col("gap") > 1, F.col("gap")))).alias("g"))
+    return sets.select("doc_id", "page_no", "row_no", _second(F.col("g")).alias("ref_gap"))
+
+
+def with_second_gap(words: DataFrame) -> DataFrame:
+    """Words with their line's second gap as ref_gap: the two smallest by minima over the line, so nothing is joined."""
+    line = Window.partitionBy("doc_id", "page_no", "row_no")
+    wide = _gaps(words).withColumn("g_", F.when(F.col("gap") > 1, F.col("gap"))).withColumn("least_", F.min("g_").over(line))
+    second = F.min(F.when(F.col("g_") > F.col("least_"), F.col("g_"))).over(line)
+    return wide.withColumn("ref_gap", F.coalesce(second, "least_", F.lit(1.0))).drop("gap", "g_", "least_")
 
 
 def spaced_lines(words: DataFrame, factor: float = 0.45) -> DataFrame:

@@ -10,6 +10,7 @@ from quillframe.operators import glyphs as C
 from quillframe.operators import layout as L
 from quillframe.operators import styles as Y
 from quillframe.plans.layout_queries import PARAS, WORDS, _assigned, _words
+from quillframe.sources import synthetic as S
 
 #: Advances of the synthetic font.
 _ADVANCE = "CASE WHEN ch IN ('i', 'j', 'l', '.', ',') THEN 3.0D WHEN ch IN ('m', 'w') THEN 9.0D ELSE 6.0D END"
@@ -103,7 +104,7 @@ def q_space_chars(spark, sf_dir):
 
 
 def q_text_join(spark, sf_dir):
-    return C.joined_text(L.islands(_assigned(spark, sf_dir)), L.second_gap(_words(spark, sf_dir)))
+    return C.joined_text(L.islands(L.assigned_in(S.boxed(L.with_second_gap(_words(spark, sf_dir))))))
 
 
 def q_paragraph_lines(spark, sf_dir):
