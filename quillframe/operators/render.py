@@ -92,6 +92,33 @@ def wrapped(rows: DataFrame, scale: float = 1.0, em: float = 10.0) -> DataFrame:
     return rows.select("doc_id", "para_no", "wide", "widths", "classes", "gaps").mapInArrow(run, "doc_id long, para_no int, n_lines int, widest double")
 
 
+def wrapped_texts(paras: DataFrame, glyphs: DataFrame, scale: float = 1.0, em: float = 10.0) -> DataFrame:
+    """Paragraphs (doc_id, para_no, wide, text) with their lines and the widest one, over the units that ``units`` gives, without half spaces.
+
+    A paragraph's units come from its own row and the table of glyphs goes to the tasks, so
+    characters are never rows.
+    """
+    table: dict[str, list[tuple[float, str]]] = {}
+    for ch, w, c in glyphs.select("ch", F.col("width") / 1000 * em, character_class(F.col("ch"))).collect():
+        if ch and ch != "\n":
+            table.setdefault(ch, []).append((w, c))
+    table = {ch: sorted(v) for ch, v in table.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc, para, wide, text in zip(batch.column(0), batch.column(1), batch.column(2), batch.column(3), strict=True):
+                found = [u for ch in text.as_py() or "" for u in table.get(ch, ())]
+                if found:
+                    widths, classes = map(list, zip(*found, strict=True))
+                    got = wrap(widths, classes, [False] * len(widths), wide.as_py(), scale, em, False)
+                    rows.append((doc.as_py(), para.as_py(), got[-1][1] + 1, max(x + w * scale for (x, _), w in zip(got, widths, strict=True))))
+            columns = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.float64()), strict=True)], names=["doc_id", "para_no", "n_lines", "widest"])
+
+    return paras.select("doc_id", "para_no", "wide", "text").mapInArrow(run, "doc_id long, para_no int, n_lines int, widest double")
+
+
 def font_family(lang: Column) -> Column:
     """The family of fonts of a language code."""
     code = F.upper(lang)

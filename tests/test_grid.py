@@ -2,9 +2,13 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillframe.functions import arrays as A
+from quillframe.operators import glyphs as C
+from quillframe.operators import layout as L
+from quillframe.operators import render as R
 from quillframe.sources import synthetic as S
 
 
@@ -43,3 +47,46 @@ def test_no_window_below_the_words(spark, sf):
     """A window that buffers a long text gets no memory below another sort of the words (q_bands, q_box_predicates, q_lines_split, ...)."""
     p = plan(S.words(S.table(spark, sf, "documents")))
     assert "Window" not in p and "Sort" not in p and p.count("Exchange") == 1
+
+
+@pytest.mark.parametrize("word", ["mill.", "x" * 300, "w"])
+def test_glyphs_move_within_their_word(spark, word):
+    advance = lambda ch: F.when(ch == "m", 9.0).otherwise(6.0)
+    got = C.glyphs(spark.createDataFrame([(1, 1, word, 5.0)], "doc_id long, seq int, word string, x double"), advance)
+    assert "Sort" not in plan(got) and "Exchange" not in plan(got)
+    rows = sorted((r.i, r.ch, r.x0, r.advance) for r in got.collect())
+    wide = [9.0 if c == "m" else 6.0 for c in word]
+    assert rows == [(i, c, 5.0 + sum(wide[:i]), wide[i]) for i, c in enumerate(word)]
+
+
+def test_pages_are_read_once(spark, sf):
+    """q_char_area, q_gap_below and q_text_join read the texts once: nothing is joined."""
+    from quillframe.plans import catalogue
+
+    for name in ("q_char_area", "q_gap_below", "q_text_join"):
+        p = plan(catalogue.QUERIES[name](spark, sf))
+        assert "Join" not in p and p.count("FileScan") == 1, name
+
+
+def test_second_gap_beside_words(spark, sf):
+    w = S.words(S.table(spark, sf, "documents").limit(40))
+    line = ["doc_id", "page_no", "row_no"]
+    assert L.with_second_gap(w).select(*line, "ref_gap").distinct().exceptAll(L.second_gap(w)).count() == 0
+
+
+def test_layout_is_found_once_a_word(spark, sf):
+    """q_placeholder_only: the filter on labels does not find the layouts again."""
+    p = plan(L.islands(L.assigned_in(S.boxed(S.words(S.table(spark, sf, "documents"))))))
+    assert p.count("array_min") == 1
+
+
+def test_wrapped_texts_equal_the_arrays(spark):
+    texts = ["The quick brown fox. " * 9, "", "中", "a\nb\nc", "wwwww " * 30 + "x" * 90, "no such sign: é"]
+    paras = spark.createDataFrame([(1, k, t, 400.0) for k, t in enumerate(texts)], "doc_id long, para_no int, text string, wide double")
+    table = spark.createDataFrame([(c, 300.0 + 10 * k) for k, c in enumerate("abcdefghijklmnopqrstuvwxyzTx .,\n")], "ch string, width double").dropDuplicates(["ch"])
+    one = F.array_sort(F.collect_list(F.struct("place", "width", "class")))
+    u = R.units(paras, table).withColumn("class", R.character_class(F.col("ch"))).groupBy("doc_id", "para_no").agg(one.alias("u"))
+    rows = u.select("doc_id", "para_no", F.lit(400.0).alias("wide"), F.col("u.width").alias("widths"), F.col("u.class").alias("classes"), F.transform("u", lambda x: F.lit(False)).alias("gaps"))
+    got = R.wrapped_texts(paras, table)
+    assert "Exchange" not in plan(got)  # characters are never rows
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in R.wrapped(rows).collect()}
