@@ -70,13 +70,16 @@ def assigned_elements(candidates: DataFrame) -> DataFrame:
 def kept_lines(curves: DataFrame, figures: DataFrame, paras: DataFrame, most: float = 0.9) -> DataFrame:
     """Curves to remove: not within a figure, but within a paragraph."""
     c = tuple(F.col(f"e{k}") for k in ("x", "y", "x2", "y2"))
-
-    def within(boxes: DataFrame, how: str, rows: DataFrame) -> DataFrame:
-        b = boxes.select(F.col("doc_id").alias("d_"), F.col("page_no").alias("p_"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("x2").alias("bx2"), F.col("y2").alias("by2"))
-        box = tuple(F.col(k) for k in ("bx", "by", "bx2", "by2"))
-        return rows.join(b, (F.col("doc_id") == F.col("d_")) & (F.col("page_no") == F.col("p_")) & (G.overlap_ratio(c, box) > most), how)
-
-    return within(paras, "left_semi", within(figures, "left_anti", curves))
+    box = F.struct("x", "y", "x2", "y2")
+    placed = [rows.where("doc_id IS NOT NULL AND page_no IS NOT NULL").select("doc_id", "page_no", box.alias(k)) for rows, k in ((figures, "figure_"), (paras, "para_"))]
+    # curves meet their page's boxes in one window: tables dealt by document stay where they are, a join on pages would shuffle the curves
+    all_rows = curves.withColumn("curve_", F.lit(True))
+    for rows in placed:
+        all_rows = all_rows.unionByName(rows, allowMissingColumns=True)
+    page = Window.partitionBy("doc_id", "page_no")
+    met = all_rows.withColumn("figures_", F.collect_list("figure_").over(page)).withColumn("paras_", F.collect_list("para_").over(page)).where("curve_")
+    within = lambda boxes: F.exists(boxes, lambda b: F.coalesce(G.overlap_ratio(c, (b["x"], b["y"], b["x2"], b["y2"])) > most, F.lit(False)))
+    return met.where(~within("figures_") & within("paras_")).select(*curves.columns)
 
 
 def neighbour_offsets(items: DataFrame) -> DataFrame:
@@ -130,7 +133,13 @@ def element_candidates(elements: DataFrame, formulas: DataFrame, exact: float =
     dealt = formulas.withColumn("gx", covered[0]).withColumn("gy", covered[1])
     near = F.lit(0.5) + 0.4 * F.greatest(F.lit(0.0), 1 - G.gap_distance(e, f) / 100)
     share, loose = G.overlap_ratio(e, f), G.overlap_ratio(e, wide)
-    pairs = placed.join(dealt, ["doc_id", "page_no", "gx", "gy"]).where(F.col("f_xobj").isNull() | (F.col("e_xobj") == F.col("f_xobj")))
+    # both are rows of one table that is grouped by cell: tables dealt by document stay where they are, a join on cells would shuffle them
+    cell_keys, known = ["doc_id", "page_no", "gx", "gy"], "doc_id IS NOT NULL AND page_no IS NOT NULL"
+    one = placed.where(known).select(*cell_keys, F.struct("element_id", "e_xobj", *[f"e{c}" for c in ("x", "y", "x2", "y2")]).alias("e"))
+    two = dealt.where(known).select(*cell_keys, F.struct("formula_id", "f_xobj", *[f"f{c}" for c in ("x", "y", "x2", "y2")]).alias("f"))
+    cells = one.unionByName(two, allowMissingColumns=True).groupBy(*cell_keys).agg(F.collect_list("e").alias("es"), F.collect_list("f").alias("fs"))
+    met = cells.where((F.size("es") > 0) & (F.size("fs") > 0)).select("doc_id", "page_no", F.explode("es").alias("e"), "fs").select("doc_id", "page_no", "e", F.explode("fs").alias("f"))
+    pairs = met.select("doc_id", "page_no", "e.*", "f.*").where(F.col("f_xobj").isNull() | (F.col("e_xobj") == F.col("f_xobj")))
     scored = pairs.select("doc_id", "page_no", "element_id", "formula_id", share.alias("share"), loose.alias("loose"), near.alias("near"))
     kept = scored.where((F.col("share") >= exact) | (F.col("loose") >= exact))
     return kept.select("doc_id", "page_no", "element_id", "formula_id", (F.col("share") >= exact).alias("exact"), F.when(F.col("share") >= exact, F.col("share")).otherwise(F.col("near")).alias("score"))

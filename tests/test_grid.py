@@ -9,6 +9,7 @@ from quillframe.functions import arrays as A
 from quillframe.operators import glyphs as C
 from quillframe.operators import layout as L
 from quillframe.operators import render as R
+from quillframe.operators import styles as Y
 from quillframe.sources import synthetic as S
 
 
@@ -90,3 +91,23 @@ def test_wrapped_texts_equal_the_arrays(spark):
     got = R.wrapped_texts(paras, table)
     assert "Exchange" not in plan(got)  # characters are never rows
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in R.wrapped(rows).collect()}
+
+
+def test_pages_meet_without_a_join(spark, sf):
+    """q_remove_lines, q_element_assign: words are dealt by document once and stay there."""
+    from quillframe.plans import catalogue
+
+    for name in ("q_remove_lines", "q_element_assign"):
+        df = catalogue.QUERIES[name](spark, sf)
+        df.collect()
+        p = plan(df).split("== Initial Plan ==")[0]
+        kinds = [line for line in p.split("\n") if "Exchange" in line]
+        assert "Join" not in p and all("REPARTITION_BY_COL" in line for line in kinds), name
+
+
+def test_lines_without_a_page_stay_out(spark):
+    box = "x double, y double, x2 double, y2 double"
+    curves = spark.createDataFrame([(1, 0, 1, 1.0, 1.0, 2.0, 2.0), (1, 0, 2, 5.0, 5.0, 6.0, 6.0), (None, 0, 3, 1.0, 1.0, 2.0, 2.0), (1, 1, 4, 1.0, 1.0, 2.0, 2.0)], "doc_id long, page_no long, element_id int, ex double, ey double, ex2 double, ey2 double")
+    paras = spark.createDataFrame([(1, 0, 0.0, 0.0, 9.0, 9.0), (None, 0, 0.0, 0.0, 9.0, 9.0)], f"doc_id long, page_no long, {box}")
+    figures = spark.createDataFrame([(1, 0, 5.0, 5.0, 6.0, 6.0)], f"doc_id long, page_no long, {box}")
+    assert [r.element_id for r in Y.kept_lines(curves, figures, paras).collect()] == [1]
