@@ -6,7 +6,7 @@ page key; only the columns named in the select before it are sent.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -118,18 +118,42 @@ def any_touch(boxes: np.ndarray) -> bool:
     return bool(touching(order[u], order[v]).any())
 
 
+def by_page(rows: DataFrame, order: str, fold: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, ...]], schema: str, at_once: int = 200_000) -> DataFrame:
+    """Boxes (order, x, y, x2, y2) of a page through a fold of its order and boxes, which gives the columns behind doc_id and page_no.
+
+    A page is one row, and a batch of pages one call, so that pages are neither shuffled again
+    nor begun one by one; results leave by about at_once boxes.
+    """
+    boxes = rows.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct(order, "x", "y", "x2", "y2"))).alias("r"))
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.concatenate([[0], np.cumsum(batch.column(2).value_lengths().to_numpy(zero_copy_only=False))])
+            first, *edges = (c.to_numpy(zero_copy_only=False) for c in batch.column(2).flatten().flatten())
+            begin = 0
+            while begin < batch.num_rows:
+                stop = max(begin + 1, int(np.searchsorted(ends, ends[begin] + at_once, "right")) - 1)
+                got = [fold(first[i:j], np.stack([e[i:j] for e in edges], axis=1)) for i, j in zip(ends[begin:stop], ends[begin + 1 : stop + 1], strict=True)]
+                pages = pa.array(np.repeat(np.arange(begin, stop), [len(g[0]) for g in got]))
+                columns = [pa.array(np.concatenate(c)) for c in zip(*got, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pages), batch.column(1).take(pages), *columns], names=names)
+                begin = stop
+
+    return boxes.mapInArrow(run, schema)
+
+
 def merged_boxes(items: DataFrame) -> DataFrame:
     """Items (seq and box) of a page with the group they merge into at the fixpoint."""
 
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        boxes = pdf[["x", "y", "x2", "y2"]].to_numpy()
-        groups = merge_boxes(boxes, touching) if any_touch(boxes) else [[k] for k in range(len(boxes))]
-        seqs = pdf["seq"].tolist()
-        rows = [(seqs[i], seqs[min(g)]) for g in groups for i in g]
-        return pd.DataFrame([(pdf["doc_id"].iloc[0], pdf["page_no"].iloc[0], *r) for r in rows], columns=["doc_id", "page_no", "seq", "group_seq"])
+    def page(seqs: np.ndarray, boxes: np.ndarray) -> tuple[np.ndarray, ...]:
+        into = seqs.copy()
+        if any_touch(boxes):
+            for g in merge_boxes(boxes, touching):
+                into[g] = seqs[min(g)]
+        return seqs, into
 
-    return items.select(*KEY, "seq", "x", "y", "x2", "y2").groupBy(*KEY).applyInPandas(page, "doc_id long, page_no long, seq int, group_seq int")
+    return by_page(items, "seq", page, "doc_id long, page_no long, seq int, group_seq int")
 
 
 def separate(boxes: list[list[float]]) -> list[list[float]]:
@@ -154,12 +178,10 @@ def separate(boxes: list[list[float]]) -> list[list[float]]:
 def separated(paras: DataFrame) -> DataFrame:
     """Paragraph boxes of a page without vertical overlaps."""
 
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("para_seq").reset_index(drop=True)
-        pdf[["x", "y", "x2", "y2"]] = separate(pdf[["x", "y", "x2", "y2"]].to_numpy().tolist())
-        return pdf
+    def page(seqs: np.ndarray, boxes: np.ndarray) -> tuple[np.ndarray, ...]:
+        return seqs, *np.array(separate(boxes.tolist()), float).T
 
-    return paras.select(*KEY, "para_seq", "x", "y", "x2", "y2").groupBy(*KEY).applyInPandas(page, "doc_id long, page_no long, para_seq long, x double, y double, x2 double, y2 double")
+    return by_page(paras, "para_seq", page, "doc_id long, page_no long, para_seq long, x double, y double, x2 double, y2 double")
 
 
 def absorbed(paras: list[tuple[int, str, bool]]) -> list[int]:

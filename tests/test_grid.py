@@ -111,3 +111,20 @@ def test_lines_without_a_page_stay_out(spark):
     paras = spark.createDataFrame([(1, 0, 0.0, 0.0, 9.0, 9.0), (None, 0, 0.0, 0.0, 9.0, 9.0)], f"doc_id long, page_no long, {box}")
     figures = spark.createDataFrame([(1, 0, 5.0, 5.0, 6.0, 6.0)], f"doc_id long, page_no long, {box}")
     assert [r.element_id for r in Y.kept_lines(curves, figures, paras).collect()] == [1]
+
+
+def test_pages_fold_in_batches(spark, sf):
+    """q_lines_merge, q_fix_overlap: pages go through Python by the batch, not one by one, and are not shuffled again."""
+    from quillframe.operators import folds as O
+
+    rng = random.Random(5)
+    rows = [(d, p, s, float(x := rng.randrange(300)), float(y := rng.randrange(200)), float(x + rng.randrange(5, 40)), float(y + rng.randrange(5, 20))) for d in range(5) for p in range(3) for s in range(rng.randrange(1, 25))]
+    items = spark.createDataFrame(rows, "doc_id long, page_no long, seq int, x double, y double, x2 double, y2 double")
+    want, apart = set(), set()
+    for d, p in {r[:2] for r in rows}:
+        page = [r for r in rows if r[:2] == (d, p)]
+        want |= {(d, p, page[i][2], page[min(g)][2]) for g in O.merge_boxes([r[3:] for r in page], O.touching) for i in g}
+        apart |= {(d, p, r[2], *b) for r, b in zip(page, O.separate([r[3:] for r in page]), strict=True)}
+    merged, parted = O.merged_boxes(items), O.separated(items.withColumnRenamed("seq", "para_seq").withColumn("para_seq", F.col("para_seq").cast("long")))
+    assert {tuple(r) for r in merged.collect()} == want and {tuple(r) for r in parted.collect()} == apart
+    assert "FlatMapGroups" not in plan(merged) and "FlatMapGroups" not in plan(parted)
