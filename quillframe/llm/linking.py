@@ -43,16 +43,17 @@ def linked(met: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     found = written(components(links), "components")
     # in a bucket of three all pairs were tried
     named = met.where("size > 3").select("bucket", "pid").join(found.withColumnRenamed("node", "pid"), "pid", "left").withColumn("c", F.coalesce("component", "pid"))
-    rest = written(_apart(named.select("bucket", "pid", "c")).select("pid", "c").distinct(), "apart")
-    fresh = written(_pairs(_apart(_prefixes(rest, sets, threshold)), threshold).distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
+    rest = written(apart(named.select("bucket", "pid", "c")).select("pid", "c").distinct(), "apart")
+    each = written(rest.join(sets, "pid").select("pid", "c", F.size("sh").alias("n"), F.explode("sh").alias("e")), "elements")
+    fresh = written(_pairs(apart(_prefixes(each, threshold)), threshold).distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
     more = written(similar(fresh, sets, threshold), "links")
     out = found if more.isEmpty() else written(joined(found, more), "components")
-    for table in (tried, links, rest, fresh):
+    for table in (tried, links, rest, each, fresh):
         dropped(table)
     return out
 
 
-def _apart(rows: DataFrame) -> DataFrame:
+def apart(rows: DataFrame) -> DataFrame:
     """The rows (bucket, pid, c, ...) of buckets that hold several components c."""
     whole = Window.partitionBy("bucket")
     return rows.withColumn("a_", F.min("c").over(whole)).withColumn("b_", F.max("c").over(whole)).where("a_ <> b_").drop("a_", "b_")
@@ -76,13 +77,13 @@ def _pairs(rows: DataFrame, threshold: float) -> DataFrame:
     return a.join(b, meet).select(F.col("a.pid").alias("u"), F.col("b.pid").alias("v"))
 
 
-def _prefixes(hot: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _prefixes(each: DataFrame, threshold: float) -> DataFrame:
     """(bucket, pid, c, n, place, m, firsts, last): each element of the prefix of each set as a bucket, its place there,
     the set's size, those of its first m elements that other sets have as well, and the last of the m.
 
-    An element is named by how many sets have it and 43 bits of its hash, so its name is its place in the order.
+    each has (pid, c, n, e), a row for each element e.  An element is named by how many sets have it and 43 bits of its
+    hash, so its name is its place in the order.
     """
-    each = written(hot.join(sets, "pid").select("pid", "c", F.size("sh").alias("n"), F.explode("sh").alias("e")), "elements")
     often = each.groupBy("e").agg(F.count("*").alias("often")).where("often > 1")
     name = F.shiftleft(F.least(F.coalesce("often", F.lit(1)), F.lit((1 << 20) - 1)), 43).bitwiseOR(F.col("e").bitwiseAND(F.lit((1 << 43) - 1)))
     named = each.join(often, "e", "left").select("pid", "c", "n", name.alias("bucket"))

@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import free_name, written
+from quillframe.llm.common import dropped, free_name, written
 from quillframe.llm.components import components
-from quillframe.llm.linking import linked, shared_buckets
+from quillframe.llm.linking import apart, joined, linked, shared_buckets
 from quillframe.llm.passages import normal, shingles, signatures, tuned
 
 BITS = 64
@@ -99,13 +99,25 @@ def clustered(docs: DataFrame, shingle: int = 3, distance: int = 2, key: str = "
     return prints.join(grouped(prints, key, distance), "fp").select(key, "fp", "component_id")
 
 
-def near_texts(docs: DataFrame, threshold: float, recall: float, rows: int, key: str, text: str, names: tuple[str, str]) -> DataFrame:
+def counted(words: list[bytes], shingle: int) -> np.ndarray:
+    """Hashes of the shingles and of how often each came before: the Jaccard similarity of two such sets is that of all shingles, repeats included."""
+    each = np.sort(shingles(words, shingle))
+    first = np.flatnonzero(np.concatenate([np.ones(1, bool), each[1:] != each[:-1]]))
+    times = np.arange(len(each)) - np.repeat(first, np.diff(np.append(first, len(each))))
+    return np.unique((each ^ times.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def near_texts(
+    docs: DataFrame, threshold: float, recall: float, rows: int, key: str, text: str, names: tuple[str, str], shingle: int = 3, distance: int = 2
+) -> DataFrame:
     """key, the two name columns and class_id of each row.
 
+    Texts whose fingerprints are linked (``grouped``: ball hashing) meet, and are verified by
+    the exact Jaccard similarity of the shingles that the fingerprint counts, repeats included.
     A contiguous edit (a part appended or cut) moves far more bits of a SimHash than scattered
-    ones of the same Jaccard similarity, so texts meet by MinHash bands of their five-word
-    shingles: the chance to meet depends on that similarity alone.  A pair at the threshold
-    meets with the recall, and texts that meet are verified by exact Jaccard similarity.
+    ones of the same similarity, so what balls do not reach meets by MinHash bands of five-word
+    shingles as well: the chance to meet depends on that similarity alone.  A pair at the
+    threshold meets there with the recall, and is verified by exact Jaccard similarity.
     """
     kind = docs.schema[key].dataType.simpleString()
     bands = tuned(threshold, recall, rows)
@@ -117,10 +129,11 @@ def near_texts(docs: DataFrame, threshold: float, recall: float, rows: int, key:
         from xxhash import xxh64_intdigest
 
         for batch in batches:
-            pids, keys, sets, held = [], [], [], 0
+            pids, prints, keys, sets, held = [], [], [], [], 0
             for t in batch.column(3):
                 found = normal(t.as_py() or "")
                 pids.append(xxh64_intdigest(b" ".join(found), 2))
+                prints.append(fingerprint(t.as_py(), shingle))
                 sets.append(shingles(found) if found else np.zeros(1, np.uint64))
                 held += len(found)
                 if held > 500_000:
@@ -132,22 +145,35 @@ def near_texts(docs: DataFrame, threshold: float, recall: float, rows: int, key:
                 continue
             flat = np.concatenate(keys).view(np.int64).ravel()
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, bands), pa.int32()), pa.array(flat))
-            columns = [*(batch.column(k) for k in range(3)), pa.array(np.array(pids, np.uint64).view(np.int64), pa.int64()), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=[key, *names, "pid", "bands"])
+            both = [pa.array(np.array(x, np.uint64).view(np.int64), pa.int64()) for x in (pids, prints)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), *both, lists], names=[key, *names, "pid", "fp", "bands"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingles(w)).view(np.int64) if (w := normal(t or "")) else np.zeros(0, np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["pid", "sh"])
+            found = [normal(t.as_py() or "") for t in batch.column(1)]
+            sets = [np.unique(shingles(w)).view(np.int64) if w else np.zeros(0, np.int64) for w in found]
+            every = [counted(w, shingle).view(np.int64) if w and ball.as_py() else np.zeros(0, np.int64) for w, ball in zip(found, batch.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.list_(pa.int64())) for x in (sets, every))], names=["pid", "sh", "every"])
 
     r, h = names
-    prints = written(docs.select(key, r, h, text).mapInArrow(run, f"`{key}` {kind}, `{r}` long, `{h}` long, pid long, bands array<long>"), "signatures")
-    single = prints.select("pid", "bands").dropDuplicates(["pid"])
+    prints = written(docs.select(key, r, h, text).mapInArrow(run, f"`{key}` {kind}, `{r}` long, `{h}` long, pid long, fp long, bands array<long>"), "signatures")
+    single = prints.select("pid", "fp", "bands").dropDuplicates(["pid"])
+    groups = grouped(prints.select("pid", "fp"), "pid", distance)
+    balls = written(shared_buckets(single.join(groups, "fp").select(F.col("component_id").alias("bucket"), "pid")), "balls")
     met = written(shared_buckets(single.select("pid", F.explode("bands").alias("bucket"))), "buckets")
-    some = prints.select("pid", r, h).join(met.select("pid").distinct(), "pid", "left_semi")
-    wanted = written(some.groupBy("pid").agg(F.min(F.struct(r, h)).alias("f")).select("pid", f"f.{r}", f"f.{h}"), "wanted")
-    sets = written(docs.join(wanted, [r, h]).dropDuplicates([r, h]).select("pid", text).mapInArrow(read, "pid long, sh array<long>"), "shingles")
-    found = linked(met, sets, threshold)
+    asked = balls.select("pid", F.lit(True).alias("ball")).unionByName(met.select("pid", F.lit(False).alias("ball"))).groupBy("pid").agg(F.max("ball").alias("ball"))
+    some = prints.select("pid", r, h).join(asked, "pid")
+    wanted = written(some.groupBy("pid").agg(F.min(F.struct(r, h)).alias("f"), F.first("ball").alias("ball")).select("pid", "ball", f"f.{r}", f"f.{h}"), "wanted")
+    sets = written(docs.join(wanted, [r, h]).dropDuplicates([r, h]).select("pid", text, "ball").mapInArrow(read, "pid long, sh array<long>, every array<long>"), "shingles")
+    near = linked(balls, sets.select("pid", F.col("every").alias("sh")), threshold)
+    # buckets whose texts the balls have put into one component are decided
+    placed = met.join(near.withColumnRenamed("node", "pid"), "pid", "left").withColumn("c", F.coalesce("component", "pid"))
+    left = written(apart(placed.select("bucket", "pid", "size", "c")).drop("c"), "buckets")
+    found = linked(left, sets.select("pid", "sh"), threshold)
+    links_ = near.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+    found = written(joined(found, links_), "components")
+    for table in (balls, met, wanted, sets, left):
+        dropped(table)
     return prints.join(found.withColumnRenamed("node", "pid"), "pid", "left").select(key, r, h, F.coalesce("component", "pid").alias("class_id"))
 
 
@@ -156,6 +182,7 @@ def deduplicated(
 ) -> DataFrame:
     """docs with one row of each group of near copies: the smallest key's (null last; of equal keys, the least hash of key and text).
 
+    Near copies are texts that ball hashing of fingerprints links, and those that only bands find (``near_texts``).
     Rows are named by two hashes of key and text, so the texts are shuffled once at the
     end, and repeated rows of the one that stays are one.
     """
