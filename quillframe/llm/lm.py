@@ -40,6 +40,8 @@ from quillframe.llm.passages import hashed, normal
 #: Bytes of text in a batch, and behind one range of keys.
 PACK = 8 << 20
 RANGE = 16 << 20
+#: Bytes of text that are split into words at once.
+PIECE = 1 << 20
 #: The hash of the end token: no word is empty.
 END = hashed([b""])[0]
 #: Tried powers of k(u).
@@ -89,8 +91,17 @@ def packed(docs: DataFrame, learn: Column, pack: int, key: str, text: str) -> Da
 
 def unpacked(data: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The hashed tokens of a batch's texts, one after the other, and how many each text has."""
-    lines = [[*line.split(b" "), b""] if line else [b""] for line in pa.decompress(data, size - 1, "zstd", asbytes=True).split(b"\n")]
-    return hashed([w for line in lines for w in line]), np.fromiter(map(len, lines), np.int64, len(lines))
+    end, parts, sizes = np.array([END], np.uint64), [], []
+    for line in pa.decompress(data, size - 1, "zstd", asbytes=True).split(b"\n"):
+        at, n = 0, 1
+        while at < len(line):
+            to = line.find(b" ", at + PIECE)
+            to = len(line) if to < 0 else to
+            parts.append(hashed(line[at:to].split(b" ")))
+            at, n = to + 1, n + len(parts[-1])
+        parts.append(end)
+        sizes.append(n)
+    return np.concatenate(parts), np.array(sizes, np.int64)
 
 
 def bigrams(each: np.ndarray) -> np.ndarray:
@@ -117,6 +128,13 @@ def _numbers(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, {1: "u1", 2: "<u2", 4: "<u4", 8: "<u8"}[len(data) // n]).astype(np.int64)
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and how often each is there."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
 def asked(packs: DataFrame, bits: int) -> DataFrame:
     """What each batch holds, by range (rng; unigrams, then bigrams): its keys in order, and its training counts of them."""
 
@@ -126,9 +144,12 @@ def asked(packs: DataFrame, bits: int) -> DataFrame:
                 batch, learn, size, data = (part.column(c)[i].as_py() for c in range(4))
                 each, sizes = unpacked(data, size)
                 teaches = np.repeat(np.array(learn, bool), sizes)
-                for kind, hashes in enumerate((each, bigrams(each))):
-                    keys, nth = np.unique(keyed(hashes, bits), return_inverse=True)
-                    counts = np.bincount(nth[teaches], minlength=len(keys))
+                for kind in range(2):
+                    held = keyed(bigrams(each) if kind else each, bits)
+                    keys, _ = _distinct(held)
+                    taught, often = _distinct(held[teaches])
+                    counts = np.zeros(len(keys), np.int64)
+                    counts[np.searchsorted(keys, taught)] = often
                     ranges, first = np.unique(keys >> np.uint64(_LOW), return_index=True)
                     edges = [*first.tolist(), len(keys)]
                     low = np.ascontiguousarray(keys).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _LOW // 8]
@@ -155,7 +176,9 @@ def answered(questions: DataFrame) -> DataFrame:
         sizes = [len(b) * 8 // _LOW for b in blobs]
         wide = np.zeros((sum(sizes), 8), np.uint8)
         wide[:, : _LOW // 8] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, _LOW // 8)
-        keys, nth = np.unique(wide.view("<u8")[:, 0], return_inverse=True)
+        held = wide.view("<u8")[:, 0]
+        keys, _ = _distinct(held)
+        nth = np.searchsorted(keys, held)
         counts = np.concatenate([_numbers(c, n) for c, n in zip(rows["counts"].to_pylist(), sizes, strict=True)])
         totals = np.zeros(len(keys), np.int64)
         np.add.at(totals, nth, counts)
@@ -200,7 +223,7 @@ class Model:
 def scored(docs: DataFrame, learn: Column, pack: int = PACK, span: int = RANGE, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_tokens, n_known, train_tokens, base_score and score of every text; the rows where learn is true teach the model."""
     kind = docs.schema[key].dataType.simpleString()
-    packs = written(packed(docs, learn, pack, key, text), "texts")
+    packs = written(packed(docs, learn, pack, key, text), "texts", arrow_bytes=pack)
     size = packs.agg(F.sum("size")).first()[0] or 0
     bits = min(64 - _LOW, max(0, math.ceil(math.log2(max(1, size / span)))))
     answers = written(answered(asked(packs, bits)), "totals")
@@ -216,11 +239,13 @@ def scored(docs: DataFrame, learn: Column, pack: int = PACK, span: int = RANGE,
         for i in range(texts.num_rows):
             each, sizes = unpacked(texts["data"][i].as_py(), texts["size"][i].as_py())
             counts = []
-            for blobs, hashes in zip(found, (each, bigrams(each)), strict=True):
-                keys, nth = np.unique(keyed(hashes, bits), return_inverse=True)
-                ranges, n = np.unique(keys >> np.uint64(_LOW), return_counts=True)
-                counts.append(np.concatenate([_numbers(blobs[int(r)], int(k)) for r, k in zip(ranges, n, strict=True)])[nth])
-            single, both = (c.astype(np.float64) for c in counts)
+            for kind, blobs in enumerate(found):
+                held = keyed(bigrams(each) if kind else each, bits)
+                keys, _ = _distinct(held)
+                ranges, n = _distinct(keys >> np.uint64(_LOW))
+                of = np.concatenate([_numbers(blobs[int(r)], int(k)) for r, k in zip(ranges, n, strict=True)])
+                counts.append(of.astype(np.float64)[np.searchsorted(keys, held)])
+            single, both = counts
             plain = model.plain(single)
             # the state before each token is the token before it; the first one's is the end token, the last one of the batch
             weights = model.arc(both, np.concatenate([single[-1:], single[:-1]]), plain)

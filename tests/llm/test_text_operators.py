@@ -3,16 +3,19 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from quillframe.llm import fingerprints, langid, lm, packing, quality
+from quillframe.llm.common import ARROW_BYTES, written
 from quillframe.llm.tokens import Encoder
 from tests.llm.fixtures import DOC, documents, rows
 
@@ -266,3 +269,28 @@ def test_held_out_is_crc32(spark):
         crc = zlib.crc32(str(r.doc_id).encode())
         assert (r.a, r.b) == (crc % 7 == 2, crc % 4 == 2)
     assert hashlib.sha256(b"").hexdigest() and DOC
+
+
+def test_lm_splits_a_batch_piece_by_piece():
+    texts = [" ".join(f"{i % 90 + 10}" for i in range(n)) for n in (900_000, 0, 300_000, 1)]  # one is far longer than a piece
+    lines = [b" ".join(lm.normal(t)) for t in texts]
+    size = sum(map(len, lines)) + len(lines)
+    data = pa.compress(b"\n".join(lines), "zstd", asbytes=True)
+    tracemalloc.start()
+    each, sizes = lm.unpacked(data, size)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sizes.tolist() == [900_001, 1, 300_001, 2]
+    assert (each == lm.hashed([w for t in texts for w in lm.tokens(t)])).all()
+    assert peak < 15 * size  # words as objects all at once take more
+
+
+def test_written_bounds_batches_for_python(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    df = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("word "), 200).alias("t"))
+    before = spark.conf.get(ARROW_BYTES)
+    assert max(r.n for r in written(df.mapInArrow(sizes, "n long"), "sizes", arrow_bytes=1 << 18).collect()) < 1 << 19
+    assert spark.conf.get(ARROW_BYTES) == before
