@@ -1,8 +1,8 @@
 """Connected components by alternating stars, wholly in DataFrames.
 
 Each round joins edges with the smallest neighbour of their ends; rounds end when nothing
-moves.  Every round the edges are written to the shared folder, which cuts the lineage
-and survives lost executors.  A node of very many edges is pre-aggregated before each
+moves.  Each star's edges are written to the shared folder, which cuts the lineage,
+survives lost executors and lets no stage run twice.  A node of very many edges is pre-aggregated before each
 shuffle, and adaptive execution splits its side of the join.
 """
 
@@ -15,23 +15,24 @@ from quillframe.llm.common import dropped, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of u goes to the smallest of u and its neighbours."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    """Every larger neighbour of u goes to the smallest of u and its neighbours.  One row an edge: some may repeat."""
+    back = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+    least = edges.unionByName(back).groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    return back.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """u (each edge runs from the larger u to the smaller v) and its smaller neighbours go to the smallest of them."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    # the edge to the smallest one stays, so u is there without a row of its own
+    return edges.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges (u, v): component is its smallest reachable node.
 
     Null ends and loops do not link; repeated edges count once; no edges, no rows.
+    ``dropped`` removes the table that the result is read from.
     """
     def size(table: DataFrame) -> tuple:
         """Order-free sums: a star forest stays as it is, so they repeat."""
@@ -41,8 +42,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = written(ends, "edges")
     before = size(now)
     for _ in range(rounds):
-        after = written(_small_star(_large_star(now)), "edges")
+        large = written(_large_star(now), "edges")  # read twice: else its join would run twice
         dropped(now)
+        after = written(_small_star(large), "edges")
+        dropped(large)
         now, found = after, size(after)
         if found == before:
             break
@@ -50,4 +53,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.select(F.col("v").alias("node")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+    out._quillframe_path = now._quillframe_path
+    return out

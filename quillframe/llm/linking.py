@@ -40,15 +40,16 @@ def linked(met: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     near = met.select("bucket", "pid").join(degree, "pid").select("pid", others.alias("o")).select("pid", F.explode("o").alias("other")).where("pid <> other")
     tried = written(near.select(F.least("pid", "other").alias("u"), F.greatest("pid", "other").alias("v")).distinct(), "pairs")
     links = written(similar(tried, sets, threshold), "links")
-    found = written(components(links), "components")
+    parts = components(links)
+    found = written(parts, "components")
     # in a bucket of three all pairs were tried
     named = met.where("size > 3").select("bucket", "pid").join(found.withColumnRenamed("node", "pid"), "pid", "left").withColumn("c", F.coalesce("component", "pid"))
     rest = written(apart(named.select("bucket", "pid", "c")).select("pid", "c").distinct(), "apart")
     each = written(rest.join(sets, "pid").select("pid", "c", F.size("sh").alias("n"), F.explode("sh").alias("e")), "elements")
     fresh = written(_pairs(apart(_prefixes(each, threshold)), threshold).distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
     more = written(similar(fresh, sets, threshold), "links")
-    out = found if more.isEmpty() else written(joined(found, more), "components")
-    for table in (tried, links, rest, each, fresh):
+    out = found if more.isEmpty() else joined(found, more)
+    for table in (tried, links, parts, rest, each, fresh, more, *([] if out is found else [found])):
         dropped(table)
     return out
 
@@ -100,14 +101,18 @@ def _prefixes(each: DataFrame, threshold: float) -> DataFrame:
 
 
 def joined(found: DataFrame, links: DataFrame) -> DataFrame:
-    """The components found (node, component) after more links (u, v): only components are linked anew."""
+    """The components found (node, component) after more links (u, v), written: only components are linked anew."""
     of = found.select("node", "component")
     ends = links.join(of.withColumnRenamed("node", "u").withColumnRenamed("component", "a"), "u", "left").join(of.withColumnRenamed("node", "v").withColumnRenamed("component", "b"), "v", "left")
     between = written(ends.select("u", "v", F.coalesce("a", "u").alias("a"), F.coalesce("b", "v").alias("b")), "between")
-    moved = components(between.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    parts = components(between.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    moved = parts.select(F.col("node").alias("component"), F.col("component").alias("to"))
     new = between.select(F.col("u").alias("node"), F.col("a").alias("component")).unionByName(between.select(F.col("v").alias("node"), F.col("b").alias("component")))
     every = found.unionByName(new).distinct()
-    return every.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    out = written(every.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "components")
+    for table in (between, parts):
+        dropped(table)
+    return out
 
 
 def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:

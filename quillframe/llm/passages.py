@@ -227,14 +227,17 @@ def margins(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFram
 
 
 def repeats(where: DataFrame, found: DataFrame) -> DataFrame:
-    """k, th, start, n, class_id and f (k, th, start, n of the class's first place) of every place of a class with several."""
+    """k, th, start, n, class_id and f (k, th, start, n of the class's first place) of every place of a class with several; written."""
     often = where.groupBy("pid").agg(F.count("*").alias("often"))
     classed = often.join(found.withColumnRenamed("node", "pid"), "pid", "left").where("often > 1 OR component IS NOT NULL")
     named = written(classed.select("pid", F.coalesce("component", "pid").alias("class_id")), "repeated")
     places = written(where.select("pid", "k", "th", "start", "n").join(named, "pid").select("k", "th", "start", "n", "class_id").distinct(), "places")
     order = F.struct(F.col("k").isNotNull().alias("s"), "k", "th", "start", "n")
     first = written(places.groupBy("class_id").agg(F.min(order).alias("f"), F.count("*").alias("of")).where("of > 1"), "first")
-    return places.join(first, "class_id").select("k", "th", "start", "n", "class_id", F.struct("f.k", "f.th", "f.start", "f.n").alias("f"))
+    out = written(places.join(first, "class_id").select("k", "th", "start", "n", "class_id", F.struct("f.k", "f.th", "f.start", "f.n").alias("f")), "classes")
+    for table in (named, places, first):
+        dropped(table)
+    return out
 
 
 def _alike(a: str, b: str) -> Column:
@@ -283,8 +286,9 @@ def classes(
     found = linked(met, sets, threshold)
     dropped(met)
     dropped(sets)
-    places = written(repeats(where, found), "classes")
+    places = repeats(where, found)
     dropped(where)
+    dropped(found)
     own, end = F.struct("k", "th", "start", "n"), F.col("start") + F.col("n")
     doc = Window.partitionBy("k", "th").orderBy("start")
     gone = places.where(~own.eqNullSafe(F.col("f"))).withColumn("left", F.coalesce(F.lag(end).over(doc) != F.col("start"), F.lit(True)))

@@ -88,7 +88,8 @@ def grouped(prints: DataFrame, key: str, distance: int) -> DataFrame:
     least = prints.groupBy("fp").agg(F.min(key).alias("least"))
     groups = components(links(least.select("fp"), distance))
     # components of fingerprints, then the smallest key of each
-    placed = least.join(groups, least["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    placed = written(least.join(groups, least["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "placed")
+    dropped(groups)
     first = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     return placed.join(first, "component").select("fp", "component_id")
 
@@ -169,10 +170,10 @@ def near_texts(
     # buckets whose texts the balls have put into one component are decided
     placed = met.join(near.withColumnRenamed("node", "pid"), "pid", "left").withColumn("c", F.coalesce("component", "pid"))
     left = written(apart(placed.select("bucket", "pid", "size", "c")).drop("c"), "buckets")
-    found = linked(left, sets.select("pid", "sh"), threshold)
+    more = linked(left, sets.select("pid", "sh"), threshold)
     links_ = near.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
-    found = written(joined(found, links_), "components")
-    for table in (balls, met, wanted, sets, left):
+    found = joined(more, links_)
+    for table in (balls, met, wanted, sets, left, near, more):
         dropped(table)
     return prints.join(found.withColumnRenamed("node", "pid"), "pid", "left").select(key, r, h, F.coalesce("component", "pid").alias("class_id"))
 
