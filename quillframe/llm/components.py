@@ -1,13 +1,19 @@
 """Connected components by alternating stars, wholly in DataFrames.
 
-Each round joins edges with the smallest neighbour of their ends; rounds end when nothing
-moves.  Each star's edges are written to the shared folder, which cuts the lineage,
+Edges are first contracted where they are read: a task puts the smallest node that its own
+edges reach in the place of each node's neighbours, about ``at_once`` edges at a time, so long
+chains do not take rounds and what is shuffled are the tasks' stars.  Then each round joins
+edges with the smallest neighbour of their ends; rounds end when nothing moves.  Each star's edges are written to the shared folder, which cuts the lineage,
 survives lost executors and lets no stage run twice.  A node of very many edges is pre-aggregated before each
 shuffle, and adaptive execution splits its side of the join.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +34,43 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return edges.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node of the edges that is not the smallest one it reaches over them, and that smallest node."""
+    nodes, places = np.unique(np.concatenate([u, v]), return_inverse=True)
+    root, (a, b) = np.arange(len(nodes)), np.split(places, 2)
+    while len(a):
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while len(np.flatnonzero(root[root] != root)):
+            root = root[root]
+        a, b = root[a], root[b]
+        a, b = a[a != b], b[a != b]
+    moved = root != np.arange(len(nodes))
+    return nodes[moved], nodes[root[moved]]
+
+
+def _contracted(edges: DataFrame, rows: int, at_once: int) -> DataFrame:
+    """Edges (u, v), u larger, that link the same nodes: stars, one for each component of about at_once edges of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            found = forest(*(np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]) for k in range(2)))
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, held[0].schema.types, strict=True)], names=["u", "v"])
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= at_once:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
+
+    return edges.select("u", "v").coalesce(max(1, -(-rows // at_once))).mapInArrow(run, edges.select("u", "v").schema)
+
+
+def components(edges: DataFrame, rounds: int = 60, at_once: int = 1 << 19) -> DataFrame:
     """(node, component) for every node of edges (u, v): component is its smallest reachable node.
 
     Null ends and loops do not link; repeated edges count once; no edges, no rows.
@@ -38,8 +80,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         """Order-free sums: a star forest stays as it is, so they repeat."""
         return tuple(table.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    ends = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now = written(ends, "edges")
+    ends = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "edges")
+    now = written(_contracted(ends, ends.count(), at_once), "edges")  # the count is from the footers
+    dropped(ends)
     before = size(now)
     for _ in range(rounds):
         large = written(_large_star(now), "edges")  # read twice: else its join would run twice

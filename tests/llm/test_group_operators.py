@@ -64,6 +64,26 @@ def test_a_round_of_components_runs_few_stages(spark, monkeypatch):
     assert tasks <= 6 * 24  # 102; 170 while the large star's join ran twice and its rows were made distinct
 
 
+def test_long_chains_take_few_rounds_of_components(spark, monkeypatch):
+    """Edges are contracted by the tasks that read them; with a few edges at once the stars have all the work."""
+    rng = random.Random(11)
+    links = [(i, i + 1) for i in range(3000)] + [(rng.randrange(-9000, -5000), rng.randrange(-9000, -5000)) for _ in range(1500)]
+    links += [(1 << 62, -(1 << 62)), (9999, 9998), (9998, 9999), (5, None), (None, 5)]
+    rng.shuffle(links)
+    ends = [x for a, b in links[:] if a is not None and b is not None and a != b for x in (a, b)]
+    place = {x: i for i, x in enumerate(sorted(set(ends)))}
+    least = merged(len(place), [(place[a], place[b]) for a, b in links if a in place and b in place and a != b])
+    want, names = {x: least[i] for x, i in place.items()}, sorted(place)
+    module, rounds = importlib.import_module("quillframe.llm.components"), []
+    monkeypatch.setattr(module, "_small_star", lambda edges, star=module._small_star: rounds.append(1) or star(edges))
+    table = spark.createDataFrame(links, "u long, v long").repartition(3)
+    for at_once, most in ((1 << 19, 1), (40, 60)):
+        rounds.clear()
+        got = components(table, at_once=at_once).collect()
+        assert sorted((r.node, r.component) for r in got) == sorted((x, names[want[x]]) for x in place)
+        assert 1 <= len(rounds) <= most  # 1 is the round that finds nothing to move; 13 without contraction
+
+
 def slow_print(text, n):
     w = [x for x in re.split("[ \t-\r]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")) if x]
     grams = [" ".join(w[i : i + n]) for i in range(len(w) - n + 1)] or ([" ".join(w)] if w else [])
